@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from corvane.llm import packing, simple8b
+from corvane.llm import decontamination, packing, simhash, simple8b
 
 QUERIES = {
+    "op3_positional_index": decontamination.query,
+    "op6_simhash_pivots": simhash.query,
     "op2_pack_powers_of_two": packing.query,
     "op10_simple8b": simple8b.query,
 }
 
 #: Tokenizer ids cannot be had in SQL: op2 and op10 are tested against the tokenizers library.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_positional_index": decontamination.ORACLE,
+}
