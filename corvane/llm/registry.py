@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from corvane.llm import decontamination, packing, simhash, simple8b
+from corvane.llm import decontamination, lines, packing, simhash, simple8b, toxicity
 
 QUERIES = {
     "op3_positional_index": decontamination.query,
+    "op5_line_spread": lines.query,
+    "op9_weak_supervision": toxicity.query,
     "op6_simhash_pivots": simhash.query,
     "op2_pack_powers_of_two": packing.query,
     "op10_simple8b": simple8b.query,
@@ -14,4 +16,5 @@ QUERIES = {
 #: Tokenizer ids cannot be had in SQL: op2 and op10 are tested against the tokenizers library.
 ORACLES: dict[str, str] = {
     "op3_positional_index": decontamination.ORACLE,
+    "op5_line_spread": lines.ORACLE,
 }
