@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corvane.llm import decontamination, lines, packing, simhash, simple8b, toxicity
+from corvane.llm import chat, decontamination, lines, packing, simhash, simple8b, toxicity
 
 QUERIES = {
     "op3_positional_index": decontamination.query,
+    "op4_prefix_tree": chat.query,
     "op5_line_spread": lines.query,
     "op9_weak_supervision": toxicity.query,
     "op6_simhash_pivots": simhash.query,
@@ -16,5 +17,6 @@ QUERIES = {
 #: Tokenizer ids cannot be had in SQL: op2 and op10 are tested against the tokenizers library.
 ORACLES: dict[str, str] = {
     "op3_positional_index": decontamination.ORACLE,
+    "op4_prefix_tree": chat.ORACLE,
     "op5_line_spread": lines.ORACLE,
 }
