@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corvane.llm import chat, decontamination, lines, packing, simhash, simple8b, toxicity
+from corvane.llm import chat, decontamination, embeddings, lines, packing, simhash, simple8b, toxicity
 
 QUERIES = {
     "op3_positional_index": decontamination.query,
     "op4_prefix_tree": chat.query,
     "op5_line_spread": lines.query,
+    "op7_cross_polytope": embeddings.query,
     "op9_weak_supervision": toxicity.query,
     "op6_simhash_pivots": simhash.query,
     "op2_pack_powers_of_two": packing.query,
