@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.llm import chat, decontamination, embeddings, lines, packing, simhash, simple8b, toxicity
+from corvane.llm import chat, decontamination, embeddings, lines, packing, simhash, simple8b, suffixes, toxicity
 
 QUERIES = {
+    "op1_prefix_free_parsing": suffixes.query,
     "op3_positional_index": decontamination.query,
     "op4_prefix_tree": chat.query,
     "op5_line_spread": lines.query,

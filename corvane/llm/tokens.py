@@ -101,14 +101,14 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
-def text_slices(batches, columns: tuple[str, ...] = ("doc_id", "text"), chars: int = 3_000_000):
-    """Cuts Arrow batches into slices of about so many characters of text, so that memory follows the slice."""
+def text_slices(batches, columns: tuple[str, ...] = ("doc_id", "text"), size: int = 3_000_000):
+    """Cuts Arrow batches into slices of about so many bytes of text, the last column, so that memory follows the slice."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(columns[1])), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        group = np.cumsum(sizes) // chars
+        sizes = pc.fill_null(pc.binary_length(batch.column(columns[-1])), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        group = np.cumsum(sizes) // size
         cuts = np.flatnonzero(np.diff(group)) + 1 if len(group) else []
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             if b > a:
