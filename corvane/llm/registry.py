@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import chat, decontamination, embeddings, lines, packing, simhash, simple8b, suffixes, toxicity
+from corvane.llm import chat, decontamination, embeddings, lines, packing, scoring, simhash, simple8b, suffixes, toxicity
 
 QUERIES = {
     "op1_prefix_free_parsing": suffixes.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_prefix_tree": chat.query,
     "op5_line_spread": lines.query,
     "op7_cross_polytope": embeddings.query,
+    "op8_masked_pseudo_likelihood": scoring.query,
     "op9_weak_supervision": toxicity.query,
     "op6_simhash_pivots": simhash.query,
     "op2_pack_powers_of_two": packing.query,
