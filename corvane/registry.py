@@ -1,20 +1,35 @@
-"""Queries over the driver's tables and the DuckDB SQL that checks them."""
+"""All queries over the driver's tables and the DuckDB SQL that checks them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from corvane.catalog import ORACLES, QUERIES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "retrieve_bm25"
+__all__ = ["FLAGSHIP", "MODULES", "ORACLES", "QUERIES"]
 
-#: Modules with QUERIES and ORACLES of their own.
-MODULES: list[str] = []
+FLAGSHIP = "retrieve_hybrid"
+
+#: Modules that register queries.
+MODULES = [
+    "functions.text",
+    "functions.numbers",
+    "functions.vectors",
+    "sources.readers",
+    "sources.sinks",
+    "operators.filters",
+    "operators.joins",
+    "operators.aggregates",
+    "operators.windows",
+    "operators.structure",
+    "operators.quality",
+    "operators.retrieval",
+    "operators.routing",
+    "operators.evidence",
+    "operators.feedback",
+    "plans.pipelines",
+    "streaming.state",
+]
 
 for _name in MODULES:
-    _module = import_module(f"corvane.{_name}")
-    QUERIES |= _module.QUERIES
-    ORACLES |= _module.ORACLES
+    import_module(f"corvane.{_name}")
