@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def lcs_f1(a: list[str], b: list[str]) -> float:
@@ -40,7 +41,7 @@ def bleu(a: list[str], b: list[str], most: int = 4) -> float:
     return math.exp(sum(logs) / len(logs) + short)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def answer_score(answer: pd.Series, reference: pd.Series) -> pd.Series:
     """0 to 100; a null is empty."""
     out = []

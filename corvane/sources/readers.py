@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corvane.catalog import query
 from corvane.functions.numbers import local_number, value_type
@@ -79,7 +80,7 @@ class _Text(HTMLParser):
             self.parts.append(data)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The text of HTML pages; null stays null."""
 
