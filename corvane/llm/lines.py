@@ -60,25 +60,26 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, keep_first:
         .join(spread, ["h", "g"])
         .groupBy("doc_id", "h", "g")
         .agg(F.first("first_doc").alias("first_doc"))
-        .groupBy(F.col("doc_id").alias("_doc"))
-        .agg(F.collect_list(F.when(~first, key)).alias("_gone"), F.collect_list(F.when(first, key)).alias("_once"))
+        .groupBy(F.col("doc_id").alias("of"))
+        .agg(F.collect_list(F.when(~first, key)).alias("gone"), F.collect_list(F.when(first, key)).alias("once"))
     )
-    joined = docs.join(hits, docs.doc_id.eqNullSafe(hits._doc), "left")
-    before = _lines(F.col("text"))
+    # the input's columns stay in one struct beside ours, whatever their names
+    joined = docs.select(F.struct("*").alias("d")).join(hits, F.col("d.doc_id").eqNullSafe(F.col("of")), "left")
+    before = _lines(F.col("d.text"))
     trimmed = F.transform(before, lambda x: F.trim(x))
     after = F.filter(
         before,
-        lambda x, i: ~F.array_contains("_gone", _key(x)) & ~(F.array_contains("_once", _key(x)) & (F.array_position(trimmed, F.trim(x)) <= i)),
+        lambda x, i: ~F.array_contains("gone", _key(x)) & ~(F.array_contains("once", _key(x)) & (F.array_position(trimmed, F.trim(x)) <= i)),
     )
-    out = joined.withColumn("_kept", F.when(F.col("_gone").isNull(), before).otherwise(after))
-    counted = out.withColumns(
-        {
-            "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")),
-            "_lines": F.greatest(F.size(before), F.lit(0)).cast("long"),
-            "_removed": F.greatest(F.size(before) - F.size("_kept"), F.lit(0)).cast("long"),
-        }
+    cut = joined.select("d", F.when(F.col("gone").isNull(), before).otherwise(after).alias("kept"), F.col("gone").isNotNull().alias("hit"), F.size(before).alias("n"))
+    changed = cut.select(
+        "d",
+        F.when(F.col("hit"), F.array_join("kept", "\n")).otherwise(F.col("d.text")).alias("text"),
+        F.greatest(F.col("n"), F.lit(0)).cast("long").alias("lines"),
+        F.greatest(F.col("n") - F.size("kept"), F.lit(0)).cast("long").alias("removed"),
     )
-    return counted.drop("_doc", "_gone", "_once", "_kept")
+    same = [F.col("text") if c == "text" else F.col("d")[c].alias(c) for c in docs.columns if c not in ("_lines", "_removed")]
+    return changed.select(*same, F.col("lines").alias("_lines"), F.col("removed").alias("_removed"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
