@@ -2,9 +2,9 @@
 
 Voters are word lists (seed insults, and words and word beginnings that stand out in labelled training rows, dealt
 into several lists) and text patterns. Each votes on every document. A generative label model takes the votes
-of the whole corpus, as counts of vote patterns: expectation maximisation estimates how often each voter fires on
-either class, the votes' correlation within a class then gives each voter a weight (voters that repeat each other
-share theirs), and the model is fitted again with those weights. Its posterior labels of all
+of the whole corpus, as counts of vote patterns: voters' accuracies follow from how triples of them agree, what two
+voters agree beyond that is their own correlation and gives each a weight (voters that repeat each other share
+theirs), and expectation maximisation with those weights estimates how often each fires on either class. Its posterior labels of all
 documents train a logistic regression, by Newton steps whose sums Spark adds up over the corpus.
 
 Labels are read of at most max_labelled rows, training rows by crc32(doc_id) only, chosen by a hash of doc_id.
@@ -118,34 +118,55 @@ def count_hits(docs: DataFrame, words: dict[str, int], begins: dict[str, int]) -
     return scored.select("doc_id", "v.hits", "v.n_words")
 
 
-def fit_label_model(votes: np.ndarray, n: np.ndarray, rounds: int = 100) -> dict[str, np.ndarray]:
+def dependencies(votes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(accuracy, correlation): each voter's correlation with the hidden label, and that of voters beyond it.
+
+    Voters that are independent within a class correlate by the product of their accuracies, so any two others tell
+    a voter's; the median over all pairs withstands pairs that depend on each other.
+    """
+    m = votes.shape[1]
+    share = n / max(n.sum(), 1)
+    centred = votes - (votes * share[:, None]).sum(0)
+    covariance = (centred * share[:, None]).T @ centred
+    scale = np.sqrt(np.clip(np.diag(covariance), 1e-12, None))
+    rho = covariance / np.outer(scale, scale)
+    accuracy = np.zeros(m)
+    for i in range(m):
+        told = [
+            rho[i, j] * rho[i, k] / rho[j, k]
+            for j in range(m)
+            for k in range(j)
+            if i not in (j, k) and min(rho[i, j], rho[i, k], rho[j, k]) > 0.01
+        ]
+        accuracy[i] = math.sqrt(min(float(np.median(told)), 0.98)) if told else 0.0
+    beyond = rho - np.outer(accuracy, accuracy)
+    np.fill_diagonal(beyond, 0)
+    return accuracy, beyond
+
+
+def fit_label_model(votes: np.ndarray, n: np.ndarray, rounds: int = 200) -> dict[str, np.ndarray]:
     """The generative model of distinct vote patterns (0 or 1 for each voter) that occur n times.
 
-    Returns prior, fires (2 by voters: how often each fires on class 0 and 1), weight and correlation. A voter that
-    never fires, or always does, has weight 0: it tells nothing apart.
+    Returns prior, fires (2 by voters: how often each fires on class 0 and 1), weight, accuracy and correlation. A voter
+    that never fires, or always does, has weight 0: it tells nothing apart.
     """
     m = votes.shape[1]
     rates = (votes * n[:, None]).sum(0) / max(n.sum(), 1)
     informs = (rates > 0) & (rates < 1)
-    weight = informs.astype(float)
-    q = np.where((votes[:, : m - 1] & informs[: m - 1]).any(1), 0.9, 0.02)  # to begin with: any voter but shouting
-    prior, fires, correlation = 0.05, np.full((2, m), 0.5), np.zeros((m, m))
-    for phase in range(2):
-        for _ in range(rounds):
-            for y, r in ((0, (1 - q) * n), (1, q * n)):
-                fires[y] = ((votes * r[:, None]).sum(0) + 0.01) / (r.sum() + 0.02 + 1e-9)
-            prior = float(np.clip((q * n).sum() / max(n.sum(), 1), 1e-4, 1 - 1e-4))
-            before, q = q, posterior(votes, prior, fires, weight)
-            if np.abs(q - before).max(initial=0) < 1e-6:
-                break
-        if phase == 0:  # correlation of two voters' residuals within their class
-            centred = [np.sqrt(n * r)[:, None] * (votes - fires[y]) for y, r in ((0, 1 - q), (1, q))]
-            covariance = sum(c.T @ c for c in centred)
-            scale = np.sqrt(np.clip(np.diag(covariance), 1e-9, None))
-            correlation = covariance / np.outer(scale, scale)
-            np.fill_diagonal(correlation, 0)
-            weight = informs / (1 + np.clip(correlation, 0, 1).sum(1))
-    return {"prior": np.array(prior), "fires": fires, "weight": weight, "correlation": correlation}
+    accuracy, correlation = dependencies(votes, n)
+    weight = informs / (1 + np.where(correlation > 0.05, correlation, 0).sum(1))
+    lead = informs & (accuracy > 0.1)
+    lead = lead if lead.any() else informs & (np.arange(m) < m - 1)
+    q = np.where((votes & lead).any(1), 0.9, 0.02)  # to begin with: any voter that agrees with others
+    prior, fires = 0.05, np.full((2, m), 0.5)
+    for _ in range(rounds):
+        for y, r in ((0, (1 - q) * n), (1, q * n)):
+            fires[y] = ((votes * r[:, None]).sum(0) + 0.01) / (r.sum() + 0.02)
+        prior = float(np.clip((q * n).sum() / max(n.sum(), 1), 1e-4, 1 - 1e-4))
+        before, q = q, posterior(votes, prior, fires, weight)
+        if np.abs(q - before).max(initial=0) < 1e-6:
+            break
+    return {"prior": np.array(prior), "fires": fires, "weight": weight, "accuracy": accuracy, "correlation": correlation}
 
 
 def posterior(votes: np.ndarray, prior: float, fires: np.ndarray, weight: np.ndarray) -> np.ndarray:
