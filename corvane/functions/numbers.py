@@ -154,3 +154,16 @@ def map_ordered_entries(spark, sf_dir):
     by_user = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
     entries = F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return by_user.select("user_id", F.array_join(entries, ",").alias("entries"))
+
+
+def sanitized(json_text: Column, most_keys: int = 8, most_chars: int = 200) -> Column:
+    """An object's scalar members, by sorted key, so many at most and cut to length; null for what is no object."""
+    entries = F.array_sort(F.map_entries(F.from_json(json_text, "map<string,string>")))
+    kept = F.slice(F.filter(entries, lambda e: e["value"].isNotNull() & ~e["value"].rlike(r"^[\[{]")), 1, most_keys)
+    cut = F.transform(kept, lambda e: F.struct(F.substring(e["key"], 1, 64).alias("key"), F.substring(e["value"], 1, most_chars).alias("value")))
+    return F.to_json(F.map_from_entries(cut))
+
+
+@query("json_sanitize", """SELECT event_id, '{"k":"' || json_extract_string(props, '$.k') || '"}' AS clean FROM events""")
+def json_sanitize(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", sanitized(F.col("props")).alias("clean"))

@@ -263,3 +263,67 @@ def text_clean_document(spark, sf_dir):
 def text_stems(spark, sf_dir):
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^A-Za-z]+")).alias("word")).where("length(word) > 2")
     return words.distinct().select("word", F.array_join(F.array_sort(stems(F.col("word"), ["ing", "ed", "ly", "es", "s"])), " ").alias("stems"))
+
+
+def unwrapped(text: Column) -> Column:
+    """Soft-wrapped lines joined: a line that ends in a hyphen loses it, one that ends no sentence goes on with a space.
+
+    A blank line, a list item and a heading begin anew.
+    """
+    def add(done, line):
+        last = F.element_at(done, -1)
+        begins = (F.size(done) == 0) | (line == "") | (last == "") | line.rlike(r"^([-*•#]|[0-9]+[.)]) ?") | last.rlike(r"[.!?:;]$")
+        rest = F.slice(done, F.lit(1), F.size(done) - 1)
+        hyphen = last.rlike(r"\p{L}-$") & line.rlike(r"^\p{Ll}")
+        joined = F.when(hyphen, F.concat(F.regexp_replace(last, "-$", ""), line)).otherwise(F.concat(last, F.lit(" "), line))
+        return F.when(begins, F.concat(done, F.array(line))).otherwise(F.concat(rest, F.array(joined)))
+
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    return F.array_join(F.aggregate(lines, F.array().cast("array<string>"), add), "\n")
+
+
+def card_field(text: Column, label: str, labels: list[str]) -> Column:
+    """What follows 'label:' up to the next of labels at a line's start, or the end; null if it is not there or empty."""
+    others = "|".join(labels)
+    found = F.regexp_extract(text, rf"(?is)(?:^|\n){label}[ \t]*:[ \t]*(.*?)(?=\n(?:{others})[ \t]*:|\z)", 1)
+    return F.nullif(F.regexp_replace(found, r"^\s+|\s+$", ""), F.lit(""))
+
+
+def inferred_concepts(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """Names of the rules (name, pattern) that fit the text, in the rules' order."""
+    low = concept(text)
+    return F.array_compact(F.array(*[F.when(low.rlike(p), n) for n, p in rules]))
+
+
+CONCEPTS = [("licence", "licen[cs]e"), ("rights", "rights reserved|copyright"), ("public", r"(?:^|[^\p{L}])(?:gnu|mit)(?:[^\p{L}]|$)|apache"), ("numbers", "[0-9]{4,}")]
+
+
+@query("text_soft_wraps")
+def text_soft_wraps(spark, sf_dir):
+    """Tests hold the fold against a plain loop."""
+    u = table(spark, sf_dir, "documents").select("doc_id", unwrapped(F.col("text")).alias("u"))
+    return u.select("doc_id", F.size(F.split("u", "\n")).alias("n_lines"), F.md5(F.col("u").cast("binary")).alias("md5"))
+
+
+@query(
+    "text_card_fields",
+    """SELECT doc_id, source AS topic, lang AS tags, nullif(trim(substr(string_split(text, chr(10))[1], 1, 60)), '') AS summary FROM documents""",
+)
+def text_card_fields(spark, sf_dir):
+    """Documents written as labelled cards and read back."""
+    labels = ["Topic", "Tags", "Summary"]
+    head = F.substring(F.element_at(F.split("text", "\n"), 1), 1, 60)
+    card = F.concat(F.lit("Topic: "), "source", F.lit("\nTags: "), "lang", F.lit("\nSummary: "), head)
+    cards = table(spark, sf_dir, "documents").select("doc_id", card.alias("c"))
+    return cards.select("doc_id", *[card_field(F.col("c"), x, labels).alias(x.lower()) for x in labels])
+
+
+_LOW = "trim(regexp_replace(regexp_replace(lower(translate(translate(text, 'çğıİöşü', 'cgiiosu'), 'I', 'ı')), '[_-]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(
+    "text_concepts",
+    f"SELECT doc_id, array_to_string(list_filter([{', '.join(f'''CASE WHEN regexp_matches(low, '{p}') THEN '{n}' END''' for n, p in CONCEPTS)}], lambda x: x IS NOT NULL), ',') AS concepts FROM (SELECT doc_id, {_LOW} AS low FROM documents)",
+)
+def text_concepts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(inferred_concepts(F.col("text"), CONCEPTS), ",").alias("concepts"))

@@ -108,3 +108,21 @@ def eval_suite_dedupe(spark, sf_dir):
 def eval_ingestion_expectations(spark, sf_dir):
     h = F.col("html")
     return table(spark, sf_dir, "pages").select("page_id", h.rlike("<h1").alias("has_title"), (F.size(F.regexp_extract_all("html", F.lit("<li[ >]"), F.lit(0))) >= 1).alias("has_items"), (~h.rlike("<table")).alias("no_tables"))
+
+
+def manifest_problems(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """path, problem: what of a manifest (path, sha256) is missing or changed among files (path, sha256), and what is not listed."""
+    both = manifest.withColumnRenamed("sha256", "wanted").join(files, "path", "full")
+    problem = F.when(F.col("sha256").isNull(), "missing").when(F.col("wanted").isNull(), "unlisted").when(F.col("sha256") != F.col("wanted"), "changed")
+    return both.select("path", problem.alias("problem")).where("problem is not null")
+
+
+@query(
+    "eval_manifest",
+    """SELECT 'doc-' || doc_id AS path, CASE WHEN doc_id % 10 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'unlisted' END AS problem FROM documents WHERE doc_id % 10 = 0 OR doc_id % 7 = 0 OR doc_id % 11 = 1 AND doc_id % 10 <> 0 AND doc_id % 7 <> 0""",
+)
+def eval_manifest(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("sha256"))
+    files = d.where("doc_id % 10 != 0").select("path", "sha256")
+    listed = d.where("doc_id % 10 = 0 or doc_id % 7 = 0 or doc_id % 11 != 1")
+    return manifest_problems(files, listed.select("path", F.when(F.col("doc_id") % 7 == 0, "other").otherwise(F.col("sha256")).alias("sha256")))

@@ -142,3 +142,17 @@ def route_adaptive_profile(spark, sf_dir):
     m = mean.groupBy(F.col("label").alias("profile")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("m"))
     s = e.where("vec_id % 50 = 0").crossJoin(F.broadcast(m)).select("vec_id", "profile", F.round(cosine(F.col("embedding"), F.col("m")), 9).alias("s"))
     return s.groupBy("vec_id").agg(F.max_by("profile", F.struct("s", -F.col("profile"))).alias("profile"))
+
+
+@query(
+    "route_source_plan",
+    f"""WITH {_COLL}, r AS (SELECT item_id, source, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, source) AS rank, count(*) OVER (PARTITION BY item_id) AS n FROM c), g AS (SELECT item_id, max(score) FILTER (rank = 1) AS a, max(score) FILTER (rank = 2) AS b, max(n) AS n FROM r GROUP BY 1)
+    SELECT item_id, CASE WHEN n = 1 THEN 'single' WHEN a - coalesce(b, 0) >= 0.05 THEN 'ranked' ELSE 'guarded' END AS plan FROM g""",
+)
+def route_source_plan(spark, sf_dir):
+    """single where one source is left, ranked where the best leads, else guarded."""
+    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "source")
+    r = collection_scores(spark, sf_dir).withColumn("rank", F.row_number().over(w))
+    g = r.groupBy("item_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("b"), F.count("*").alias("n"))
+    gap = F.col("a") - F.coalesce("b", F.lit(0.0))
+    return g.select("item_id", F.when(F.col("n") == 1, "single").when(gap >= 0.05, "ranked").otherwise("guarded").alias("plan"))

@@ -138,3 +138,30 @@ def structure_html_blocks(spark, sf_dir):
         return F.size(F.regexp_extract_all("html", F.lit(f"<{tag}[ >]"), F.lit(0)))
 
     return table(spark, sf_dir, "pages").select("page_id", n("li").alias("items"), n("p").alias("paragraphs"), F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1).alias("title"))
+
+
+@query(
+    "structure_table_chunks",
+    """WITH r AS (SELECT l_orderkey, '|' || l_linenumber || '|' || l_returnflag || '|' AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) AS rn FROM lineitem WHERE l_orderkey % 10 = 0)
+    SELECT l_orderkey, CAST((rn - 1) // 3 AS INTEGER) AS part, md5('|line|flag|' || chr(10) || '|-|-|' || chr(10) || string_agg(line, chr(10) ORDER BY rn)) AS chunk_md5 FROM r GROUP BY ALL""",
+)
+def structure_table_chunks(spark, sf_dir):
+    """Orders' lines as Markdown tables, cut every three rows with the header before each part."""
+    line = F.concat(F.lit("|"), F.col("l_linenumber").cast("string"), F.lit("|"), "l_returnflag", F.lit("|"))
+    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("s")))).alias("r"))
+    md = F.concat(F.lit("|line|flag|\n|-|-|\n"), F.array_join(F.transform("r", lambda x: x["s"]), "\n"))
+    parts = rows.select("l_orderkey", F.posexplode(table_chunks(md, 3)).alias("part", "c"))
+    return parts.select("l_orderkey", "part", F.md5(F.col("c").cast("binary")).alias("chunk_md5"))
+
+
+@query(
+    "structure_record_chunks",
+    """SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS part, md5('# ' || source || chr(10) || '## ' || doc_id || chr(10) || lang || CASE WHEN lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) IS NULL THEN '' ELSE chr(10) END) AS chunk_md5 FROM documents""",
+)
+def structure_record_chunks(spark, sf_dir):
+    """Sources as texts of records, cut before each record with the lines above the first repeated."""
+    record = F.concat(F.lit("## "), F.col("doc_id").cast("string"), F.lit("\n"), "lang")
+    listed = table(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", record.alias("s")))).alias("r"))
+    md = F.concat(F.lit("# "), "source", F.lit("\n"), F.array_join(F.transform("r", lambda x: x["s"]), "\n"))
+    parts = listed.select("source", F.posexplode(record_chunks(md)).alias("part", "c"))
+    return parts.select("source", "part", F.md5(F.col("c").cast("binary")).alias("chunk_md5"))

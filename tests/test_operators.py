@@ -193,3 +193,18 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
 def test_ingest_retries(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 2), (3, "x" * 100, 0), (4, "short", 0)], "doc_id int, text string, attempt int")
     assert {r.doc_id: r.stage for r in state.ingest(df).collect()} == {1: "RETRY", 2: "FAILED", 3: "READY", 4: "PARTIAL_READY"}
+
+
+def test_unwrapped(spark):
+    assert one(spark, "a long line that\ngoes on. \nNew one with a hy-\nphen\n\n- item\n- item 2\nrest", text.unwrapped) == "a long line that goes on.\nNew one with a hyphen\n\n- item\n- item 2 rest"
+    assert one(spark, "", text.unwrapped) == "" and one(spark, None, text.unwrapped) is None
+
+
+def test_card_fields(spark):
+    card = "Topic: x: y\nTags: a, b\nSummary:\nTwo\nlines"
+    assert [one(spark, card, lambda c, n=n: text.card_field(c, n, ["Topic", "Tags", "Summary"])) for n in ("Topic", "Tags", "Summary", "Other")] == ["x: y", "a, b", "Two\nlines", None]
+
+
+def test_sanitized(spark):
+    assert one(spark, '{"b": 1, "a": {"x": 2}, "c": null, "d": "long"}', lambda c: numbers.sanitized(c, 8, 2)) == '{"b":"1","d":"lo"}'
+    assert one(spark, "no json", numbers.sanitized) in (None, "{}")
