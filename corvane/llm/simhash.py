@@ -133,9 +133,12 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay: of each group of near-duplicates the document with the smallest doc_id."""
-    kept = near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows of docs that stay: of each group of near-duplicates the document with the smallest doc_id.
+
+    Rows with a null doc_id stay: nothing names the one that would.
+    """
+    gone = near_duplicates(docs, **options).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs.doc_id == gone._gone, "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,6 +148,7 @@ def test_simhash_repeated_ids(spark):
     rows = [(5, "one two three four"), (5, "wholly other words here"), (9, "one two three four"), (None, "wholly other words here"), (7, "alone it stands now")]
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs(spark, rows)).collect()), key=str)
     assert got == [(5, 5), (5, 5), (7, 7), (9, 5), (None, 5)]
+    assert sorted((r.doc_id for r in simhash.keep_one(docs(spark, rows)).collect()), key=str) == [5, 5, 7, None]
     assert simhash.near_duplicates(docs(spark, [])).collect() == []
 
 
