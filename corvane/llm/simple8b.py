@@ -5,9 +5,9 @@ is in the lowest bits. Selectors 0 and 1 stand for runs of 240 and 120 zeros and
 2**60 or more is an escape: the word holds 0 in its place and the block lists its position and value.
 
 A file is a Parquet table of blocks, written in ascending doc_id order: part, block, token_base (ids of
-this part before the block), words, word_offsets (ids of the block before each word, so that any word can be
-decoded alone), escapes, and the doc_id and number of ids of each document in it. A block ends with the
-document that fills it, so every document lies in one block.
+this part before the block), words, escapes, and the doc_id and number of ids of each document in it. A block
+ends with the document that fills it, so every document lies in one block and each block is decoded alone: the
+selectors' counts, added up, give the place of every word's ids, and all words of a selector are unpacked together.
 """
 
 from __future__ import annotations
@@ -24,70 +24,70 @@ COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 
 BLOCK_SCHEMA = (
-    "part int, block long, token_base long, words binary, word_offsets binary, escape_at binary, escape_value binary, "
+    "part int, block long, token_base long, words binary, escape_at binary, escape_value binary, "
     "doc_ids array<long>, doc_tokens array<long>"
 )
 
 
+#: Bits of each value below 2**16, where most ids are.
+_BITS = np.frexp(np.arange(1 << 16))[1].astype(np.uint8)
+_STEP = COUNTS.astype(np.uint8)
+
+
 def _bits(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs; 0 for 0."""
-    small = values < (1 << 52)
-    out = np.frexp(values.astype(np.float64))[1].astype(np.uint8)
-    if not small.all():
-        out[~small] = [int(v).bit_length() for v in values[~small]]
-    return out
+    if not len(values) or values.max() < 1 << 16:
+        return _BITS[values]
+    return np.array([int(v).bit_length() for v in values], np.uint8)
 
 
-def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, word_offsets, escape_at, escape_value) of unsigned 64-bit values, greedily: most ids first."""
-    values = values.astype(np.uint64)
+def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, escape_at, escape_value) of unsigned integers, greedily: most ids first."""
     n = len(values)
     bits = _bits(values)
+    values = values.astype(np.uint64)
     at = np.flatnonzero(bits > 60)
     escaped = values[at]
     if len(at):
-        values = values.copy()
         values[at], bits[at] = 0, 0
     # the widest value of the next c ids, for every position, by doubling; past the end none fits
-    padded = np.concatenate([bits, np.full(240, 255, np.uint8)])
-    spans = {1: padded}
+    spans = {1: np.concatenate([bits, np.full(240, 255, np.uint8)])}
     for p in (1, 2, 4, 8, 16, 32, 64):
         spans[2 * p] = np.maximum(spans[p][:-p], spans[p][p:])
-    step = np.zeros(n, np.uint8)
-    for selector in range(15, -1, -1):
-        c = int(COUNTS[selector])
+    selector = np.zeros(n, np.uint8)
+    for c, width in zip(COUNTS.tolist(), WIDTHS.tolist(), strict=True):  # if one selector fits, all after it do
         p = 1 << (c.bit_length() - 1)
         widest = np.maximum(spans[p][:n], spans[p][c - p : c - p + n]) if p < c else spans[p][:n]
-        step[widest <= WIDTHS[selector]] = selector
-    jumps, chosen, i = COUNTS[step].tolist(), [], 0
+        selector += widest > width
+    jumps, chosen, i = _STEP[selector].tobytes(), [], 0
     while i < n:
         chosen.append(i)
         i += jumps[i]
     starts = np.array(chosen, np.int64)
-    selectors = step[starts] if n else np.zeros(0, np.uint8)
+    selectors = selector[starts]
     words = selectors.astype(np.uint64) << np.uint64(60)
-    for selector in np.unique(selectors):
-        if WIDTHS[selector]:
-            rows = np.flatnonzero(selectors == selector)
-            word = words[rows]
-            for k in range(COUNTS[selector]):
-                word |= values[starts[rows] + k] << np.uint64(k * WIDTHS[selector])
+    for s in np.unique(selectors):
+        if WIDTHS[s]:
+            rows = np.flatnonzero(selectors == s)
+            first, word = starts[rows], words[rows]
+            for k in range(COUNTS[s]):
+                word |= values[first + k] << np.uint64(k * WIDTHS[s])
             words[rows] = word
-    return words, starts.astype(np.uint32), at.astype(np.uint32), escaped
+    return words, at.astype(np.uint32), escaped
 
 
-def decode(words: np.ndarray, offsets: np.ndarray, at: np.ndarray, escaped: np.ndarray) -> np.ndarray:
-    """The values that encode() took; every selector's words are decoded together, each to its own offset."""
-    if not len(words):
-        return np.zeros(0, np.uint64)
+def decode(words: np.ndarray, at: np.ndarray, escaped: np.ndarray) -> np.ndarray:
+    """The values that encode() took; every selector's words are decoded together, each to its own place."""
     selectors = (words >> np.uint64(60)).astype(np.int64)
-    out = np.zeros(int(offsets[-1]) + int(COUNTS[selectors[-1]]), np.uint64)
-    for selector in np.unique(selectors):
-        width = int(WIDTHS[selector])
+    ends = np.cumsum(COUNTS[selectors])
+    starts = ends - COUNTS[selectors]
+    out = np.zeros(ends[-1] if len(ends) else 0, np.uint64)
+    for s in np.unique(selectors):
+        width = int(WIDTHS[s])
         if width:
-            rows = np.flatnonzero(selectors == selector)
-            word, first, mask = words[rows], offsets[rows].astype(np.int64), np.uint64((1 << width) - 1)
-            for k in range(COUNTS[selector]):
+            rows = np.flatnonzero(selectors == s)
+            word, first, mask = words[rows], starts[rows], np.uint64((1 << width) - 1)
+            for k in range(COUNTS[s]):
                 out[first + k] = (word >> np.uint64(k * width)) & mask
     out[at] = escaped
     return out
@@ -114,7 +114,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, bloc
 
         schema = pa.schema(
             [("part", pa.int32()), ("block", pa.int64()), ("token_base", pa.int64())]
-            + [(c, pa.binary()) for c in ("words", "word_offsets", "escape_at", "escape_value")]
+            + [(c, pa.binary()) for c in ("words", "escape_at", "escape_value")]
             + [("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64()))]
         )
         part, number, base = TaskContext.get().partitionId(), 0, 0
@@ -160,7 +160,6 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 block = batch.slice(i, 1).to_pylist()[0]
                 ids = decode(
                     np.frombuffer(block["words"], "<u8"),
-                    np.frombuffer(block["word_offsets"], "<u4"),
                     np.frombuffer(block["escape_at"], "<u4"),
                     np.frombuffer(block["escape_value"], "<u8"),
                 ).astype("<u4")

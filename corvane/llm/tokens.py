@@ -10,15 +10,27 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from itertools import chain, repeat
 
 import numpy as np
 
-#: Texts that are encoded whole: other characters, runs of white space, white space at either end.
-_SPECIAL = re.compile(r"[^\n\x20-\x7e\xa1-\xac\xae-\xff]|\s\s|^\s|\s\Z")
-#: Distinct pieces that a worker keeps; above it starts again, so its memory is bounded.
-MAX_PIECES = 700_000
+#: Bytes of a plain text in Latin-1, all but control characters and the white space and format
+#: characters U+0085, U+00A0 and U+00AD.
+_PLAIN = bytes(b for b in range(256) if b == 10 or 32 <= b < 127 or b > 160 and b != 173)
+_SPACES = (b"  ", b"\n\n", b" \n", b"\n ")
+#: Distinct pieces that a worker keeps; more are encoded again when they come again, so its memory is bounded.
+MAX_PIECES = 1_000_000
+
+
+def is_plain(text: str) -> bool:
+    """Not so are texts with other characters, runs of white space, or white space at either end; and the empty one."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    if not raw or raw[0] in b" \n" or raw[-1] in b" \n" or raw.translate(None, _PLAIN):
+        return False
+    return not any(x in raw for x in _SPACES)
 
 
 class PieceEncoder:
@@ -35,20 +47,45 @@ class PieceEncoder:
         # white space is dropped by one vocabulary and kept, before the piece, by the other
         self.drops_space = spec["normalizer"] is not None
         self.lead = 0 if self.drops_space else len(self.library.encode("\n", add_special_tokens=False).ids)
-        self._restart()
-
-    def _restart(self) -> None:
         self.known: dict[str, int] = {}
-        self.starts = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.starts, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+        self.marks = {m: self.library.encode(m, add_special_tokens=False).ids for m in ".,"}
+
+    def _append(self, piece: str, size: int) -> None:
+        k = len(self.known)
+        if k + 2 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.known[piece] = k
+        self.starts[k + 1] = self.starts[k] + size
 
     def _learn(self, pieces: list[str]) -> None:
-        texts = pieces if self.drops_space else [p if p[0] == "\n" else f" {p}" for p in pieces]
-        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
-        self.starts = np.concatenate([self.starts, ends + self.starts[-1]])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1]))])
+        """Adds pieces. A comma or stop after a letter begins a piece of its own in either vocabulary, so a word's
+        ids serve it with and without one."""
+        split = [(p[:-1], p[-1]) if p[-1] in ".," and p[-2:-1].isalpha() else (p, "") for p in pieces]
+        new = [w for w in dict.fromkeys(w for w, _ in split) if w not in self.known]
+        texts = new if self.drops_space else [w if w[0] == "\n" else f" {w}" for w in new]
+        ids = dict(zip(new, (e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)), strict=True))
+        flat: list[int] = []
+        at = int(self.starts[len(self.known)])
+        for word, found in ids.items():
+            self._append(word, len(found))
+            flat += found
+        for piece, (word, mark) in zip(pieces, split, strict=True):
+            if mark and piece not in self.known:
+                found = ids.get(word)
+                if found is None:
+                    k = self.known[word]
+                    found = self.flat[self.starts[k] : self.starts[k + 1]].tolist()
+                self._append(piece, len(found) + len(self.marks[mark]))
+                flat += found
+                flat += self.marks[mark]
+        while at + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[at : at + len(flat)] = flat
+
+    def _forget(self, keep: int) -> None:
+        while len(self.known) > keep:
+            self.known.popitem()
 
     def _pieces(self, text: str) -> list[str]:
         if self.drops_space:
@@ -56,14 +93,13 @@ class PieceEncoder:
         return ("\n" + text.replace("\n", " \n")).split(" ")
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = [bool(t) and not _SPECIAL.search(t) for t in texts]
+        plain = [is_plain(t) for t in texts]
         whole = [t for t, p in zip(texts, plain, strict=True) if not p]
         whole_ids = [e.ids for e in self.library.encode_batch_fast(whole, add_special_tokens=False)] if whole else []
         cut = [self._pieces(t) for t, p in zip(texts, plain, strict=True) if p]
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
         pieces = list(chain.from_iterable(cut))
-        if len(self.known) > MAX_PIECES:
-            self._restart()
+        keep = max(len(self.known), MAX_PIECES)
         index = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(index < 0)
         if len(missing):
@@ -76,18 +112,19 @@ class PieceEncoder:
             sizes[first] -= self.lead
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        self._forget(keep)
         n = np.zeros(len(texts), np.int64)
         sums = np.concatenate([[0], ends])
-        is_plain = np.array(plain, bool)
-        n[is_plain] = sums[first + counts] - sums[first]
+        of_plain = np.array(plain, bool)
+        n[of_plain] = sums[first + counts] - sums[first]
         if not whole:
             return ids, np.concatenate([[0], np.cumsum(n)])
-        n[~is_plain] = [len(x) for x in whole_ids]
+        n[~of_plain] = [len(x) for x in whole_ids]
         offsets = np.concatenate([[0], np.cumsum(n)])
         out = np.empty(offsets[-1], np.uint32)
-        of_plain = np.repeat(is_plain, n)
-        out[of_plain] = ids
-        out[~of_plain] = np.fromiter(chain.from_iterable(whole_ids), np.uint32, int(n[~is_plain].sum()))
+        ids_plain = np.repeat(of_plain, n)
+        out[ids_plain] = ids
+        out[~ids_plain] = np.fromiter(chain.from_iterable(whole_ids), np.uint32, int(n[~of_plain].sum()))
         return out, offsets
 
 
