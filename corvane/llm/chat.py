@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.common import materialize, running_start
@@ -86,7 +86,8 @@ def build_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     nodes: node, parent, depth, formatted, length, loss_from, loss_to (the assistant's text within formatted, else
     both 0), start (place in the depth-first emission), position (code points before it in its conversation),
-    attends (places of its ancestors and itself, [from, to) from the root on). paths: conv_id, depth, node.
+    attends (the intervals of the emission that hold its ancestors and itself, from the root on; ancestors that follow
+    each other there are one interval, so a long conversation's lists stay short). paths: conv_id, depth, node.
 
     Turns are ordered by turn, then role, then text; null roles and texts are empty; rows with a null conv_id are
     one conversation. A row that repeats is a turn of its own.
@@ -104,24 +105,41 @@ def build_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(is_loss, F.char_length(F.concat(head, _escaped(F.col("text"))))).otherwise(0).alias("loss_to"),
     )
     each = materialize(each.withColumn("length", F.char_length("formatted").cast("long")), "nodes")
-    # the order of the emission is that of the paths of node names from the root: a parent stands before its children
-    by_conv = Window.partitionBy("conv_id").orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
-    sized = paths.join(each.select("node", "length"), "node")
-    walked = sized.select(
-        "node",
-        F.collect_list("node").over(by_conv).alias("path"),
-        (F.sum("length").over(by_conv) - F.col("length")).alias("position"),
-    )
-    walked = walked.groupBy("node").agg(F.first("path").alias("path"), F.first("position").alias("position"))
-    keyed = materialize(walked.join(each.select("node", "length"), "node").withColumn("order", F.array_join("path", "/")), "walk")
-    placed = running_start(keyed.select("order", "length"), "order", "length", "start")
-    nodes = keyed.select("node", "position", "path", "order").join(placed.select("order", "start"), "order")
-    nodes = materialize(each.join(nodes, "node"), "tree")
-    spans = nodes.select("node", F.posexplode("path").alias("at", "ancestor")).join(
-        nodes.select(F.col("node").alias("ancestor"), F.struct("start", (F.col("start") + F.col("length")).alias("end")).alias("span")), "ancestor"
-    )
-    attends = spans.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "span"))), lambda x: x["span"]).alias("attends"))
-    return nodes.drop("path", "order").join(attends, "node"), paths.select("conv_id", "depth", "node")
+    # depth-first: conversations in the order of their paths, each with the nodes that no earlier one has
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("depth", "node"))), lambda x: x["node"])
+    keys = paths.groupBy("conv_id").agg(F.array_join(listed, "/").alias("path")).withColumn("one", F.lit(1))
+    ranks = running_start(keys, ["path", "conv_id"], "one", "rank").select(F.col("conv_id").alias("_conv"), "rank")
+    walks = materialize(paths.join(ranks, paths.conv_id.eqNullSafe(ranks._conv)).select("rank", "depth", "node"), "walks")
+    owned = walks.groupBy("node").agg(F.min("rank").alias("owner"), F.first("depth").alias("depth")).join(each.select("node", "length"), "node")
+    placed = materialize(running_start(owned, ["owner", "depth"], "length", "start"), "placed")
+    steps = walks.join(placed.select("node", "owner", "start", "length"), "node")
+    by_conv = steps.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("depth", "node", "owner", "start", "length"))).alias("steps"))
+    reached = by_conv.mapInArrow(_attention, "node string, position long, attends array<struct<start:long,end:long>>")
+    nodes = each.join(placed.select("node", "start"), "node").join(reached, "node")
+    return materialize(nodes, "tree"), paths.select("conv_id", "depth", "node")
+
+
+def _attention(batches):
+    """position and attends of the nodes that a conversation is the first to have; what follows on is one interval."""
+    import pyarrow as pa
+
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for batch in batches:
+        names, positions, attends = [], [], []
+        for conv in batch.to_pylist():
+            at, intervals = 0, []
+            for step in conv["steps"]:
+                end = step["start"] + step["length"]
+                if intervals and intervals[-1]["end"] == step["start"]:
+                    intervals = [*intervals[:-1], {"start": intervals[-1]["start"], "end": end}]
+                else:
+                    intervals = [*intervals, {"start": step["start"], "end": end}]
+                if step["owner"] == conv["rank"]:
+                    names.append(step["node"])
+                    positions.append(at)
+                    attends.append(intervals)
+                at += step["length"]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(positions, pa.int64()), pa.array(attends, span)], ["node", "position", "attends"])
 
 
 def read_back(nodes: DataFrame, paths: DataFrame) -> DataFrame:

@@ -22,7 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder."""
+    return f"{shared_dir(spark)}/corvane-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Removes all tables of this application, once none of its results is read any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corvane-{spark.sparkContext.applicationId}")
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -41,17 +48,17 @@ def delete_table(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def running_start(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """Adds to the rows of df (key, value) the sum of value over all rows before them in the order of key.
+def running_start(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """Adds to the rows of df the sum of value over all rows before them in the order of keys, which no two rows share.
 
-    The rows are dealt into ranges of key; only one total for each range is added up in one place, so
+    The rows are dealt into ranges of keys; only one total for each range is added up in one place, so
     that part grows with the number of partitions, not with the rows.
     """
-    ranged = materialize(df.repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "ranges")
+    ranged = materialize(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranges")
     totals = ranged.groupBy("_range").agg(F.sum(value).alias("_total"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     return (
         ranged.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .join(F.broadcast(bases), "_range")
