@@ -124,7 +124,7 @@ def agg_ordinal_maximum(spark, sf_dir):
 
 @query(
     "agg_quality_rollup",
-    """SELECT source, CAST(floor(avg(n_chars) + 0.5) AS BIGINT) AS mean_chars, sum(n_chars) AS total, CASE WHEN count(*) FILTER (n_chars < 800) / CAST(count(*) AS DOUBLE) >= 0.34 THEN 'noisy' ELSE 'clean' END AS level FROM documents GROUP BY source""",
+    """SELECT source, CAST(floor(avg(n_chars) + 0.5) AS BIGINT) AS mean_chars, CAST(sum(n_chars) AS BIGINT) AS total, CASE WHEN count(*) FILTER (n_chars < 800) / CAST(count(*) AS DOUBLE) >= 0.34 THEN 'noisy' ELSE 'clean' END AS level FROM documents GROUP BY source""",
 )
 def agg_quality_rollup(spark, sf_dir):
     g = table(spark, sf_dir, "documents").groupBy("source").agg(
