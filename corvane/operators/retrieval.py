@@ -20,10 +20,12 @@ K1, B, COVERAGE, PHRASE, BIGRAM, REPEAT, PHRASE_CHARS = 1.2, 0.75, 0.75, 1.25, 0
 LEXICAL, VECTOR = 0.75, 0.25
 
 
-def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, token, tf, length of docs."""
+def postings(docs: DataFrame, key: str, text: str = "text", wanted: DataFrame | None = None) -> DataFrame:
+    """key, token, tf, length of docs; of the tokens of wanted only, if it is given, before anything is shuffled or summed."""
     w = docs.select(key, plain_tokens(F.col(text)).alias("w"))
-    return w.select(key, F.size("w").alias("length"), F.explode("w").alias("token")).groupBy(key, "length", "token").agg(F.count("*").alias("tf"))
+    each = w.select(key, F.size("w").alias("length"), F.explode("w").alias("token"))
+    each = each if wanted is None else each.join(wanted, "token", "left_semi")
+    return each.groupBy(key, "length", "token").agg(F.count("*").alias("tf"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -32,11 +34,9 @@ def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
     Each query token that a document has counts by its rarity and frequency, more if the query repeats it; then what share of
     the query's tokens the document covers. Documents meet queries in one join on tokens.
     """
-    p = postings(docs, "doc_id")
     sizes = docs.select(F.size(plain_tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("total"), F.avg("n").alias("mean"))
     q = postings(queries, "query_id").select("query_id", "token", F.col("tf").alias("qf"))
-    wanted = q.select("token").distinct()
-    p = p.join(wanted, "token", "left_semi")  # a posting no query asks for goes no further
+    p = postings(docs, "doc_id", wanted=q.select("token").distinct())
     df = p.groupBy("token").agg(F.count("*").alias("df"))
     terms = q.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     rows = q.join(df, "token").join(p, "token").crossJoin(F.broadcast(sizes))
