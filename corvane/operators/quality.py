@@ -89,7 +89,7 @@ def quality_profile_health(spark, sf_dir):
         return F.least(F.lit(float(most)), F.col(x) / full * most)
 
     s = points("docs", 50.0, 40) + points("langs", 4.0, 30) + points("m", 2000, 30)
-    return g.select("source", F.round(s, 3).alias("score"), F.when(s >= 78, "healthy").otherwise("usable").alias("level"))
+    return g.select("source", (F.floor(s * 1000 + 0.5) / 1000).alias("score"), F.when(s >= 78, "healthy").otherwise("usable").alias("level"))
 
 
 @query(
