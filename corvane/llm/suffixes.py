@@ -249,10 +249,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     in the same text. A null text is empty; a null doc_id is the smallest; rows that share a doc_id follow each other
     in the order in which they are read. Texts of less than length bytes keep everything.
     """
-    numbered = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), "doc_id", "text"
-    )
-    places = repeated_strings(numbered.select("row", "doc", "text"), length, crowd)
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    # stored: the jobs below are planned apart, and another plan of the input would number its rows otherwise
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), doc.alias("doc"), "text"), "rows")
+    numbered = numbered.withColumn("row", F.coalesce("row", F.lit(-1)))  # never null, so both joins below share one exchange
+    places = repeated_strings(numbered, length, crowd)
     by_row = places.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("places"))
 
     def cut(batches):
@@ -278,7 +279,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
             )
 
     schema = "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary"
-    joined = numbered.select("row", "doc", "text").join(by_row, "row", "left")
+    joined = numbered.join(by_row, "row", "left")
     restored = F.when(F.col("doc") != F.lit(-(1 << 63)), F.col("doc"))
     return joined.select(restored.alias("doc_id"), "text", "places").mapInArrow(cut, schema)
 

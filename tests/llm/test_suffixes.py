@@ -74,3 +74,19 @@ def test_texts_longer_than_a_buffer(spark, monkeypatch):
     for i, t in enumerate((text, text[500:4000])):
         starts = sorted(p for d, s, n in found if d == i for p in range(s, s + n))
         assert starts == list(range(len(t.encode()) - 99))
+
+
+def test_rows_keep_their_numbers(spark, rows, tmp_path):
+    """The input's splits may change between the jobs, as they do where executors come or go."""
+    want = brute(rows, 100)
+    docs(spark, rows).repartition(7).write.parquet(str(tmp_path / "d"))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    found = suffixes.remove_repeats(spark.read.parquet(str(tmp_path / "d")))
+    try:
+        spark.conf.set(key, "2k")
+        got = found.collect()
+    finally:
+        spark.conf.set(key, before)
+    assert len(got) == len(rows)
+    assert all(bytes(r.kept) == want[r.doc_id][0] for r in got)
