@@ -40,6 +40,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def number_rows(df: DataFrame, name: str) -> DataFrame:
+    """Adds a number of its own to each row of df, stored: read again, every row has the same."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def delete_table(df: DataFrame) -> None:
     """Removes a table of materialize() that nothing reads any more."""
     spark = df.sparkSession

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize
+from corvane.llm.common import materialize, number_rows
 
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,13 +41,14 @@ def windows(benchmark: DataFrame, size: int = 10) -> DataFrame:
     return cut.select("item_id", F.sha2(F.to_json("w"), 256).alias("window_id"), F.posexplode("w").alias("offset", "word"))
 
 
-def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def build_index(docs: DataFrame, terms: DataFrame, row: str | None = None) -> DataFrame:
     """The stored index: doc_id, row, n_words, pos, term_id for each occurrence of a term (term_id, word) in docs.
 
-    row numbers the rows of docs, so that repeated doc_ids stay apart. Each row of docs also has an entry
+    row numbers the rows of docs, so that repeated doc_ids stay apart; a column of docs may give it. Each row of docs also has an entry
     with no term (at its first position, null if it has no words), which carries n_words.
     """
-    listed = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), _words(F.col("text")).alias("w"))
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    listed = docs.select(F.col("doc_id").cast("long"), number.alias("row"), _words(F.col("text")).alias("w"))
     tokens = listed.select("doc_id", "row", F.size("w").alias("n_words"), F.posexplode_outer("w").alias("pos", "word"))
     bounded = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     side = F.broadcast(terms) if bounded else terms
@@ -99,7 +100,7 @@ def _starts(index: DataFrame, wanted: DataFrame) -> DataFrame:
     return complete.union(short)
 
 
-def _prepare(docs: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _prepare(docs: DataFrame, benchmark: DataFrame, size: int, row: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(index, wanted, items): items links each window to the items that have it."""
     cut = materialize(windows(benchmark, size), "windows")
     numbered = cut.select("window_id").distinct().select("window_id", F.monotonically_increasing_id().alias("window"))
@@ -109,12 +110,12 @@ def _prepare(docs: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFram
     wanted = cut.select("window_id", "offset", "word").distinct().join(numbered, "window_id").join(terms, "word")
     wanted = wanted.select("window", "offset", "term_id", F.count("*").over(sizes).alias("n"))
     items = cut.select("item_id", "window_id").distinct().join(numbered, "window_id").select("item_id", "window")
-    return build_index(docs, terms), materialize(wanted, "wanted"), materialize(items, "items")
+    return build_index(docs, terms, row), materialize(wanted, "wanted"), materialize(items, "items")
 
 
-def exact_matches(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> tuple[DataFrame, DataFrame]:
+def exact_matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(matches, index): matches has item_id, doc_id, row, base, n for every place of every window."""
-    index, wanted, items = _prepare(docs, benchmark, size)
+    index, wanted, items = _prepare(docs, benchmark, size, row)
     lengths = wanted.select("window", "n").distinct()
     owners = index.where("pos is null or pos = 0").groupBy("row").agg(F.first("doc_id").alias("doc_id"))
     starts = _starts(index, wanted).join(lengths, "window").join(owners, "row")
@@ -150,14 +151,14 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, slo
     return full.join(items, "window").select("item_id", "doc_id", "row", "at").distinct()
 
 
-def report(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, size: int = 10, row: str | None = None) -> DataFrame:
     """doc_id, row, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs.
 
     A document word inside any occurrence of a window is hit. items_sha256 digests the ids of the items with
     occurring windows, as strings, sorted and joined by commas (none: of the empty string). A null text has
-    no words; an empty benchmark hits nothing; repeated doc_ids have a row each.
+    no words; an empty benchmark hits nothing; repeated doc_ids have a row each. row: a column of docs that numbers them.
     """
-    matches, index = exact_matches(docs, benchmark, size)
+    matches, index = exact_matches(docs, benchmark, size, row)
     matches = materialize(matches, "matches")
     hit = (
         matches.select("row", "base", "n")
@@ -184,9 +185,10 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of docs without those that hold a benchmark window; a doc_id goes with all its rows."""
-    bad = report(docs, benchmark, size).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.doc_id), "left_anti")
+    """The rows of docs without those whose own text holds a benchmark window."""
+    numbered = number_rows(docs, "_row")
+    bad = report(numbered, benchmark, size, "_row").where("contaminated").select("row")
+    return numbered.join(bad, numbered._row == bad.row, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize
+from corvane.llm.common import materialize, number_rows
 
 #: Labelled training rows that the word lists are learned from, at most.
 MAX_LABELLED = 50_000
@@ -87,8 +87,8 @@ def learn_words(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     )
 
 
-def count_hits(docs: DataFrame, words: dict[str, int], begins: dict[str, int]) -> DataFrame:
-    """doc_id, hits (one count a voter), n_words for every row of docs; an empty or null text has no hits."""
+def count_hits(docs: DataFrame, words: dict[str, int], begins: dict[str, int], carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, carried, hits (one count a voter), n_words for every row of docs; an empty or null text has no hits."""
     seeds = {w: k for k, part in enumerate(SEED) for w in part}
     by_word = seeds | {w: len(SEED) + k for w, k in words.items()}
     by_begin = {b: len(SEED) + WORD_LISTS + k for b, k in begins.items()}
@@ -114,8 +114,8 @@ def count_hits(docs: DataFrame, words: dict[str, int], begins: dict[str, int]) -
                 sizes.append(len(found))
             yield pd.DataFrame({"hits": hits, "n_words": sizes})
 
-    scored = docs.select("doc_id", of("text").alias("v"))
-    return scored.select("doc_id", "v.hits", "v.n_words")
+    scored = docs.select("doc_id", *carried, of("text").alias("v"))
+    return scored.select("doc_id", *carried, "v.hits", "v.n_words")
 
 
 def dependencies(votes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,18 +223,19 @@ def fit_classifier(counted: DataFrame, model: dict[str, np.ndarray], steps: int
     return beta
 
 
-def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs.
+def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, carried, held_out, score, predicted for every row of docs; carried: columns of docs to hand on.
 
     A null or empty text scores as one without a hit. Repeated rows score alike. Without documents the result is empty.
     """
     words, begins = learn_words(docs, labels, max_labelled)
-    counted = materialize(count_hits(docs, words, begins), "hits")
+    counted = materialize(count_hits(docs, words, begins, carried), "hits")
     # at most 2 ** VOTERS patterns, whatever the corpus
     pattern = F.aggregate(F.transform("hits", lambda h, i: F.when(h > 0, F.pow(F.lit(2.0), i)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
     seen = counted.groupBy(pattern.cast("int").alias("pattern")).agg(F.count("*").alias("n")).collect()
     if not seen:
-        return docs.sparkSession.createDataFrame([], "doc_id long, held_out boolean, score double, predicted int")
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("held_out", "boolean"), ("score", "double"), ("predicted", "int"))]
+        return counted.select("doc_id", *carried, *none)
     patterns = np.array([r.pattern for r in seen])
     votes = (patterns[:, None] >> np.arange(VOTERS) & 1).astype(bool)
     model = fit_label_model(votes, np.array([r.n for r in seen], float))
@@ -245,14 +246,15 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         x = features(np.array(hits.tolist()).reshape(-1, VOTERS), n_words.to_numpy())
         return pd.Series(1 / (1 + np.exp(-np.clip(x @ beta, -30, 30))))
 
-    scored = counted.select("doc_id", held_out().alias("held_out"), probability("hits", "n_words").alias("score"))
+    scored = counted.select("doc_id", *carried, held_out().alias("held_out"), probability("hits", "n_words").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic; a doc_id goes with all its rows."""
-    bad = score(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.doc_id), "left_anti")
+    """The rows of docs that are not predicted toxic, each decided by its own text."""
+    numbered = number_rows(docs, "_row")
+    bad = score(numbered, labels, carried=("_row",)).where("predicted = 1").select("_row")
+    return numbered.join(bad, "_row", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

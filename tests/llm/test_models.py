@@ -45,6 +45,18 @@ def test_toxicity_on_held_out_rows(spark, toxic):
     assert {r.predicted for r in got if r.doc_id in (1000, 1001, 1002)} == {0} and [r.predicted for r in got if r.doc_id is None] == [1]
 
 
+def test_toxicity_row_by_row(spark, toxic):
+    """A toxic row takes no clean row of the same doc_id, or of none, with it."""
+    rows, labels = toxic
+    bad, clean = rows[0][1], rows[1][1]
+    plain = [(k, t) for k, t in (r[:2] for r in rows) if k is not None]
+    more = [(None, bad), (None, clean), (None, clean + " one"), (5000, bad), (5000, clean + " two")]
+    label_rows = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = toxicity.remove_toxic(docs(spark, plain + more), label_rows).collect()
+    assert sorted(r.text for r in kept if r.doc_id is None) == sorted([clean, clean + " one"])
+    assert [r.text for r in kept if r.doc_id == 5000] == [clean + " two"]
+
+
 def test_toxicity_reads_no_held_out_label(spark, toxic):
     rows, labels = toxic
     changed = [(k, q, 1 - t if zlib.crc32(str(k).encode()) % 4 == 2 else t) for k, q, t in labels]

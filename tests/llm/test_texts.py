@@ -58,6 +58,13 @@ def test_decontamination_like_a_loop(spark, case):
     assert kept.columns == docs(spark, rows).columns and {r.doc_id for r in kept.collect()} >= {33, 34, 37}
 
 
+def test_decontamination_row_by_row(spark):
+    bench = spark.createDataFrame([(1, "solo")], "item_id long, text string")
+    rows = [(None, "solo here"), (None, "clean a"), (None, "clean b"), (7, "solo twice"), (7, "clean c"), (8, "clean d")]
+    kept = decontamination.remove_contaminated(docs(spark, rows), bench).collect()
+    assert sorted(r.text for r in kept) == ["clean a", "clean b", "clean c", "clean d"]
+
+
 def test_proximity(spark):
     bench = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
     rows = [(1, "blue x x red y green"), (2, "red " + "x " * 20 + "green blue"), (3, "green blue"), (4, "red green blue")]
