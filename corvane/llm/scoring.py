@@ -6,9 +6,9 @@ all its words, of the log-probability of the word given both sides.
 
 The vocabulary is the corpus's most frequent words, counted over all documents, and hash buckets for the others.
 Training is spread over the corpus: in each round every task trains the network, in numpy, on masked words of
-its documents from the last average, and the averages of the tasks' weights, by words seen, begin the next round. Each
-document takes part in one round, whole; a hash of document and place masks MASKED of its words. What tasks
-hand on is summed block by block, so no place holds all of their networks.
+its documents from the last average, and the averages of the tasks' weights, by words seen, begin the next round. A
+hash of document and place deals the words to the rounds: every word of every document is masked in one round. What
+tasks hand on is summed block by block, so no place holds all of their networks.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ SIZE = CLASSES * MEMBERS
 BUCKETS = 64
 WINDOW = 2
 HIDDEN = 16
-MASKED = 0.15
 ROUNDS = 2
 _PAD = SIZE
 _BLOCK = 4096
@@ -149,8 +148,9 @@ def train(flat: np.ndarray, squares: np.ndarray, target: np.ndarray, context: np
         flat -= rate * grad / np.sqrt(squares + 1e-6)
 
 
-def _masked(doc_id: int | None, n: int) -> np.ndarray:
-    return np.random.default_rng([zlib.crc32(str(doc_id).encode()), n]).random(n) < MASKED
+def _masked(doc_id: int | None, n: int, r: int, rounds: int) -> np.ndarray:
+    """The words of a document that round r trains on; the rounds share them all out."""
+    return np.random.default_rng([zlib.crc32(str(doc_id).encode()), n]).integers(rounds, size=n) == r
 
 
 def fit(docs: DataFrame, known: list[str], rounds: int = ROUNDS) -> np.ndarray:
@@ -158,14 +158,14 @@ def fit(docs: DataFrame, known: list[str], rounds: int = ROUNDS) -> np.ndarray:
     flat = initial()
     for r in range(rounds):
 
-        def local(batches, start=flat):
+        def local(batches, start=flat, r=r):
             import pyarrow as pa
 
             words, weights, squares, seen = Words(known), start.copy(), np.zeros_like(start), 0
             for batch in text_slices(batches):
                 ids = [words.ids(t) for t in batch.column("text").to_pylist()]
                 target, context = windows(ids)
-                chosen = np.concatenate([_masked(d, len(i)) for d, i in zip(batch.column("doc_id").to_pylist(), ids, strict=True)])
+                chosen = np.concatenate([_masked(d, len(i), r, rounds) for d, i in zip(batch.column("doc_id").to_pylist(), ids, strict=True)])
                 train(weights, squares, target[chosen], context[chosen])
                 seen += int(chosen.sum())
             if seen:
@@ -188,8 +188,7 @@ def fit(docs: DataFrame, known: list[str], rounds: int = ROUNDS) -> np.ndarray:
                 means = [(total / seen).astype("<f4").tobytes() for seen, total in sums.values()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(means, pa.binary())], ["block", "weights"])
 
-        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select("doc_id", "text")
-        trained = part.mapInArrow(local, "block int, seen double, weights binary").repartition("block")
+        trained = docs.select("doc_id", "text").mapInArrow(local, "block int, seen double, weights binary").repartition("block")
         blocks = trained.mapInArrow(averaged, "block int, weights binary").collect()  # one network, whatever the corpus
         if blocks:
             flat = np.frombuffer(b"".join(bytes(b.weights) for b in sorted(blocks, key=lambda b: b.block)), "<f4").copy()

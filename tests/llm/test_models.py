@@ -111,6 +111,15 @@ def test_scores_like_one_process(spark):
     assert scoring.log_probabilities(flat, target, context).mean() > scoring.log_probabilities(flat, *scoring.windows(shuffled)).mean()
 
 
+def test_every_word_is_trained_on(spark):
+    """Words that a draw of 15 % would leave out."""
+    for k in (1, 2, 3):
+        flat = scoring.fit(docs(spark, [(k, "solo")]), ["solo"])
+        assert not np.array_equal(flat, scoring.initial()), k
+    parts = [scoring._masked(7, 500, r, 3) for r in range(3)]
+    assert (sum(p.astype(int) for p in parts) == 1).all()
+
+
 def test_scores_of_nothing(spark):
     assert scoring.fit_and_score(docs(spark, [])).collect() == []
 
