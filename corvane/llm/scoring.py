@@ -4,7 +4,9 @@ A small network predicts a word from the words on both sides of it: h = tanh(sum
 words, by place), then a class of words from h and a word of that class from h. A document's score is the sum, over
 all its words, of the log-probability of the word given both sides.
 
-The vocabulary is the corpus's most frequent words, counted over all documents, and hash buckets for the others.
+The network tells apart the corpus's most frequent words, counted over all documents, and hash buckets for the others.
+A word of a bucket has the bucket's probability times its share of the bucket's occurrences in the corpus, so every word
+of the corpus has a probability of its own.
 Training is spread over the corpus: in each round every task trains the network, in numpy, on masked words of
 its documents from the last average, and the averages of the tasks' weights, by words seen, begin the next round. A
 hash of document and place deals the words to the rounds: every word of every document is masked in one round. What
@@ -17,9 +19,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.common import materialize, number_rows
 from corvane.llm.tokens import text_slices
 
 CLASSES, MEMBERS = 32, 32
@@ -60,21 +63,37 @@ def initial() -> np.ndarray:
     return flat
 
 
-def vocabulary(docs: DataFrame) -> list[str]:
+def split_words(text: str) -> Column:
+    return F.explode(F.split(F.translate(F.lower(text), "\n", " "), " ")).alias("w")
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """w, count of every word of all docs, stored."""
+    return materialize(docs.select(split_words("text")).where("w != ''").groupBy("w").count(), "counts")
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> list[str]:
     """The most frequent words of all docs, SIZE - BUCKETS of them at most."""
-    words = docs.select(F.explode(F.split(F.translate(F.lower("text"), "\n", " "), " ")).alias("w")).where("w != ''")
-    counts = words.groupBy("w").count()
+    counts = word_counts(docs) if counts is None else counts
     return [r.w for r in counts.orderBy(F.desc("count"), "w").limit(SIZE - BUCKETS).collect()]
 
 
+def log_shares(counts: DataFrame, known: list[str]) -> DataFrame:
+    """w, share: the logarithm of a word's share of its bucket's occurrences, for the words that are not known."""
+    named = F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in known], "w string"))
+    others = counts.join(named, "w", "left_anti").withColumn("bucket", F.crc32(F.col("w").cast("binary")) % BUCKETS)
+    totals = others.groupBy("bucket").agg(F.sum("count").alias("total"))
+    return others.join(F.broadcast(totals), "bucket").select("w", F.log(F.col("count") / F.col("total")).alias("share"))
+
+
 class Words:
-    """Ids of words: by frequency, or one of the buckets behind."""
+    """Ids of the words of lower-cased texts: by frequency, or one of the buckets behind."""
 
     def __init__(self, known: list[str]):
         self.known = {w: i for i, w in enumerate(known)}
 
     def ids(self, text: str | None) -> np.ndarray:
-        words = (text or "").lower().replace("\n", " ").split(" ")
+        words = (text or "").replace("\n", " ").split(" ")
         get = self.known.get
         found = [i if (i := get(w)) is not None else SIZE - BUCKETS + zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in words if w]
         return np.array(found, np.int32)
@@ -188,37 +207,49 @@ def fit(docs: DataFrame, known: list[str], rounds: int = ROUNDS) -> np.ndarray:
                 means = [(total / seen).astype("<f4").tobytes() for seen, total in sums.values()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(means, pa.binary())], ["block", "weights"])
 
-        trained = docs.select("doc_id", "text").mapInArrow(local, "block int, seen double, weights binary").repartition("block")
+        trained = docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(local, "block int, seen double, weights binary").repartition("block")
         blocks = trained.mapInArrow(averaged, "block int, weights binary").collect()  # one network, whatever the corpus
         if blocks:
             flat = np.frombuffer(b"".join(bytes(b.weights) for b in sorted(blocks, key=lambda b: b.block)), "<f4").copy()
     return flat
 
 
-def score(docs: DataFrame, flat: np.ndarray, known: list[str]) -> DataFrame:
-    """doc_id, n_tokens, log_prob (sum over all words), mean_log_prob (null without words) for every row of docs."""
+def score(docs: DataFrame, flat: np.ndarray, known: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, log_prob (sum over all words), mean_log_prob (null without words) for every row of docs.
+
+    counts: w, count of all words of a corpus that docs belong to; those of docs if not given.
+    """
+    counts = word_counts(docs) if counts is None else counts
+    numbered = number_rows(docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text")), "row")
 
     def scored(batches) -> Iterator:
         import pyarrow as pa
 
         words = Words(known)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, ("row", "doc_id", "text")):
             ids = [words.ids(t) for t in batch.column("text").to_pylist()]
             n = np.array([len(i) for i in ids], np.int64)
             lp = log_probabilities(flat, *windows(ids))
             ends = np.cumsum(n)
             total = np.array([lp[a:b].sum() for a, b in zip(ends - n, ends, strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(total, pa.float64())], ["doc_id", "n_tokens", "log_prob"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scored, "doc_id long, n_tokens long, log_prob double")
+            columns = [batch.column("row"), batch.column("doc_id"), pa.array(n), pa.array(total, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "by_network"])
+
+    by_row = numbered.select("row", "doc_id", "text").mapInArrow(scored, "row long, doc_id long, n_tokens long, by_network double")
+    named = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in known], "w string"))
+    others = numbered.select("row", split_words("text")).where("w != ''").join(named, "w", "left_anti")
+    inside = others.join(log_shares(counts, known), "w").groupBy("row").agg(F.sum("share").alias("inside"))
+    log_prob = F.col("by_network") + F.coalesce("inside", F.lit(0.0))
+    rows = by_row.join(inside, "row", "left").select("doc_id", "n_tokens", log_prob.alias("log_prob"))
     return rows.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
 
 
 def fit_and_score(docs: DataFrame) -> DataFrame:
     """Counts, trains and scores over all docs. A null or empty text has no words and the score 0."""
-    known = vocabulary(docs)
+    counts = word_counts(docs)
+    known = vocabulary(docs, counts)
     plain = docs.select(F.col("doc_id").cast("long"), "text")
-    return score(plain, fit(plain, known), known)
+    return score(plain, fit(plain, known), known, counts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

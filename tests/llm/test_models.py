@@ -120,6 +120,18 @@ def test_every_word_is_trained_on(spark):
     assert (sum(p.astype(int) for p in parts) == 1).all()
 
 
+def test_words_of_a_bucket_differ(spark):
+    """Two words that share a bucket are as likely as they are frequent."""
+    by_bucket: dict = {}
+    for i in range(200):
+        by_bucket.setdefault(zlib.crc32(f"w{i}".encode()) % scoring.BUCKETS, []).append(f"w{i}")
+    a, b = next(w for w in by_bucket.values() if len(w) > 1)[:2]
+    rows = [(1, a), (2, b.upper()), (3, f"{a}\n{a}"), (4, "the"), (None, None)]
+    got = {r.doc_id: r for r in scoring.score(docs(spark, rows), scoring.initial(), ["the"]).collect()}
+    assert len(got) == 5 and got[1].log_prob - got[2].log_prob == pytest.approx(math.log(3))
+    assert got[None].log_prob == 0 and got[3].n_tokens == 2
+
+
 def test_scores_of_nothing(spark):
     assert scoring.fit_and_score(docs(spark, [])).collect() == []
 
