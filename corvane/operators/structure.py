@@ -75,6 +75,23 @@ def record_chunks(markdown: Column) -> Column:
     )
 
 
+def numbered(rows: DataFrame, key: str, order: str, ties: list[str]) -> DataFrame:
+    """Adds part, the place from 0 among the rows of a key by order and ties, and size, the rows of the key.
+
+    The rows are dealt into ranges of order, a number, between bounds that are fixed first; each range is numbered by itself, and
+    only its size for each key is added up in one place. Rows with equal order share a range.
+    """
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    bounds = rows.agg(F.percentile_approx(order, [i / n for i in range(1, n)]).alias("b")).first().b or []
+    ranged = rows.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))).cast("array<long>"), lambda b: b < F.col(order))))
+    sizes = ranged.groupBy(key, "_range").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(key)
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(key, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(whole).alias("size"))
+    inside = F.row_number().over(Window.partitionBy(key, "_range").orderBy(order, *ties))
+    return ranged.withColumn("_at", inside).join(bases, [key, "_range"]).withColumn("part", F.col("_at") - 1 + F.col("_base")).drop("_range", "_at", "_base")
+
+
 def artifacts(docs: DataFrame) -> DataFrame:
     """doc_id, artifact, kind, first_line, lines, title of docs: blocks of lines between blank lines or headings."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t"))
@@ -160,8 +177,8 @@ def structure_table_chunks(spark, sf_dir):
 )
 def structure_record_chunks(spark, sf_dir):
     """Sources as texts of records, cut before each record with the lines above the first repeated."""
-    record = F.concat(F.lit("## "), F.col("doc_id").cast("string"), F.lit("\n"), "lang")
-    listed = table(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", record.alias("s")))).alias("r"))
-    md = F.concat(F.lit("# "), "source", F.lit("\n"), F.array_join(F.transform("r", lambda x: x["s"]), "\n"))
-    parts = listed.select("source", F.posexplode(record_chunks(md)).alias("part", "c"))
-    return parts.select("source", "part", F.md5(F.col("c").cast("binary")).alias("chunk_md5"))
+    rows = table(spark, sf_dir, "documents").where("source is not null and doc_id is not null and lang is not null")
+    parts = numbered(rows.select("source", "doc_id", "lang"), "source", "doc_id", ["lang"])
+    end = F.when(F.col("part") == F.col("size") - 1, "").otherwise("\n")
+    md = F.concat(F.lit("# "), "source", F.lit("\n## "), F.col("doc_id").cast("string"), F.lit("\n"), "lang", end)
+    return parts.select("source", F.col("part").cast("int").alias("part"), F.md5(md.cast("binary")).alias("chunk_md5"))

@@ -208,3 +208,24 @@ def test_card_fields(spark):
 def test_sanitized(spark):
     assert one(spark, '{"b": 1, "a": {"x": 2}, "c": null, "d": "long"}', lambda c: numbers.sanitized(c, 8, 2)) == '{"b":"1","d":"lo"}'
     assert one(spark, "no json", numbers.sanitized) in (None, "{}")
+
+
+def test_records_are_numbered_without_gathering_a_source(spark, tmp_path):
+    import hashlib
+
+    rows = [(i * 7 % 101, "en" if i % 3 else "de", "a" if i % 4 else "b") for i in range(101)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = structure.structure_record_chunks(spark, str(tmp_path))
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    want = set()
+    for s in "ab":
+        own = sorted(r for r in rows if r[2] == s)
+        for i, (k, lang, _) in enumerate(own):
+            md = f"# {s}\n## {k}\n{lang}" + ("\n" if i < len(own) - 1 else "")
+            want.add((s, i, hashlib.md5(md.encode()).hexdigest()))
+    assert {tuple(r) for r in found.collect()} == want
+
+
+def test_no_records(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert structure.structure_record_chunks(spark, str(tmp_path)).collect() == []
