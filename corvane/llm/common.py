@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +54,37 @@ def delete_table(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def whole_groups(batches, key: list[str]):
+    """Tables of whole groups of rows that lie together, from Arrow batches in the order of key."""
+    import pyarrow as pa
+
+    held: list = []  # batches of the group that is still open
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if not t.num_rows:
+            continue
+        starts = _group_starts(t, key)
+        if held and any(held[-1].column(c)[-1].as_py() != t.column(c)[0].as_py() for c in key):
+            yield pa.concat_tables(held).combine_chunks()
+            held = []
+        if len(starts) > 1:
+            yield pa.concat_tables([*held, t.slice(0, starts[1])]).combine_chunks()
+            for a, b in zip(starts[1:], starts[2:], strict=False):
+                yield t.slice(a, b - a).combine_chunks()
+            held = []
+        held.append(t.slice(starts[-1]))
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def _group_starts(t, key: list[str]) -> list[int]:
+    new = np.zeros(t.num_rows - 1, bool)
+    for c in key:
+        v = t.column(c).to_numpy()
+        new |= v[1:] != v[:-1]
+    return [0, *(np.flatnonzero(new) + 1).tolist()]
+
+
 def running_start(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Adds to the rows of df the sum of value over all rows before them in the order of keys, which no two rows share.
 

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import components, materialize
+from corvane.llm.common import components, materialize, whole_groups
 
 COSINE = 0.93
 
@@ -64,32 +64,6 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _groups(batches, key: list[str]):
-    """Tables of whole groups of rows that lie together, from Arrow batches in the order of key."""
-    import pyarrow as pa
-
-    held = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
-        if not t.num_rows:
-            continue
-        starts = _starts(t, key)
-        for a, b in zip(starts, starts[1:], strict=False):
-            yield t.slice(a, b - a)
-        held = t.slice(starts[-1])
-    if held is not None:
-        yield held
-
-
-def _starts(t, key: list[str]) -> list[int]:
-    new = np.zeros(t.num_rows - 1, bool)
-    for c in key:
-        v = t.column(c).to_numpy()
-        new |= v[1:] != v[:-1]
-    return [0, *(np.flatnonzero(new) + 1).tolist()]
-
-
 def _first_meeting(a: np.ndarray, b: np.ndarray, table: int, bucket: int) -> np.ndarray:
     """Whether bucket of table is the first in which the entries with bucket numbers a and b meet, row by row."""
     of_a = (a[:, :, :1] == b).any(2)  # b stored in or probing a's own bucket
@@ -178,7 +152,7 @@ def links(entries: DataFrame, cosine: float, tables: int, functions: int, probes
     def verified(batches):
         import pyarrow as pa
 
-        for t in _groups(batches, [*where, "low", "high"]):
+        for t in whole_groups(batches, [*where, "low", "high"]):
             head = {c: t.column(c)[0].as_py() for c in ("tab", "bucket", "dim", "width", "low", "high")}
             if t.num_rows < 2:
                 continue

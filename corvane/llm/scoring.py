@@ -1,69 +1,70 @@
 """Document scores by masked pseudo-likelihood.
 
-A small network predicts a word from the words on both sides of it: h = tanh(sum of the embeddings of the window's
-words, by place), then a class of words from h and a word of that class from h. A document's score is the sum, over
-all its words, of the log-probability of the word given both sides.
-
-The network tells apart the corpus's most frequent words, counted over all documents, and hash buckets for the others.
-A word of a bucket has the bucket's probability times its share of the bucket's occurrences in the corpus, so every word
-of the corpus has a probability of its own.
-Training is spread over the corpus: in each round every task trains the network, in numpy, on masked words of
-its documents from the last average, and the averages of the tasks' weights, by words seen, begin the next round. A
-hash of document and place deals the words to the rounds: every word of every document is masked in one round. What
-tasks hand on is summed block by block, so no place holds all of their networks.
+A bidirectional window network (network.py) predicts every word of every document from the words on both sides of it;
+a document's score is the sum of the log-probabilities of all its words. The vocabulary is the corpus's own: the most
+frequent words, about half the square root of the corpus's length and so more of them in a larger corpus, are leaves of
+the network. The other words fall into classes by their last two bytes, which are leaves too, and within its class a
+word has a probability of its own, from the other documents: (c + m * s) / (C + m), with c its occurrences and C those of
+its class outside of the row that is scored, s the probability of its spelling under the corpus's byte frequencies and m
+the mean number of words that a class has once. So no document is evidence for itself.
+
+1. Words of all texts are counted, the rows numbered and stored.
+2. Rows are dealt into shards by a hash of doc_id and text, in the order of that hash; a shard has a fixed number of
+   words, so that shards follow the corpus and not the cluster. They are stored as word ids.
+3. In each round every shard trains the network, in numpy, on all its words from the last average; averages of the
+   weights by words trained on begin the next round. They are added up block by block, in the order of the shards.
+4. Words of classes go to buckets by their hash, where a word's occurrences are counted over all rows, and the logarithms
+   go back as one sum a row.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+import math
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize, number_rows
+from corvane.llm.common import delete_table, materialize, number_rows, whole_groups
+from corvane.llm.network import Network, windows
+from corvane.llm.phrases import Hashes
 from corvane.llm.tokens import text_slices
 
-CLASSES, MEMBERS = 32, 32
-SIZE = CLASSES * MEMBERS
-BUCKETS = 64
-WINDOW = 2
-HIDDEN = 16
+ENDINGS = 64
 ROUNDS = 2
-_PAD = SIZE
-_BLOCK = 4096
-
-#: Names and shapes of the weights, one after the other in a flat vector.
-SHAPES = {
-    "context": (2 * WINDOW, SIZE + 1, HIDDEN),
-    "bias": (HIDDEN,),
-    "to_class": (HIDDEN, CLASSES),
-    "class_bias": (CLASSES,),
-    "to_member": (CLASSES, HIDDEN, MEMBERS),
-    "member_bias": (CLASSES, MEMBERS),
-}
-WEIGHTS = sum(int(np.prod(s)) for s in SHAPES.values())
-
-
-def views(flat: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for name, shape in SHAPES.items():
-        n = int(np.prod(shape))
-        out[name] = flat[at : at + n].reshape(shape)
-        at += n
-    return out
-
-
-def initial() -> np.ndarray:
-    flat = np.zeros(WEIGHTS, np.float32)
-    rng = np.random.default_rng(8)
-    for name in ("context", "to_class", "to_member"):
-        views(flat)[name][:] = rng.normal(0, 0.1, SHAPES[name])
-    return flat
-
-
-def split_words(text: str) -> Column:
+#: Branches of the network's choices: the vocabulary has their third power.
+LEAST_BRANCHES, MOST_BRANCHES = 5, 64
+#: Words of a shard; a network with many weights has longer ones.
+SHARD_WORDS = 1 << 22
+_BLOCK = 1 << 14
+#: Bytes of words that are hashed at once.
+_BYTES = 1 << 22
+#: Bytes of a word's hash that are handed on; its bucket is another part of the hash.
+_HASH = 5
+
+
+@dataclass
+class Vocabulary:
+    """What is known of the corpus's words: the leaves by frequency, and what the rest needs."""
+
+    branches: int
+    known: list[str]
+    spelling: np.ndarray  # log-probability of each byte, and of the end of a word
+    class_totals: np.ndarray
+    novel: float
+    words: int
+
+    @property
+    def pad(self) -> int:
+        return self.branches**3
+
+    @property
+    def classes_from(self) -> int:
+        return self.pad - ENDINGS
+
+
+def split_words(text: str):
     return F.explode(F.split(F.translate(F.lower(text), "\n", " "), " ")).alias("w")
 
 
@@ -72,184 +73,322 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return materialize(docs.select(split_words("text")).where("w != ''").groupBy("w").count(), "counts")
 
 
-def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> list[str]:
-    """The most frequent words of all docs, SIZE - BUCKETS of them at most."""
-    counts = word_counts(docs) if counts is None else counts
-    return [r.w for r in counts.orderBy(F.desc("count"), "w").limit(SIZE - BUCKETS).collect()]
+def _flat(words) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, ends) of an Arrow array of words that lie one after the other."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = words.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
+
+
+def endings(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The class of each word: by its last two bytes."""
+    starts = np.concatenate([[0], ends[:-1]])
+    last = data[ends - 1].astype(np.int64)
+    before = np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)], 0)
+    return (last * 29 + before) % ENDINGS
+
+
+def vocabulary(counts: DataFrame, branches: int | None = None) -> Vocabulary:
+    """Describes the words of counts. The driver gets the leaves' words, a histogram, and sums by byte and class."""
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    if branches is None:
+        branches = min(max(round((0.5 * math.sqrt(total)) ** (1 / 3)), LEAST_BRANCHES), MOST_BRANCHES)
+    most = branches**3 - ENDINGS
+    # words are taken from the top in whole bins of equal or nearly equal counts, which fixes a count below which none is
+    level = F.floor(F.log2("count") * 64)
+    bins = sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.level)
+    fits = np.cumsum([r.n for r in bins]) <= most
+    lowest = bins[int(fits.sum()) - 1].level if fits.any() else math.inf
+    top = counts.where(level >= lowest).collect() if fits.any() else []
+    known = [r.w for r in sorted(top, key=lambda r: (-r["count"], r.w))]
+
+    def sums(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        letters, classes, once = np.zeros(257), np.zeros(ENDINGS), 0
+        leaves = pa.array(known, pa.string())
+        for batch in batches:
+            batch = batch.filter(pc.invert(pc.is_in(batch.column("w"), value_set=leaves)))
+            if not batch.num_rows:
+                continue
+            data, ends = _flat(batch.column("w"))
+            n = batch.column("count").to_numpy()
+            letters[:256] += np.bincount(data, minlength=256)
+            letters[256] += len(ends)
+            classes += np.bincount(endings(data, ends), n, ENDINGS)
+            once += int((n == 1).sum())
+        out = np.concatenate([letters, classes, [once]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], ["i", "v"])
+
+    rows = counts.select("w", "count").mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(257 + ENDINGS + 1)
+    for r in rows:
+        out[r.i] = r.v
+    spelling = np.log((out[:257] + 0.5) / (out[:257] + 0.5).sum())
+    return Vocabulary(branches, known, spelling, out[257:-1], max(1.0, out[-1] / ENDINGS), total)
 
 
-def log_shares(counts: DataFrame, known: list[str]) -> DataFrame:
-    """w, share: the logarithm of a word's share of its bucket's occurrences, for the words that are not known."""
-    named = F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in known], "w string"))
-    others = counts.join(named, "w", "left_anti").withColumn("bucket", F.crc32(F.col("w").cast("binary")) % BUCKETS)
-    totals = others.groupBy("bucket").agg(F.sum("count").alias("total"))
-    return others.join(F.broadcast(totals), "bucket").select("w", F.log(F.col("count") / F.col("total")).alias("share"))
+class Words:
+    """Cuts texts into words and numbers them."""
 
+    def __init__(self, vocabulary: Vocabulary):
+        import pyarrow as pa
 
-class Words:
-    """Ids of the words of lower-cased texts: by frequency, or one of the buckets behind."""
-
-    def __init__(self, known: list[str]):
-        self.known = {w: i for i, w in enumerate(known)}
-
-    def ids(self, text: str | None) -> np.ndarray:
-        words = (text or "").replace("\n", " ").split(" ")
-        get = self.known.get
-        found = [i if (i := get(w)) is not None else SIZE - BUCKETS + zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in words if w]
-        return np.array(found, np.int32)
-
-
-def windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(target, context) of all words of some documents; a place outside of the document holds the pad."""
-    gap = np.full(WINDOW, _PAD, np.int32)
-    padded = np.concatenate([gap, *(x for i in ids for x in (i, gap))])
-    is_word = np.flatnonzero(padded != _PAD)
-    offsets = [d for d in range(-WINDOW, WINDOW + 1) if d]
-    return padded[is_word], np.stack([padded[is_word + d] for d in offsets], 1)
-
-
-def _hidden(w: dict[str, np.ndarray], context: np.ndarray) -> np.ndarray:
-    return np.tanh(sum(w["context"][j][context[:, j]] for j in range(2 * WINDOW)) + w["bias"])
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
-
-
-def log_probabilities(flat: np.ndarray, target: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Log-probability of each target given its context."""
-    w = views(flat)
-    out = np.empty(len(target), np.float64)
-    for a in range(0, len(target), 1 << 15):
-        t, h = target[a : a + (1 << 15)], _hidden(w, context[a : a + (1 << 15)])
-        group = t // MEMBERS
-        p = _softmax(h @ w["to_class"] + w["class_bias"])[np.arange(len(t)), group]
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                q = _softmax(h[rows] @ w["to_member"][c] + w["member_bias"][c])
-                p[rows] *= q[np.arange(len(rows)), t[rows] % MEMBERS]
-        out[a : a + len(t)] = np.log(np.maximum(p, 1e-30))
-    return out
-
-
-def train(flat: np.ndarray, squares: np.ndarray, target: np.ndarray, context: np.ndarray, rate: float = 0.1, batch: int = 4096) -> None:
-    """Adagrad steps over the targets, in place."""
-    w = views(flat)
-    for a in range(0, len(target), batch):
-        t, x = target[a : a + batch], context[a : a + batch]
-        grad = np.zeros_like(flat)
-        g = views(grad)
-        h = _hidden(w, x)
-        group = t // MEMBERS
-        d = _softmax(h @ w["to_class"] + w["class_bias"])
-        d[np.arange(len(t)), group] -= 1
-        g["to_class"][:], g["class_bias"][:] = h.T @ d, d.sum(0)
-        back = d @ w["to_class"].T
-        for c in np.unique(group):
-            rows = np.flatnonzero(group == c)
-            d = _softmax(h[rows] @ w["to_member"][c] + w["member_bias"][c])
-            d[np.arange(len(rows)), t[rows] % MEMBERS] -= 1
-            g["to_member"][c], g["member_bias"][c] = h[rows].T @ d, d.sum(0)
-            back[rows] += d @ w["to_member"][c].T
-        back *= 1 - h * h
-        g["bias"][:] = back.sum(0)
-        for j in range(2 * WINDOW):
-            for k in range(HIDDEN):
-                g["context"][j, :, k] = np.bincount(x[:, j], back[:, k], SIZE + 1)
-        grad /= np.float32(np.sqrt(len(t)))
-        squares += grad * grad
-        flat -= rate * grad / np.sqrt(squares + 1e-6)
-
-
-def _masked(doc_id: int | None, n: int, r: int, rounds: int) -> np.ndarray:
-    """The words of a document that round r trains on; the rounds share them all out."""
-    return np.random.default_rng([zlib.crc32(str(doc_id).encode()), n]).integers(rounds, size=n) == r
-
-
-def fit(docs: DataFrame, known: list[str], rounds: int = ROUNDS) -> np.ndarray:
-    """The weights after rounds over all docs (doc_id, text)."""
-    flat = initial()
-    for r in range(rounds):
-
-        def local(batches, start=flat, r=r):
+        self.v = vocabulary
+        self.leaves = pa.array(vocabulary.known, pa.string())
+
+    def cut(self, texts):
+        """(words of all texts one after the other, number of each text's words, leaf of each word, whether it is a class)."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        words = parts.flatten()
+        some = pc.greater(pc.binary_length(words), 0)
+        held = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+        at = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())])
+        words = pa.concat_arrays([words.filter(some)])
+        leaf = pc.fill_null(pc.index_in(words, value_set=self.leaves), -1).to_numpy().copy()
+        rare = leaf < 0
+        if rare.any():
+            leaf[rare] = self.v.classes_from + endings(*_flat(words.filter(pa.array(rare))))
+        return words, np.diff(held[at]), leaf.astype(np.uint32 if self.v.pad > 65_535 else np.uint16), rare
+
+    def rare(self, words):
+        """Yields (first word, hashes, log-probabilities of the spelling) of some words at a time."""
+        data, ends = _flat(words)
+        starts = np.concatenate([[0], ends[:-1]])
+        a = 0
+        while a < len(ends):
+            b = max(a + 1, int(np.searchsorted(ends, starts[a] + _BYTES)))
+            piece = data[starts[a] : ends[b - 1]]
+            i, j = starts[a:b] - starts[a], ends[a:b] - starts[a]
+            sums = np.concatenate([[0], np.cumsum(self.v.spelling[piece])])
+            yield a, Hashes(piece).of(i, j), sums[j] - sums[i] + self.v.spelling[256]
+            a = b
+
+
+def shards(numbered: DataFrame, v: Vocabulary, shard_words: int | None = None) -> DataFrame:
+    """The corpus as word ids, stored: shard, part, rows, docs, sizes (words of each row) and ids, one row for some documents.
+
+    numbered: row, doc_id, text. A shard that a hash fills too much is cut into parts, whole documents each.
+    """
+    each = shard_words or max(SHARD_WORDS, 8 * len(Network(v.branches).flat))
+    count = max(1, math.ceil(v.words / each))
+    most = each * 5 // 4
+    kind = "<u4" if v.pad > 65_535 else "<u2"
+
+    def numbers(batches):
+        import pyarrow as pa
+
+        words = Words(v)
+        for batch in text_slices(batches, ("row", "doc_id", "key", "text")):
+            _, sizes, leaf, _ = words.cut(batch.column("text"))
+            ends = np.cumsum(sizes)
+            blobs = [leaf[a:b].astype(kind).tobytes() for a, b in zip(ends - sizes, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("row", "doc_id", "key")), pa.array(sizes.astype(np.int32)), pa.array(blobs, pa.binary())],
+                ["row", "doc_id", "key", "size", "ids"],
+            )
+
+    def packed(batches):
+        import pyarrow as pa
+
+        held: list[dict] = []
+        at = None
+
+        def row(part):
+            columns = [pa.array([[h[c] for h in held]], t) for c, t in (("row", pa.list_(pa.int64())), ("doc_id", pa.list_(pa.int64())), ("size", pa.list_(pa.int32())))]
+            blob = pa.array([b"".join(h["ids"] for h in held)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([part], pa.int32()), *columns, blob], ["shard", "part", "rows", "docs", "sizes", "ids"])
+
+        part = size = 0
+        for batch in batches:
+            for r in batch.select(["shard", "row", "doc_id", "size", "ids"]).to_pylist():
+                if held and (r["shard"] != at or size + r["size"] > most):
+                    yield row(part)
+                    part, held, size = (part + 1 if r["shard"] == at else 0), [], 0
+                at = r["shard"]
+                held.append(r)
+                size += r["size"]
+        if held:
+            yield row(part)
+
+    keyed = numbered.select("row", "doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    ids = keyed.mapInArrow(numbers, "row long, doc_id long, key long, size int, ids binary")
+    dealt = ids.withColumn("shard", F.pmod("key", F.lit(count)).cast("long")).repartition("shard").sortWithinPartitions("shard", "key", "doc_id", "ids")
+    schema = "shard long, part int, rows array<long>, docs array<long>, sizes array<int>, ids binary"
+    return materialize(dealt.mapInArrow(packed, schema), "shards")
+
+
+def _documents(batch, v: Vocabulary):
+    """Yields (places of some documents, their words, sizes) of each stored row of a batch of shards()."""
+    kind = "<u4" if v.pad > 65_535 else "<u2"
+    for sizes, blob in zip(batch.column("sizes").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+        ids, ends = np.frombuffer(blob, kind), np.cumsum(np.array(sizes, np.int64))
+        a = 0
+        while a < len(sizes):  # whole documents, some 2 ** 18 words at a time
+            before = ends[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, before + (1 << 18))))
+            cuts = np.concatenate([[before], ends[a:b]])
+            yield a, [ids[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+            a = b
+
+
+def fit(packed: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+    """The weights after rounds over all words of packed, which shards() gives."""
+    context = packed.sparkSession.sparkContext
+    flat = Network.initial(v.branches).flat
+    for _ in range(rounds):
+        start = context.broadcast(flat)
+
+        def trained(batches, start=start):
             import pyarrow as pa
 
-            words, weights, squares, seen = Words(known), start.copy(), np.zeros_like(start), 0
-            for batch in text_slices(batches):
-                ids = [words.ids(t) for t in batch.column("text").to_pylist()]
-                target, context = windows(ids)
-                chosen = np.concatenate([_masked(d, len(i), r, rounds) for d, i in zip(batch.column("doc_id").to_pylist(), ids, strict=True)])
-                train(weights, squares, target[chosen], context[chosen])
-                seen += int(chosen.sum())
-            if seen:
-                blocks = [weights[a : a + _BLOCK] for a in range(0, WEIGHTS, _BLOCK)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(len(blocks)), pa.int32()), pa.array([float(seen)] * len(blocks)), pa.array([b.tobytes() for b in blocks], pa.binary())],
-                    ["block", "seen", "weights"],
-                )
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    one = batch.slice(i, 1)
+                    network, seen = Network(v.branches, start.value.copy()), 0
+                    squares = np.zeros_like(network.flat)
+                    for _, ids in _documents(one, v):
+                        target, around = windows(ids, v.pad)
+                        network.train(squares, target, around)
+                        seen += len(target)
+                    if not seen:
+                        continue
+                    blocks = [network.flat[a : a + _BLOCK].tobytes() for a in range(0, len(network.flat), _BLOCK)]
+                    n = len(blocks)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(range(n), pa.int32()), pa.array([one.column("shard")[0].as_py()] * n), pa.array([one.column("part")[0].as_py()] * n, pa.int32()), pa.array([float(seen)] * n), pa.array(blocks, pa.binary())],
+                        ["block", "shard", "part", "seen", "weights"],
+                    )
 
         def averaged(batches):
             import pyarrow as pa
 
-            sums: dict[int, list] = {}
-            for batch in batches:
-                for block, seen, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "seen", "weights")), strict=True):
-                    total = sums.setdefault(block, [0.0, 0.0])
-                    total[0] += seen
-                    total[1] = total[1] + seen * np.frombuffer(raw, "<f4").astype(np.float64)
-            if sums:
-                means = [(total / seen).astype("<f4").tobytes() for seen, total in sums.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(means, pa.binary())], ["block", "weights"])
-
-        trained = docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(local, "block int, seen double, weights binary").repartition("block")
-        blocks = trained.mapInArrow(averaged, "block int, weights binary").collect()  # one network, whatever the corpus
+            for t in whole_groups(batches, ["block"]):
+                seen, total = 0.0, 0.0
+                for n, raw in zip(t.column("seen").to_pylist(), t.column("weights").to_pylist(), strict=True):
+                    seen += n
+                    total = total + n * np.frombuffer(raw, "<f4").astype(np.float64)
+                yield pa.RecordBatch.from_arrays([t.column("block").combine_chunks()[:1], pa.array([(total / seen).astype("<f4").tobytes()], pa.binary())], ["block", "weights"])
+
+        by_shard = packed.select("shard", "part", "sizes", "ids").mapInArrow(trained, "block int, shard long, part int, seen double, weights binary")
+        ordered = by_shard.repartition("block").sortWithinPartitions("block", "shard", "part")
+        blocks = ordered.mapInArrow(averaged, "block int, weights binary").collect()  # one network, of bounded size
         if blocks:
             flat = np.frombuffer(b"".join(bytes(b.weights) for b in sorted(blocks, key=lambda b: b.block)), "<f4").copy()
+        start.destroy()
     return flat
 
 
-def score(docs: DataFrame, flat: np.ndarray, known: list[str], counts: DataFrame | None = None) -> DataFrame:
-    """doc_id, n_tokens, log_prob (sum over all words), mean_log_prob (null without words) for every row of docs.
+def network_scores(packed: DataFrame, v: Vocabulary, flat: np.ndarray) -> DataFrame:
+    """row, doc_id, n_tokens, value: the summed log-probabilities of the leaves, less the classes' logarithms in each row."""
+    weights = packed.sparkSession.sparkContext.broadcast(flat)
 
-    counts: w, count of all words of a corpus that docs belong to; those of docs if not given.
-    """
-    counts = word_counts(docs) if counts is None else counts
-    numbered = number_rows(docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text")), "row")
+    def scored(batches):
+        import pyarrow as pa
 
-    def scored(batches) -> Iterator:
+        network = Network(v.branches, weights.value)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                rows, docs = one.column("rows")[0].values, one.column("docs")[0].values
+                for a, ids in _documents(one, v):
+                    n = np.array([len(x) for x in ids], np.int64)
+                    target, around = windows(ids, v.pad)
+                    of = np.repeat(np.arange(len(ids)), n)
+                    value = np.bincount(of, network.log_probabilities(target, around), len(ids)).astype(float)
+                    rare = target >= v.classes_from
+                    held, own = np.unique(of[rare] * ENDINGS + (target[rare].astype(np.int64) - v.classes_from), return_counts=True)
+                    others = np.maximum(v.class_totals[held % ENDINGS] - own, 0)
+                    value -= np.bincount(held // ENDINGS, own * np.log(others + v.novel), len(ids))
+                    part = slice(a, a + len(ids))
+                    yield pa.RecordBatch.from_arrays([rows[part], docs[part], pa.array(n), pa.array(value)], ["row", "doc_id", "n_tokens", "value"])
+
+    return packed.select("rows", "docs", "sizes", "ids").mapInArrow(scored, "row long, doc_id long, n_tokens long, value double")
+
+
+def class_scores(numbered: DataFrame, v: Vocabulary) -> DataFrame:
+    """row, inside: the summed logarithms of c + m * s of a row's words of classes."""
+    count = 2 * max(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")), numbered.rdd.getNumPartitions())
+
+    def hashed(batches):
         import pyarrow as pa
 
-        words = Words(known)
-        for batch in text_slices(batches, ("row", "doc_id", "text")):
-            ids = [words.ids(t) for t in batch.column("text").to_pylist()]
-            n = np.array([len(i) for i in ids], np.int64)
-            lp = log_probabilities(flat, *windows(ids))
-            ends = np.cumsum(n)
-            total = np.array([lp[a:b].sum() for a, b in zip(ends - n, ends, strict=True)])
-            columns = [batch.column("row"), batch.column("doc_id"), pa.array(n), pa.array(total, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "by_network"])
-
-    by_row = numbered.select("row", "doc_id", "text").mapInArrow(scored, "row long, doc_id long, n_tokens long, by_network double")
-    named = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in known], "w string"))
-    others = numbered.select("row", split_words("text")).where("w != ''").join(named, "w", "left_anti")
-    inside = others.join(log_shares(counts, known), "w").groupBy("row").agg(F.sum("share").alias("inside"))
-    log_prob = F.col("by_network") + F.coalesce("inside", F.lit(0.0))
-    rows = by_row.join(inside, "row", "left").select("doc_id", "n_tokens", log_prob.alias("log_prob"))
-    return rows.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
+        cutter = Words(v)
+        for batch in text_slices(batches, ("row", "text")):
+            words, sizes, _, rare = cutter.cut(batch.column("text"))
+            row = np.repeat(batch.column("row").to_numpy(), sizes)[rare]
+            words = words.filter(pa.array(rare))
+            for a, keys, spelled in cutter.rare(words):
+                bucket = (keys >> np.uint64(40)) % np.uint64(count)
+                order = np.argsort(bucket, kind="stable")
+                bucket, keys, rows, spelled = bucket[order], keys[order], row[a : a + len(keys)][order], spelled[order].astype("<f2")
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+                blobs = []
+                for i, j in zip(cuts, cuts[1:], strict=False):  # byte by byte, so that what is alike lies together
+                    low = keys[i:j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_HASH]
+                    near = (rows[i:j] - rows[i]).astype("<i8").view(np.uint8).reshape(-1, 8)
+                    blobs.append(low.T.tobytes() + near.T.tobytes() + spelled[i:j].tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[cuts[:-1]].astype(np.int64)), pa.array(rows[cuts[:-1]]), pa.array(blobs, pa.binary())], ["bucket", "first", "words"]
+                )
+
+    def counted(batches):
+        import pyarrow as pa
 
+        for t in whole_groups(batches, ["bucket"]):
+            keys, rows, spelled = [], [], []
+            for first, blob in zip(t.column("first").to_pylist(), t.column("words").to_pylist(), strict=True):
+                raw = np.frombuffer(blob, np.uint8)
+                n = len(raw) // (_HASH + 10)
+                key = np.zeros((n, 8), np.uint8)
+                key[:, :_HASH] = raw[: _HASH * n].reshape(_HASH, n).T
+                keys.append(key.view("<u8").ravel())
+                rows.append(np.ascontiguousarray(raw[_HASH * n : (_HASH + 8) * n].reshape(8, n).T).view("<i8").ravel() + first)
+                spelled.append(raw[(_HASH + 8) * n :].view("<f2"))
+            key, row, log_spelled = np.concatenate(keys), np.concatenate(rows), np.concatenate(spelled)
+            order = np.lexsort((row, key))
+            key, row, log_spelled = key[order], row[order], log_spelled[order].astype(float)
+            word = np.concatenate([[True], key[1:] != key[:-1]])
+            pair = word | np.concatenate([[True], row[1:] != row[:-1]])
+            starts = np.flatnonzero(pair)
+            own = np.diff(np.concatenate([starts, [len(key)]]))
+            total = np.bincount(np.cumsum(word) - 1)[(np.cumsum(word) - 1)[starts]]
+            with np.errstate(divide="ignore"):
+                value = own * np.logaddexp(np.log(total - own), math.log(v.novel) + log_spelled[starts])
+            found, of = np.unique(row[starts], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(of, value))], ["row", "inside"])
+
+    words = numbered.select("row", "text").mapInArrow(hashed, "bucket long, first long, words binary")
+    by_bucket = words.repartition("bucket").sortWithinPartitions("bucket")
+    return by_bucket.mapInArrow(counted, "row long, inside double").groupBy("row").agg(F.sum("inside").alias("inside"))
+
+
+def fit_and_score(docs: DataFrame, rounds: int = ROUNDS, branches: int | None = None, shard_words: int | None = None) -> DataFrame:
+    """doc_id, n_tokens, log_prob (sum over all words), mean_log_prob (null without words) for every row of docs.
 
-def fit_and_score(docs: DataFrame) -> DataFrame:
-    """Counts, trains and scores over all docs. A null or empty text has no words and the score 0."""
+    Trains on and counts all rows of docs. Words are what spaces and line ends part, lower-cased. A null or empty
+    text has no words and the score 0; rows that repeat a doc_id are documents of their own; very long texts
+    are one document. Without rows the result is empty.
+    """
     counts = word_counts(docs)
-    known = vocabulary(docs, counts)
-    plain = docs.select(F.col("doc_id").cast("long"), "text")
-    return score(plain, fit(plain, known), known, counts)
+    v = vocabulary(counts, branches)
+    delete_table(counts)
+    numbered = number_rows(docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text")), "row")
+    packed = shards(numbered, v, shard_words)
+    inside = materialize(class_scores(numbered, v), "inside")
+    delete_table(numbered)
+    by_row = network_scores(packed, v, fit(packed, v, rounds))
+    log_prob = F.when(F.col("n_tokens") > 0, F.col("value") + F.coalesce("inside", F.lit(0.0))).otherwise(0.0)
+    rows = by_row.join(inside, "row", "left").select("doc_id", "n_tokens", log_prob.alias("log_prob"))
+    found = materialize(rows.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))), "scores")
+    for table in (packed, inside):
+        delete_table(table)
+    return found
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

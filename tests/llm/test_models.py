@@ -1,13 +1,16 @@
 """Toxicity, language-model scores and embeddings."""
 
+import collections
 import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import embeddings, scoring, toxicity
+from corvane.llm import embeddings, network, scoring, toxicity
+from corvane.llm.common import number_rows
 from tests.llm.helpers import docs, with_clashes
 
 
@@ -83,57 +86,136 @@ def test_label_model_finds_accuracies_and_correlation():
     assert m["correlation"].argmax() in (3 * 6 + 4, 4 * 6 + 3) and m["weight"][3] < 0.85 < m["weight"][0]
 
 
+def test_gradient_of_one_step():
+    """Against central differences in double precision, and one Adagrad step written out."""
+    rng = np.random.default_rng(4)
+    net = network.Network(3, rng.normal(0, 0.3, len(network.Network(3).flat)))
+    target, around = rng.integers(27, size=9).astype(np.uint16), rng.integers(28, size=(9, 4)).astype(np.uint16)
+
+    def loss(flat):
+        w, total = network.Network(3, flat), 0.0
+        for t, x in zip(target.tolist(), around.tolist(), strict=True):
+            h = np.append(np.tanh(sum(w.context[j][c] for j, c in enumerate(x)) + w.bias), 1)
+            for level, node, branch in ((w.first, 0, t // 9), (w.second, t // 9, t // 3 % 3), (w.third, t // 3, t % 3)):
+                z = h @ level[node]
+                total -= z[branch] - math.log(np.exp(z).sum())
+        return total
+
+    grad = net.gradient(target, around)
+    for i in rng.permutation(len(grad))[:150]:
+        up, down = net.flat.copy(), net.flat.copy()
+        up[i] += 1e-5
+        down[i] -= 1e-5
+        assert grad[i] == pytest.approx((loss(up) - loss(down)) / 2e-5, abs=1e-3)
+    start, squares = net.flat.copy(), np.zeros_like(net.flat)
+    net.train(squares, target, around)
+    step = grad / 3
+    assert np.allclose(net.flat, start - 0.1 * step / np.sqrt(step**2 + 1e-6), atol=1e-4)
+
+
+def sentences(rng, n):
+    """Numbered texts whose words follow from those around them, and some words that few texts have."""
+    out = []
+    for i in range(n):
+        at = int(rng.integers(6))
+        words = [["the", "cat", "sat", "on", "a", "mat"][(at + j) % 6] for j in range(int(rng.integers(5, 60)))]
+        words.insert(2, f"w{rng.integers(90)}x")
+        out.append((i, " ".join(words)))
+    return out
+
+
 def test_scores_like_one_process(spark):
     rng = np.random.default_rng(1)
-    rows = [(i, " ".join(["the", "cat", "sat", "on", "a", "mat"][j % 6] for j in range(rng.integers(5, 60)))) for i in range(80)]
-    rows += [(100, ""), (101, None), (102, "the cat " * 20000), (5, rows[5][1]), (None, "cat the")]
+    rows = sentences(rng, 80)
+    rows += [(100, ""), (101, None), (102, "The cat " * 20000), (5, rows[5][1]), (5, rows[5][1]), (None, "cat the\nZugg"), (None, "mat"), (103, "  two  spaces\n\nà")]
     df = with_clashes(docs(spark, rows))
-    known = scoring.vocabulary(df)
-    flat = scoring.fit(df, known)
-    got = {(r.doc_id, r.n_tokens): (r.log_prob, r.mean_log_prob) for r in scoring.score(df, flat, known).collect()}
-    words = scoring.Words(known)
-    w = scoring.views(flat)
-    for k, t in rows[:3] + rows[-3:]:
-        ids = words.ids(t).tolist()
-        total = 0.0
-        for i, x in enumerate(ids[:200] if len(ids) < 1000 else []):
-            around = [ids[i + d] if 0 <= i + d < len(ids) else scoring._PAD for d in (-2, -1, 1, 2)]
-            h = np.tanh(sum(w["context"][j][c] for j, c in enumerate(around)) + w["bias"])
-            a, b = h @ w["to_class"] + w["class_bias"], h @ w["to_member"][x // 32] + w["member_bias"][x // 32]
-            total += a[x // 32] - math.log(np.exp(a).sum()) + b[x % 32] - math.log(np.exp(b).sum())
-        if len(ids) < 1000:
-            assert got[k, len(ids)][0] == pytest.approx(total, abs=1e-2)
-    assert got[100, 0] == (0.0, None) == got[101, 0]
-    target, context = scoring.windows([words.ids(t) for _, t in rows[:80]])
-    before = scoring.log_probabilities(scoring.initial(), target, context).mean()
-    assert scoring.log_probabilities(flat, target, context).mean() > before + 0.5
-    shuffled = [rng.permutation(words.ids(t)) for _, t in rows[:80]]
-    assert scoring.log_probabilities(flat, target, context).mean() > scoring.log_probabilities(flat, *scoring.windows(shuffled)).mean()
-
-
-def test_every_word_is_trained_on(spark):
-    """Words that a draw of 15 % would leave out."""
-    for k in (1, 2, 3):
-        flat = scoring.fit(docs(spark, [(k, "solo")]), ["solo"])
-        assert not np.array_equal(flat, scoring.initial()), k
-    parts = [scoring._masked(7, 500, r, 3) for r in range(3)]
-    assert (sum(p.astype(int) for p in parts) == 1).all()
-
-
-def test_words_of_a_bucket_differ(spark):
-    """Two words that share a bucket are as likely as they are frequent."""
-    by_bucket: dict = {}
-    for i in range(200):
-        by_bucket.setdefault(zlib.crc32(f"w{i}".encode()) % scoring.BUCKETS, []).append(f"w{i}")
-    a, b = next(w for w in by_bucket.values() if len(w) > 1)[:2]
-    rows = [(1, a), (2, b.upper()), (3, f"{a}\n{a}"), (4, "the"), (None, None)]
-    got = {r.doc_id: r for r in scoring.score(docs(spark, rows), scoring.initial(), ["the"]).collect()}
-    assert len(got) == 5 and got[1].log_prob - got[2].log_prob == pytest.approx(math.log(3))
-    assert got[None].log_prob == 0 and got[3].n_tokens == 2
+    v = scoring.vocabulary(scoring.word_counts(df), branches=5)
+    assert len(v.known) <= 125 - scoring.ENDINGS and set(v.known[:2]) == {"cat", "the"}
+    numbered = number_rows(df.select("doc_id", F.lower("text").alias("text")), "row")
+    packed = scoring.shards(numbered, v, 5000)
+    assert packed.count() > 1
+    flat = scoring.fit(packed, v)
+    got = sorted(((r.doc_id, r.n_tokens, r.log_prob, r.mean_log_prob) for r in scoring.fit_and_score(df, branches=5, shard_words=5000).collect()), key=str)
+    w = network.Network(5, flat)
+    number = {x: i for i, x in enumerate(v.known)}
+    texts = [(k, [x for x in (t or "").lower().replace("\n", " ").split(" ") if x]) for k, t in rows]
+    total = collections.Counter(x for _, t in texts for x in t)
+    assert sum(total.values()) == v.words
+    rest = {x: n for x, n in total.items() if x not in number}
+    letters = np.bincount(np.frombuffer("".join(rest).encode(), np.uint8), minlength=256)
+    letters = (np.append(letters, len(rest)) + 0.5) / (letters.sum() + len(rest) + 257 / 2)
+    novel = max(1.0, sum(n == 1 for n in rest.values()) / scoring.ENDINGS)
+
+    def ending(x):
+        x = x.encode()
+        return (x[-1] * 29 + (x[-2] if len(x) > 1 else 0)) % scoring.ENDINGS
+
+    want = []
+    for k, t in texts:
+        ids = [number[x] if x in number else 125 - scoring.ENDINGS + ending(x) for x in t]
+        own, score = collections.Counter(t), 0.0
+        if len(t) > 1000:
+            ids = ids[:0]
+        for i, x in enumerate(ids):
+            around = [ids[i + d] if 0 <= i + d < len(ids) else 125 for d in (-2, -1, 1, 2)]
+            h = np.append(np.tanh(sum(w.context[j][c] for j, c in enumerate(around)) + w.bias), 1)
+            for level, node, branch in ((w.first, 0, x // 25), (w.second, x // 25, x // 5 % 5), (w.third, x // 5, x % 5)):
+                z = h @ level[node]
+                score += z[branch] - math.log(np.exp(z).sum())
+            if t[i] in rest:
+                of = sum(n - own[y] for y, n in rest.items() if ending(y) == ending(t[i]))
+                spelled = math.prod(letters[b] for b in t[i].encode()) * letters[256]
+                score += math.log((rest[t[i]] - own[t[i]] + novel * spelled) / (of + novel))
+        want.append((k, len(t), score if len(t) < 1000 else None, score / len(t) if t else None))
+    for a, b in zip(got, sorted(want, key=str), strict=True):
+        assert a[:2] == b[:2] and (a[3] is None) == (b[1] == 0)
+        if b[2] is not None:
+            assert a[2] == pytest.approx(b[2], abs=2e-2)
+
+
+def test_scores_do_not_follow_the_layout(spark):
+    rows = sentences(np.random.default_rng(5), 300) + [(7, "cat the"), (None, "cat"), (None, "the")]
+    found = []
+    for parts in (1, 7):
+        got = scoring.fit_and_score(docs(spark, rows).repartition(parts), shard_words=2000).collect()
+        found.append(np.array(sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.log_prob) for r in got)))
+    assert np.allclose(found[0], found[1], rtol=1e-5)
+
+
+def test_held_out_loss_falls_with_rounds(spark):
+    rng = np.random.default_rng(6)
+    df, fresh = docs(spark, sentences(rng, 300)), sentences(rng, 60)
+    v = scoring.vocabulary(scoring.word_counts(df), branches=5)
+    packed = scoring.shards(number_rows(df.select("doc_id", "text"), "row"), v, 3000)
+    _, sizes, leaf, _ = scoring.Words(v).cut(pa.array([t for _, t in fresh]))
+    target, around = network.windows(np.split(leaf, np.cumsum(sizes)[:-1]), v.pad)
+    loss = [-network.Network(5, scoring.fit(packed, v, rounds)).log_probabilities(target, around).mean() for rounds in (0, 1, 2, 4)]
+    assert loss[0] > loss[1] + 0.3 and loss[1] > loss[2] > loss[3]
+    target, around = network.windows([rng.permutation(x) for x in np.split(leaf, np.cumsum(sizes)[:-1])], v.pad)
+    assert -network.Network(5, scoring.fit(packed, v, 4)).log_probabilities(target, around).mean() > loss[3]
+
+
+def test_texts_that_occur_twice_score_higher(spark):
+    """No text is evidence for itself: what one text alone has is told from what two have."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), 7)) for _ in range(30)) for _ in range(40)]
+    rows = list(enumerate(texts + texts[:10]))
+    got = {r.doc_id: r.mean_log_prob for r in scoring.fit_and_score(docs(spark, rows)).collect()}
+    twice = {*range(10), *range(40, 50)}
+    assert min(got[i] for i in twice) > max(got[i] for i in set(got) - twice) + 1
 
 
 def test_scores_of_nothing(spark):
     assert scoring.fit_and_score(docs(spark, [])).collect() == []
+    got = scoring.fit_and_score(docs(spark, [(1, None), (2, " \n")])).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.log_prob, r.mean_log_prob) for r in got) == [(1, 0, 0.0, None), (2, 0, 0.0, None)]
+
+
+def test_query_of_scores(spark):
+    got = scoring.query(spark, "/root/testdata/sf0.001")
+    assert got.columns == ["doc_id", "n_tokens", "log_prob", "mean_log_prob"]
+    rows = got.collect()
+    assert len({r.doc_id for r in rows}) == len(rows) == 200 and all(r.log_prob < 0 for r in rows if r.n_tokens)
 
 
 def cosine_links(rows, least=0.93):
