@@ -38,6 +38,8 @@ LEAST_BRANCHES, MOST_BRANCHES = 5, 64
 #: Words of a shard; a network with many weights has longer ones.
 SHARD_WORDS = 1 << 22
 _BLOCK = 1 << 14
+#: Buckets that words of classes are dealt into, at least; more for a corpus with more partitions.
+LEAST_BUCKETS = 64
 #: Bytes of words that are hashed at once.
 _BYTES = 1 << 22
 #: Bytes of a word's hash that are handed on; its bucket is another part of the hash.
@@ -313,7 +315,7 @@ def network_scores(packed: DataFrame, v: Vocabulary, flat: np.ndarray) -> DataFr
 
 def class_scores(numbered: DataFrame, v: Vocabulary) -> DataFrame:
     """row, inside: the summed logarithms of c + m * s of a row's words of classes."""
-    count = 2 * max(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")), numbered.rdd.getNumPartitions())
+    count = max(LEAST_BUCKETS, 2 * numbered.rdd.getNumPartitions())
 
     def hashed(batches):
         import pyarrow as pa
