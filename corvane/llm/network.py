@@ -106,12 +106,15 @@ class Network:
 
     def train(self, squares: np.ndarray, target: np.ndarray, context: np.ndarray) -> None:
         """Adagrad steps over the targets, in place; squares: the sums of squared gradients so far."""
+        held = np.empty_like(self.flat)
         for a in range(0, len(target), BATCH):
             t = target[a : a + BATCH]
             grad = self.gradient(t, context[a : a + BATCH])
             grad /= np.float32(np.sqrt(len(t)))
-            squares += grad * grad
-            self.flat -= np.float32(RATE) * grad / np.sqrt(squares + np.float32(1e-6))
+            squares += np.multiply(grad, grad, out=held)
+            grad /= np.sqrt(np.add(squares, np.float32(1e-6), out=held), out=held)
+            grad *= np.float32(RATE)
+            self.flat -= grad
 
 
 def windows(ids: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
