@@ -1,17 +1,19 @@
 """SimHash near-duplicates found with pivot distance tables.
 
-Fingerprints have 64 bits. The table holds, for each distinct fingerprint, its Hamming distances to many fixed
-reference fingerprints, block by block: the bits fall into 4 blocks of 16, and the distance to a reference is
-the sum of its distances within the blocks. Two fingerprints that differ in at most 2 bits agree on at least
-two whole blocks, so their coordinates within some two blocks are equal: an equality join on those coordinates
-misses no pair. Of the pairs that meet, those are discarded whose largest difference between any two
-coordinates is over the limit (a distance to a reference moves by one for each bit at most), and the rest
-are verified bit by bit.
-
-A set of fingerprints that meet in one cell and number more than max_cell is not paired: there, each one goes
-to itself and to its 64 one-bit neighbours, and what meets at a neighbour is within 2 bits of each other. Any
-two that differ in 2 bits or fewer meet so, and each is linked to the smallest that it meets: linear in the
-set's size and exact. Equal fingerprints are one entry of the table from the start.
+The table holds, for each distinct 64-bit fingerprint, its Hamming distances to many fixed reference fingerprints: one
+base, several in each of four groups, and some more. A group's references are the base with half of the bits of a quarter
+of the word flipped, so the coordinate of one less that of the base moves only with that quarter's bits. Two fingerprints
+that differ in at most 2 bits differ in at most two quarters: these differences are equal in some two groups, and an
+equality join on them, the cells, misses no pair. Unequal quarters can have equal coordinates; of the pairs
+that meet, those are discarded whose largest difference between any two coordinates is over the limit (a distance to a
+reference moves by one for each bit at most), and the rest are verified bit by bit.
+
+A cell of more than max_cell fingerprints, such as near copies in thousands make, would have too many pairs. It gets
+references of its own, its members' one-bit neighbours: what lies within one bit of the same reference is within two bits
+of each other. Any two that differ in 2 bits or fewer meet so, and each is linked to the smallest that it meets: linear
+in the cell's size and exact. Equal fingerprints are one entry of the table from the start.
+
+The pipeline's stage searches wider, by five-word shingles and a similarity of 0.8: similar.py.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.common import components, materialize
@@ -61,46 +63,52 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), of("text").alias("fp"))
 
 
-def references(count: int) -> list[int]:
-    """Fixed reference fingerprints, the same in every run."""
-    return [int(x) for x in np.random.default_rng(64).integers(-(1 << 63), 1 << 63, count, dtype=np.int64)]
+def references(per_group: int, more: int) -> list[int]:
+    """Fixed reference fingerprints, the same in every run: the base, per_group of each group, and more at random."""
+    rng = np.random.default_rng(64)
+    base = int(rng.integers(0, 1 << 64, dtype=np.uint64))
+    out = [base]
+    for g in range(BLOCKS):
+        for _ in range(per_group):
+            flipped = rng.permutation(BLOCK_BITS)[: BLOCK_BITS // 2] + g * BLOCK_BITS
+            out.append(base ^ sum(1 << int(i) for i in flipped))
+    return out + rng.integers(0, 1 << 64, more, dtype=np.uint64).tolist()
 
 
-def _block(value: Column | int, b: int) -> Column:
-    mask = ((1 << BLOCK_BITS) - 1) << (b * BLOCK_BITS)
-    mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-    return (value if isinstance(value, Column) else F.lit(value)).bitwiseAND(F.lit(mask))
+def pivot_table(fps: DataFrame, per_group: int = 6, more: int = 7) -> DataFrame:
+    """Adds dist, the distances to all references, and cell_0 to cell_3, the groups' coordinates less the base's."""
+    signed = [p - (1 << 64) if p >= 1 << 63 else p for p in references(per_group, more)]
+    out = fps.withColumn("dist", F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte") for p in signed]))
+    for g in range(BLOCKS):
+        moved = F.slice("dist", 2 + g * per_group, per_group)
+        out = out.withColumn(f"cell_{g}", F.transform(moved, lambda d: d - F.col("dist")[0]))
+    return out
 
 
-def pivot_table(fps: DataFrame, pivots: list[int]) -> DataFrame:
-    """Adds cell_0 to cell_3, the distances to the references within each block, and dist, those over all blocks."""
-    out = fps
-    for b in range(BLOCKS):
-        inside = [F.bit_count(_block(F.col("fp"), b).bitwiseXOR(_block(p, b))) for p in pivots]
-        out = out.withColumn(f"cell_{b}", F.concat(*[F.char(x + 48) for x in inside]))
-    return out.withColumn("dist", F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte") for p in pivots]))
+def _cells(fps: DataFrame, per_group: int, more: int) -> DataFrame:
+    """fp, dist, cell: each fingerprint in the cells of every two groups, stored."""
+    table = pivot_table(fps, per_group, more)
+    pairs = list(combinations(range(BLOCKS), 2))
+    keys = F.array(*[F.xxhash64(F.lit(k), f"cell_{x}", f"cell_{y}") for k, (x, y) in enumerate(pairs)])
+    return materialize(table.select("fp", "dist", F.explode(keys).alias("cell")), "cells")
 
 
-def links(fps: DataFrame, max_bits: int = 2, pivots: int = 24, max_cell: int = 64) -> DataFrame:
+def candidates(met: DataFrame, sizes: DataFrame, max_cell: int) -> DataFrame:
+    """a, b, gap, bits of the pairs that meet in a cell of at most max_cell: largest coordinate difference, and bits that differ."""
+    few = met.join(sizes.where(F.col("count") <= max_cell).select("cell"), "cell", "left_semi")
+    other = few.select("cell", F.col("fp").alias("b"), F.col("dist").alias("dist_b"))
+    gap = F.array_max(F.zip_with("dist", "dist_b", lambda p, q: F.abs(p - q)))
+    paired = few.withColumnRenamed("fp", "a").join(other, "cell").where(F.col("a") < F.col("b"))
+    return paired.select("a", "b", gap.alias("gap"), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("bits"))
+
+
+def links(fps: DataFrame, max_bits: int = 2, per_group: int = 6, more: int = 7, max_cell: int = 64) -> DataFrame:
     """Edges (a, b) between distinct fingerprints whose components are those of all links of at most 2 bits."""
     if max_bits > 2:
-        raise ValueError("four blocks find differences of at most 2 bits")
-    table = pivot_table(fps, references(pivots))
-    pairs = list(combinations(range(BLOCKS), 2))
-    keys = F.array(*[F.xxhash64(F.lit(k), f"cell_{x}", f"cell_{y}") for k, (x, y) in enumerate(pairs)])
-    met = materialize(table.select("fp", "dist", F.explode(keys).alias("cell")), "cells")
+        raise ValueError("four groups find differences of at most 2 bits")
+    met = _cells(fps, per_group, more)
     sizes = met.groupBy("cell").count().where("count > 1")
-    few = met.join(sizes.where(F.col("count") <= max_cell).select("cell"), "cell", "left_semi")
-    other = few.select("cell", F.col("fp").alias("b"), F.col("dist").alias("dist_b"))
-    near = F.array_max(F.zip_with("dist", "dist_b", lambda p, q: F.abs(p - q))) <= max_bits
-    paired = (
-        few.withColumnRenamed("fp", "a")
-        .join(other, "cell")
-        .where(F.col("a") < F.col("b"))
-        .where(near)
-        .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-        .select("a", "b")
-    )
+    paired = candidates(met, sizes, max_cell).where(F.col("gap") <= max_bits).where(F.col("bits") <= max_bits).select("a", "b")
     many = met.join(sizes.where(F.col("count") > max_cell).select("cell"), "cell", "left_semi").select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i) for i in range(64)])
     halfway = many.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("half"))
@@ -132,15 +140,6 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay: of each group of near-duplicates the document with the smallest doc_id.
-
-    Rows with a null doc_id stay: nothing names the one that would.
-    """
-    gone = near_duplicates(docs, **options).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone._gone, "left_anti")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: every document's fingerprint and component."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -3,10 +3,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from corvane.llm import decontamination, lines, registry, simhash
+from corvane.llm import decontamination, lines, registry, simhash, similar
 from corvane.llm.common import components
 from tests.llm.helpers import docs, with_clashes
 from tests.oracle import same_rows
@@ -147,15 +148,12 @@ def test_simhash_like_a_loop(spark):
     for most in (64, 3):
         got = {r.doc_id: (r.fp & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(with_clashes(docs(spark, rows)), max_cell=most).collect()}
         assert got == {k: (prints[k], want[k]) for k in prints}
-    kept = simhash.keep_one(docs(spark, rows))
-    assert {r.doc_id for r in kept.collect()} == {k for k in want if want[k] == k}
 
 
 def test_simhash_repeated_ids(spark):
     rows = [(5, "one two three four"), (5, "wholly other words here"), (9, "one two three four"), (None, "wholly other words here"), (7, "alone it stands now")]
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs(spark, rows)).collect()), key=str)
     assert got == [(5, 5), (5, 5), (7, 7), (9, 5), (None, 5)]
-    assert sorted((r.doc_id for r in simhash.keep_one(docs(spark, rows)).collect()), key=str) == [5, 5, 7, None]
     assert simhash.near_duplicates(docs(spark, [])).collect() == []
 
 
@@ -170,6 +168,73 @@ def test_links_on_random_bits(spark):
         assert {v: found.get(v, v) for v in values} == want
 
 
+def test_pivots_discard_pairs(spark):
+    """Unequal fingerprints share cells; coordinates discard most of those pairs, bits the rest, and no link is lost."""
+    rng = random.Random(8)
+    values = {rng.getrandbits(63) & ~0xFFFF_FFFF | rng.getrandbits(8) for _ in range(3000)}
+    values |= {v ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for v in list(values)[:200]}
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    table = simhash.pivot_table(df, 6, 7).collect()
+    base, *others = simhash.references(6, 7)
+    assert len(others) == 31 and all([(r.fp ^ p).bit_count() for p in (base, *others)] == list(r.dist) for r in table[:50])
+    assert len({tuple(r.cell_2) for r in table}) < len({r.fp >> 32 & 0xFFFF for r in table})
+    met = simhash._cells(df, 6, 7)
+    pairs = simhash.candidates(met, met.groupBy("cell").count().where("count > 1"), 1000).distinct().collect()
+    passed = [r for r in pairs if r.gap <= 2]
+    near = {(r.a, r.b) for r in passed if r.bits <= 2}
+    assert len(pairs) > 5 * len(passed) > 0 and all(r.gap <= r.bits for r in pairs)
+    values = sorted(values)
+    assert near == {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if (a ^ b).bit_count() <= 2}
+
+
+def test_query_of_fingerprints(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    prints = {r.doc_id: fingerprint(r.text) for r in rows}
+    want = roots(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2])
+    got = simhash.query(spark, sf).collect()
+    assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == sorted((k, f"{v:016x}", want[k]) for k, v in prints.items())
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else {()} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_texts_like_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for g in range(40):
+        base = [f"w{rng.randrange(3000)}" for _ in range(250)]
+        for edits in (0, 1, 2, 3, 12):
+            w = list(base)
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(3000)}"
+            rows.append((len(rows), " ".join(w)))
+    base = [f"y{i}" for i in range(300)]
+    for i in range(300):  # a dense group
+        w = list(base)
+        for _ in range(i % 5):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(3000)}"
+        rows.append((len(rows), " ".join(w)))
+    rows += [(900, ""), (901, None), (902, "one"), (903, "One"), (3, rows[3][1]), (None, rows[40][1]), (None, "no other text is like this one"), (904, "long " * 30000)]
+    pairs = [(i, j, jaccard(rows[i][1], rows[j][1])) for i in range(200) for j in range(i)]
+    for most in (64, 8):
+        numbered = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(rows)], "row long, doc_id long, text string")
+        first = {r.row: r.first for r in similar.groups(numbered, max_cell=most).collect()}
+        assert len(first) == len(rows)
+        close = [first[i] == first[j] for i, j, s in pairs if s >= 0.85]
+        assert len(close) > 100 and np.mean(close) >= 0.97
+        assert not any(first[i] == first[j] for i, j, s in pairs if s < 0.6)
+        assert len({first[i] for i in range(200, 500)}) == 1
+        n = len(rows)
+        assert first[n - 7] == n - 8 and first[n - 5] == n - 6 and first[n - 4] == first[3] and first[n - 3] == first[40] and first[n - 2] == n - 2
+    kept = similar.keep_one(with_clashes(docs(spark, rows)))
+    assert kept.columns == with_clashes(docs(spark, rows)).columns
+    assert kept.count() == len(set(first.values()))
+    assert similar.keep_one(docs(spark, [])).collect() == []
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(1, 60)] + [(2000, 2000), (3001, 3000), (3000, 3001)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
