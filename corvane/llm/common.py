@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one of our own only where that is unset."""
+    """The folder that spark.checkpoint.dir names, or the checkpoint folder set by hand; only with a local master a temporary one."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='corvane-')}")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -77,6 +79,25 @@ def whole_groups(batches, key: list[str]):
         yield pa.concat_tables(held).combine_chunks()
 
 
+def key_chunks(batches, key: str, least: int):
+    """Tables of least rows or more, of whole groups, from Arrow batches in the order of key."""
+    import pyarrow as pa
+
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        if sum(t.num_rows for t in held) >= least:
+            table = pa.concat_tables(held).combine_chunks()
+            last = _group_starts(table, [key])[-1]
+            if last:
+                yield table.slice(0, last).combine_chunks()
+            held = [table.slice(last)]
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
 def _group_starts(t, key: list[str]) -> list[int]:
     new = np.zeros(t.num_rows - 1, bool)
     for c in key:

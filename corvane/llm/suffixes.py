@@ -11,8 +11,8 @@ overlap by length - 1 bytes, every string begins in exactly one phrase, and equa
    their first length bytes: a slice of the dictionary's suffix array. Neighbours that agree there are one class.
 4. Corpus order: the parse's places put each class in order; all but its first string are repeated.
 
-A trigger that very many phrases share (the edge of a common passage) is dealt by its strings' hashes instead, first
-places of each slice only, so no task gathers it.
+The strings of a trigger that very many phrases share (the edge of a common passage) are dealt one by one, by their
+hashes, the first places of each slice only, so no task gathers it. Hashes deal strings out; bytes say which are equal.
 """
 
 from __future__ import annotations
@@ -21,13 +21,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize
+from corvane.llm.common import delete_table, key_chunks, materialize, whole_groups
 from corvane.llm.phrases import MAX_BUFFER, Hashes, parse
 from corvane.llm.tokens import text_slices
 
 LENGTH = 100
 #: Phrases of one trigger above which its strings are dealt by their own hashes.
 CROWD = 2_000
+#: Crowded triggers that are sent to every task, at most; more are joined.
+BROADCAST_CROWDS = 500_000
 _ROW = np.dtype([("anchor", "<i8"), ("phrase", "<i8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i4"), ("n", "<i4"), ("kind", "u1")])
 #: Kinds of entries: of the dictionary, of a trigger known to have more phrases, repeated in its slice.
 ENTRY, SHARED, REPEATED = 0, 1, 2
@@ -125,12 +127,8 @@ def repeated_strings(docs: DataFrame, length: int, crowd: int) -> DataFrame:
     def settled(batches):
         import pyarrow as pa
 
-        blobs: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist(), strict=True):
-                blobs.setdefault(bucket, []).append(blob)
-        while blobs:
-            again, shared = _settle(np.frombuffer(b"".join(blobs.popitem()[1]), _ROW))
+        for t in whole_groups(batches, ["bucket"]):
+            again, shared = _settle(np.frombuffer(b"".join(t.column("entries").to_pylist()), _ROW))
             both = np.concatenate([again, shared])
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(np.ascontiguousarray(both[c])) for c in ("row", "start", "n", "anchor")), pa.array(np.arange(len(both)) >= len(again))],
@@ -139,94 +137,88 @@ def repeated_strings(docs: DataFrame, length: int, crowd: int) -> DataFrame:
 
     entries = docs.select("row", "doc", "text").mapInArrow(parsed, "bucket long, entries binary")
     settled_schema = "row long, start int, n int, anchor long, shared boolean"
-    phrases = materialize(entries.repartition("bucket").mapInArrow(settled, settled_schema), "phrases")
+    by_bucket = entries.repartition("bucket").sortWithinPartitions("bucket")
+    phrases = materialize(by_bucket.mapInArrow(settled, settled_schema), "phrases")
     again = phrases.where("not shared").select("row", "start", (F.col("start") + F.col("n") + (length - 1)).cast("int").alias("end"))
 
     shared = phrases.where("shared")
-    crowded = shared.groupBy("anchor").agg(F.count("*").alias("size")).where(F.col("size") > crowd)
-    marked = shared.join(crowded, "anchor", "left").select("row", F.struct("start", "n", "anchor", F.col("size").isNotNull().alias("crowded")).alias("p"))
+    crowded = materialize(shared.groupBy("anchor").agg(F.count("*").alias("size")).where(F.col("size") > crowd), "crowded")
+    few = crowded.limit(BROADCAST_CROWDS + 1).count() <= BROADCAST_CROWDS
+    marked = shared.join(F.broadcast(crowded) if few else crowded, "anchor", "left").select("row", F.struct("start", "n", "anchor", F.col("size").isNotNull().alias("crowded")).alias("p"))
     wanted = marked.groupBy("row").agg(F.collect_list("p").alias("wanted"))
     fetched = docs.join(wanted, "row").select("row", "doc", "text", "wanted").mapInArrow(lambda batches: _fetch(batches, length), _FETCHED)
-    sorted_ = fetched.repartition("key").mapInArrow(lambda batches: _sort_suffixes(batches, length), "row long, start int, end int")
+    sorted_ = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _sort_suffixes(batches, length), "row long, start int, end int")
     return again.union(sorted_)
 
 
 _FETCHED = "key long, row long, doc long, start int, n int, text binary"
 
 
-def _fetch(batches, length: int):
+def _fetch(batches, length: int, hashes=Hashes):
     """Bytes of the wanted phrases by trigger; of crowded triggers the first places of each string, by its hash.
 
-    n is the number of strings in text, 0 for a string that stands for its hash, -1 for one that is already known
-    to be repeated.
+    n is the number of strings in text, -1 for a string that is already known to be repeated.
     """
     import pyarrow as pa
 
     for batch in batches:
         out: list[list] = [[], [], [], [], [], []]
-        crowds = []
+        crowds, raws = [], {}
         for r in batch.to_pylist():
             raw = (r["text"] or "").encode("utf-8", "surrogatepass")
-            hashes = None
+            found = None
             for p in r["wanted"]:
                 a, n = p["start"], p["n"]
                 if not p["crowded"]:
                     for column, value in zip(out, (p["anchor"], r["row"], r["doc"], a, n, raw[a : a + n + length - 1]), strict=True):
                         column.append(value)
                     continue
-                hashes = hashes or Hashes(np.frombuffer(raw, np.uint8))
+                found = found or hashes(np.frombuffer(raw, np.uint8))
+                raws[r["row"]] = raw
                 at = np.arange(a, a + n)
-                crowds.append(np.stack([hashes.of(at, at + length).view(np.int64) ^ p["anchor"], np.full(n, r["row"]), np.full(n, r["doc"]), at]))
+                crowds.append(np.stack([found.of(at, at + length).view(np.int64) ^ p["anchor"], np.full(n, r["row"]), np.full(n, r["doc"]), at]))
         if crowds:
             c = np.concatenate(crowds, axis=1)
             c = c[:, np.lexsort((c[3], c[1], c[2], c[0]))]
-            kinds = np.where(_first_of(c[0]), 0, -1)
-            key = np.where(kinds == 0, c[0], c[1])
-            for column, values in zip(out, (key, c[1], c[2], c[3], kinds, [None] * len(kinds)), strict=True):
-                column.extend(values)
+            new = _first_of(c[0])
+            first: bytes = b""
+            for k, (key, row, doc, a) in enumerate(c.T.tolist()):
+                string = raws[row][a : a + length]
+                if new[k]:
+                    first = string
+                known = not new[k] and string == first
+                for column, value in zip(out, (row if known else key, row, doc, a, -1 if known else 1, None if known else string), strict=True):
+                    column.append(value)
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], ["key", "row", "doc", "start", "n", "text"])
 
 
-def _sort_suffixes(batches, length: int, part: int = 1 << 20):
-    """row, start, end of the strings of a slice of the dictionary that stand earlier in the corpus."""
+def _stretches(r: np.ndarray, s: np.ndarray, length: int):
+    """Runs of following strings of a row as one stretch."""
     import pyarrow as pa
 
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
-        return
-    key, row, doc, start, n = (table.column(c).to_numpy() for c in ("key", "row", "doc", "start", "n"))
-
-    def stretches(r: np.ndarray, s: np.ndarray):
-        """Runs of following strings of a row as one stretch."""
-        order = np.lexsort((s, r))
-        r, s = r[order], s[order]
-        new = np.ones(len(r), bool)
-        new[1:] = (r[1:] != r[:-1]) | (s[1:] > s[:-1] + length)
-        last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(r) - 1]])
-        return pa.RecordBatch.from_arrays([pa.array(r[new]), pa.array(s[new].astype(np.int32)), pa.array((s[last] + length).astype(np.int32))], ["row", "start", "end"])
-
-    known = n == -1
-    if known.any():
-        yield stretches(row[known], start[known])
-    single = np.flatnonzero(n == 0)
-    if len(single):
-        o = single[np.lexsort((start[single], row[single], doc[single], key[single]))]
-        later = o[~_first_of(key[o])]
-        if len(later):
-            yield stretches(row[later], start[later])
-    phrases = np.flatnonzero(n > 0)
-    phrases = phrases[np.argsort(key[phrases], kind="stable")]
-    strings = np.cumsum(n[phrases])
-    texts = table.column("text")
-    a = 0
-    while a < len(phrases):  # whole triggers at a time, about part strings
-        b = int(np.searchsorted(strings, (strings[a - 1] if a else 0) + part))
-        b = min(max(b, a + 1), len(phrases))
-        while b < len(phrases) and key[phrases[b]] == key[phrases[b - 1]]:
-            b += 1
-        these = phrases[a:b]
-        raw = texts.take(pa.array(these)).to_pylist()
+    order = np.lexsort((s, r))
+    r, s = r[order], s[order]
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1]) | (s[1:] > s[:-1] + length)
+    last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(r) - 1]])
+    return pa.RecordBatch.from_arrays([pa.array(r[new]), pa.array(s[new].astype(np.int32)), pa.array((s[last] + length).astype(np.int32))], ["row", "start", "end"])
+
+
+def _sort_suffixes(batches, length: int, part: int = 1 << 16):
+    """row, start, end of the strings of a slice of the dictionary that stand earlier in the corpus.
+
+    Whole triggers at a time, part phrases or more; only these are held.
+    """
+    for table in key_chunks(batches, "key", part):
+        row, doc, start, n = (table.column(c).to_numpy() for c in ("row", "doc", "start", "n"))
+        known = n == -1
+        if known.any():
+            yield _stretches(row[known], start[known], length)
+        these = np.flatnonzero(n > 0)
+        if not len(these):
+            continue
+        raw = table.column("text").take(these).to_pylist()
         data = np.frombuffer(b"".join(raw), np.uint8)
         begins = np.cumsum([0, *map(len, raw)])[:-1]
         of = np.repeat(np.arange(len(these)), n[these])
@@ -238,8 +230,7 @@ def _sort_suffixes(batches, length: int, part: int = 1 << 20):
         order = place[np.argsort(suffixes[place], kind="stable")]  # the suffix array, equal suffixes in corpus order
         later = order[~_first_of(suffixes[order])]
         if len(later):
-            yield stretches(r[later], s[later])
-        a = b
+            yield _stretches(r[later], s[later], length)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:

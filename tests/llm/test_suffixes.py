@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from corvane.llm import phrases, suffixes
@@ -47,6 +49,48 @@ def test_like_a_loop(spark, rows, crowd):
         assert r.n_bytes - sum(s.end - s.start for s in r.spans) == len(r.kept)
 
 
+class OneHash:
+    """Gives every string the same hash."""
+
+    def __init__(self, data):
+        pass
+
+    def of(self, a, b):
+        return np.full(len(a), 7, np.uint64)
+
+
+def test_bytes_decide_where_hashes_collide():
+    rng = random.Random(3)
+    texts = [words(rng, 30), words(rng, 30)]
+    texts += [texts[0][:150], texts[1]]
+    wanted = [[{"start": 0, "n": len(t.encode()) - 99, "anchor": 5, "crowded": True}] for t in texts]
+    for slices in ([[0, 1, 2, 3]], [[0, 1], [2], [3]]):
+        batches = [pa.RecordBatch.from_pylist([{"row": i, "doc": i, "text": texts[i], "wanted": wanted[i]} for i in part]) for part in slices]
+        fetched = sorted((x for b in suffixes._fetch(batches, 100, OneHash) for x in b.to_pylist()), key=lambda r: r["key"])
+        schema = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("text", pa.binary())])
+        gone = {i: bytearray(len(t.encode())) for i, t in enumerate(texts)}
+        for b in suffixes._sort_suffixes([pa.RecordBatch.from_pylist(fetched, schema)], 100):
+            for r in b.to_pylist():
+                gone[r["row"]][r["start"] : r["end"]] = b"\1" * (r["end"] - r["start"])
+        want = brute(list(enumerate(texts)), 100)
+        for i, t in enumerate(texts):
+            assert bytes(x for x, g in zip(t.encode(), gone[i], strict=True) if not g) == want[i][0]
+
+
+def test_query(spark):
+    import hashlib
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = brute(rows, 100)
+    got = {r.doc_id: r for r in suffixes.query(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for k, text in rows:
+        raw, r = (text or "").encode(), got[k]
+        assert (r.n_bytes, r.n_removed, r.kept_sha256) == (len(raw), len(raw) - len(want[k][0]), hashlib.sha256(want[k][0]).hexdigest())
+        assert (r.n_spans > 0) == (r.n_removed > 0)
+
+
 def test_repeated_rows(spark):
     text = "some text that is repeated " * 6
     got = suffixes.remove_repeats(docs(spark, [(1, text), (1, text)]).coalesce(1)).collect()
