@@ -27,13 +27,13 @@ from corvane.llm.common import materialize, number_rows
 
 #: Labelled training rows that the word lists are learned from, at most.
 MAX_LABELLED = 50_000
-#: Words and word beginnings that are learned, at most of each.
-MAX_LEARNED = 600
 THRESHOLD = 0.3
 
 #: The seed list.
 SEED = [["idiot", "moron", "stupid", "fool"], ["loser", "clown", "worthless"], ["pathetic", "disgusting"], ["trash", "scum", "garbage"]]
-WORD_LISTS, BEGIN_LISTS = 4, 4
+WORD_LISTS, BEGIN_LISTS = 5, 5
+#: A word stands out if its share of toxic rows is at least so many times that of all rows.
+LIFT = 2.0
 #: Lengths of word beginnings.
 BEGIN, BEGIN_MOST = 4, 8
 _WORD = re.compile(r"[^\W\d_]+")
@@ -72,13 +72,13 @@ def learn_words(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     share = F.col("t") / F.col("n")
     rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
     bound = F.col("n") * (share * F.log(share / rate) + rest)
-    apart = counts.where((share >= 0.6) & (bound > math.log(100 * max(total, 1)))).select("name", bound.alias("bound"), (share >= 0.95).alias("pure"))
-    found = []
-    for kind in (~F.col("name").endswith("*"), F.col("name").endswith("*")):
-        found.append(apart.where(kind).orderBy(F.desc("bound"), "name").limit(MAX_LEARNED).collect())
+    apart = counts.where((share >= LIFT * rate) & (bound > math.log(100 * max(total, 1)))).select("name", bound.alias("bound"), share.alias("share"))
+    # all that stand out, however many: their number is bounded by the words of max_labelled rows
+    rows = apart.orderBy("name").collect()
+    found = [r for r in rows if not r.name.endswith("*")], [r for r in rows if r.name.endswith("*")]
 
-    def dealt(r, lists: int) -> int:  # what clean rows hold too votes in a list of its own
-        return 1 + zlib.crc32(r.name.encode()) % (lists - 1) if r.pure else 0
+    def dealt(r, lists: int) -> int:  # what clean rows hold too votes in lists of its own, by how many do
+        return 2 + zlib.crc32(r.name.encode()) % (lists - 2) if r.share >= 0.95 else int(r.share >= 0.6)
 
     seeds = {w for part in SEED for w in part}
     return (
