@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from corvane.llm.common import components, materialize, whole_groups
 
 COSINE = 0.93
+#: The share of links at the threshold that some table finds, by which the number of tables is chosen.
+RECALL = 0.9995
+#: Vectors of one label above which a bucket number joins two rotations, and three.
+MORE_FUNCTIONS = (60_000, 4_000_000)
 
 
 def rotations(x: np.ndarray, table: int, functions: int) -> np.ndarray:
@@ -59,6 +63,20 @@ def buckets(x: np.ndarray, tables: int, functions: int, probes: int) -> np.ndarr
     return out
 
 
+def tables_for(dim: int, functions: int, probes: int, cosine: float, recall: float = RECALL) -> int:
+    """Tables by which pairs with just this cosine meet with the probability recall, from random pairs in one table."""
+    rng = np.random.default_rng(93)
+    a = unit(rng.normal(size=(4000, dim)))
+    if dim < 2:
+        return 1
+    v = rng.normal(size=a.shape)
+    v -= (v * a).sum(1, keepdims=True) * a
+    b = cosine * a + np.sqrt(1 - cosine * cosine) * unit(v)
+    x, y = (buckets(z, 1, functions, probes) for z in (a, b))
+    met = ((x[:, :, :1] == y).any(2) | (y[:, :, :1] == x).any(2)).mean()
+    return max(1, int(np.ceil(np.log(1 - recall) / np.log(max(1e-12, 1 - met)))))
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     x = vectors / np.abs(vectors).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
@@ -121,7 +139,7 @@ def links(entries: DataFrame, cosine: float, tables: int, functions: int, probes
                 packed = pa.array([k.tobytes() for k in keys.astype("<i8")], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, packed], [*part.schema.names, "keys"])
 
-    schema = "id long, label int, dim int, width int, weight long, vec binary, keys binary"
+    schema = "id long, label string, dim int, width int, weight long, vec binary, keys binary"
     known = materialize(entries.select("id", "label", "dim", "width", "weight", "vec").mapInArrow(hashed, schema), "hashed")
 
     def placed(batches):
@@ -140,7 +158,7 @@ def links(entries: DataFrame, cosine: float, tables: int, functions: int, probes
             )
 
     where = ["label", "dim", "tab", "bucket"]
-    spots = known.select("id", "label", "dim", "keys").mapInArrow(placed, "id long, label int, dim int, tab int, bucket long, stored boolean")
+    spots = known.select("id", "label", "dim", "keys").mapInArrow(placed, "id long, label string, dim int, tab int, bucket long, stored boolean")
     sizes = spots.groupBy(*where).agg(F.count("*").alias("n"), F.sum(F.col("stored").cast("long")).alias("s")).where("n > 1 and s > 0")
     sizes = materialize(sizes.select(*where, F.ceil(F.col("n") / block).cast("int").alias("parts")), "buckets")
     met = spots.join(sizes, where)
@@ -180,20 +198,20 @@ def links(entries: DataFrame, cosine: float, tables: int, functions: int, probes
 
 
 def near_duplicates(
-    vectors: DataFrame, cosine: float = COSINE, tables: int = 8, functions: int = 1, probes: int = 2, block: int = 512
+    vectors: DataFrame, cosine: float = COSINE, tables: int | None = None, functions: int | None = None, probes: int = 2, block: int = 512
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding, label).
 
     A row whose label is null, or whose vector is null, empty, zero or has null or non-finite components, links with
-    nothing; nor do vectors of different lengths. Rows that repeat a vec_id are vectors of their own. functions
-    is the number of rotations joined into a bucket number: one more divides the buckets by twice the width,
-    for corpora with more vectors a label; tables and probes then go up to hold recall.
+    nothing; nor do vectors of different lengths. Rows that repeat a vec_id are vectors of their own; labels of any type are
+    compared as text. functions is the number of rotations joined into a bucket number, from the largest number of vectors with a
+    label if not given: one more divides the buckets by twice the width. tables follows from it, see tables_for().
     """
     kind = "double" if "double" in dict(vectors.dtypes)["embedding"] else "float"
     width = 8 if kind == "double" else 4
     sound = F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     sound = F.coalesce(sound & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("int"), F.col("embedding").cast(f"array<{kind}>"), sound.alias("sound"))
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast(f"array<{kind}>"), sound.alias("sound"))
 
     def packed(batches):
         import pyarrow as pa
@@ -203,9 +221,15 @@ def near_duplicates(
             sizes = pa.array([len(d) // width for d in data], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), sizes, pa.array(data, pa.binary())], ["vec_id", "label", "dim", "vec"])
 
-    usable = materialize(rows.where("sound").select("vec_id", "label", "embedding").mapInArrow(packed, "vec_id long, label int, dim int, vec binary"), "vectors")
+    usable = materialize(rows.where("sound").select("vec_id", "label", "embedding").mapInArrow(packed, "vec_id long, label string, dim int, vec binary"), "vectors")
     same = usable.groupBy("label", "dim", "vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
     entries = materialize(same.withColumn("id", F.monotonically_increasing_id()).withColumn("width", F.lit(width)), "entries")
+    if functions is None or tables is None:
+        most = entries.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("n")).collect()  # a row for each length of vectors
+        if functions is None:
+            functions = 1 + sum(max((r.n for r in most), default=0) > n for n in MORE_FUNCTIONS)
+        if tables is None:
+            tables = max((tables_for(r.dim, functions, probes, cosine) for r in most), default=1)
     found = materialize(links(entries, cosine, tables, functions, probes, block), "found")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.where("id != other").select(F.col("id").alias("a"), F.col("other").alias("b")))

@@ -73,6 +73,17 @@ def test_toxicity_without_labels(spark):
     assert scored(spark, [], []) == []
 
 
+def test_toxicity_quality_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    rows = toxicity.query(spark, sf).where("held_out").join(labels, "doc_id").select("score", "toxic", "predicted").collect()
+    rank = np.argsort(np.argsort([r.score for r in rows]))
+    bad = np.array([r.toxic == 1 for r in rows])
+    area = (rank[bad].sum() - bad.sum() * (bad.sum() - 1) / 2) / (bad.sum() * (~bad).sum())
+    hit = np.array([r.predicted == 1 for r in rows])
+    assert area > 0.95 and hit[bad].mean() > 0.8 and hit[~bad].mean() < 0.02
+
+
 def test_label_model_finds_accuracies_and_correlation():
     rng = np.random.default_rng(0)
     y = rng.random(40000) < 0.15
@@ -267,6 +278,28 @@ def test_embeddings_like_brute_force(spark):
         assert all(got[k].n_links == 0 and got[k].kept for k in range(6000, 6008))
 
 
+@pytest.mark.parametrize("functions", [1, 2, 3])
+def test_tables_hold_recall(spark, functions):
+    rng = np.random.default_rng(functions)
+    a = embeddings.unit(rng.normal(size=(400, 64)))
+    v = rng.normal(size=a.shape)
+    v -= (v * a).sum(1, keepdims=True) * a
+    b = 0.932 * a + math.sqrt(1 - 0.932**2) * embeddings.unit(v)
+    rows = [(i, x.tolist(), "one label") for i, x in enumerate(np.concatenate([a, b]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df, functions=functions).collect()}
+    assert np.mean([got[i].component_id == got[400 + i].component_id for i in range(400)]) >= 0.99
+    assert sum(r.n_links for r in got.values()) >= 2 * 0.99 * 400
+
+
+def test_query_of_embeddings(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    n = collections.Counter(rows[k][0] for pair in cosine_links(rows) for k in pair)
+    got = {r.vec_id: r.n_links for r in embeddings.query(spark, sf).collect()}
+    assert got == {k: n[k] for k, _, _ in rows}
+
+
 def test_embeddings_of_nothing(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
