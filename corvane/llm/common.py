@@ -48,6 +48,13 @@ def number_rows(df: DataFrame, name: str) -> DataFrame:
     return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as no column of df has."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def delete_table(df: DataFrame) -> None:
     """Removes a table of materialize() that nothing reads any more."""
     spark = df.sparkSession

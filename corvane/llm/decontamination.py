@@ -13,12 +13,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize, number_rows
+from corvane.llm.common import materialize, number_rows, unused
 
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A benchmark with at most so many distinct words is sent to every task; a larger one is joined by word.
 BROADCAST_TERMS = 200_000
+#: The like for the terms of its windows.
+BROADCAST_WINDOWS = 500_000
+
+
+def _sent(side: DataFrame, most: int) -> DataFrame:
+    """side, to be sent to every task if it has at most so many rows: then a frequent key of the other side needs no shuffle."""
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
 
 
 def _words(text: Column) -> Column:
@@ -50,9 +57,7 @@ def build_index(docs: DataFrame, terms: DataFrame, row: str | None = None) -> Da
     number = F.col(row) if row else F.monotonically_increasing_id()
     listed = docs.select(F.col("doc_id").cast("long"), number.alias("row"), _words(F.col("text")).alias("w"))
     tokens = listed.select("doc_id", "row", F.size("w").alias("n_words"), F.posexplode_outer("w").alias("pos", "word"))
-    bounded = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    side = F.broadcast(terms) if bounded else terms
-    found = tokens.withColumn("word", _folded(F.col("word"))).join(side, "word", "left")
+    found = tokens.withColumn("word", _folded(F.col("word"))).join(_sent(terms, BROADCAST_TERMS), "word", "left")
     found = found.where("term_id is not null or pos is null or pos = 0").drop("word")
     return materialize(found, "postings")
 
@@ -70,15 +75,15 @@ def _starts(index: DataFrame, wanted: DataFrame) -> DataFrame:
     missing = ranked.where("df is null").select("window").distinct()  # a word that no document has
     ranked = materialize(ranked.join(missing, "window", "left_anti").select("window", "offset", "term_id", "n", "rank"), "ranked")
     postings = index.where("term_id is not null").select("row", "pos", "term_id", "n_words")
-    rarest = ranked.where("rank = 1").withColumnRenamed("offset", "at")
+    rarest = _sent(ranked.where("rank = 1").withColumnRenamed("offset", "at"), BROADCAST_WINDOWS)
     places = (
         postings.join(rarest, "term_id")
         .withColumn("base", F.col("pos") - F.col("at"))
         .where((F.col("base") >= 0) & (F.col("base") + F.col("n") <= F.col("n_words")))
         .select("window", "row", "base")
     )
-    second = ranked.where("rank = 2").select("window", "offset", "term_id")
-    alone = ranked.where("n = 1").select("window")
+    second = _sent(ranked.where("rank = 2").select("window", "offset", "term_id"), BROADCAST_WINDOWS)
+    alone = _sent(ranked.where("n = 1").select("window"), BROADCAST_WINDOWS)
     thinned = (
         places.join(second, "window")
         .select("window", "row", "base", "term_id", (F.col("base") + F.col("offset")).alias("pos"))
@@ -86,7 +91,7 @@ def _starts(index: DataFrame, wanted: DataFrame) -> DataFrame:
         .select("window", "row", "base")
     )
     thinned = materialize(thinned.union(places.join(alone, "window", "left_semi")), "places")
-    rest = ranked.where("rank > 2").select("window", "offset", "term_id", "n")
+    rest = _sent(ranked.where("rank > 2").select("window", "offset", "term_id", "n"), BROADCAST_WINDOWS)
     complete = (
         thinned.join(rest, "window")
         .select("window", "row", "base", "n", "term_id", (F.col("base") + F.col("offset")).alias("pos"))
@@ -186,9 +191,10 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = 10, row: str | Non
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """The rows of docs without those whose own text holds a benchmark window."""
-    numbered = number_rows(docs, "_row")
-    bad = report(numbered, benchmark, size, "_row").where("contaminated").select("row")
-    return numbered.join(bad, numbered._row == bad.row, "left_anti").select(*docs.columns)
+    row = unused(docs, "_row")
+    numbered = number_rows(docs, row)
+    bad = report(numbered, benchmark, size, row).where("contaminated").select(F.col("row").alias(row))
+    return numbered.join(bad, row, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,10 +44,11 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, sketch_lg: int = 1
     return spread.join(often, ["h", "g"])
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, keep_first: bool = True) -> DataFrame:
-    """docs (doc_id, text, source and others) with boilerplate lines taken out of text; adds _lines and _removed.
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, keep_first: bool = True, counts: tuple[str, str] = ("_lines", "_removed")) -> DataFrame:
+    """docs (doc_id, text, source and others) with boilerplate lines taken out of text; adds the numbers of lines and of removed ones.
 
-    A null text stays null and has no lines; a text of boilerplate lines only becomes empty; every row stays.
+    counts names the two added columns, which take the place of columns of docs with these names. A null text stays
+    null and has no lines; a text of boilerplate lines only becomes empty; every row stays.
     """
     site = F.coalesce(F.col("source").cast("string"), F.lit("\0"))
     cut = docs.select("doc_id", site.alias("site"), F.explode(_lines(F.col("text"))).alias("line")).where("trim(line) != ''")
@@ -78,8 +79,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, keep_first:
         F.greatest(F.col("n"), F.lit(0)).cast("long").alias("lines"),
         F.greatest(F.col("n") - F.size("kept"), F.lit(0)).cast("long").alias("removed"),
     )
-    same = [F.col("text") if c == "text" else F.col("d")[c].alias(c) for c in docs.columns if c not in ("_lines", "_removed")]
-    return changed.select(*same, F.col("lines").alias("_lines"), F.col("removed").alias("_removed"))
+    same = [F.col("text") if c == "text" else F.col("d")[c].alias(c) for c in docs.columns if c not in counts]
+    return changed.select(*same, F.col("lines").alias(counts[0]), F.col("removed").alias(counts[1]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

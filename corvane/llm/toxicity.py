@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize, number_rows
+from corvane.llm.common import materialize, number_rows, unused
 
 #: Labelled training rows that the word lists are learned from, at most.
 MAX_LABELLED = 50_000
@@ -252,9 +252,10 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not predicted toxic, each decided by its own text."""
-    numbered = number_rows(docs, "_row")
-    bad = score(numbered, labels, carried=("_row",)).where("predicted = 1").select("_row")
-    return numbered.join(bad, "_row", "left_anti").select(*docs.columns)
+    row = unused(docs, "_row")
+    numbered = number_rows(docs, row)
+    bad = score(numbered, labels, carried=(row,)).where("predicted = 1").select(row)
+    return numbered.join(bad, row, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,11 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from corvane.llm import chat, decontamination, packing, simhash, toxicity
-from tests.llm.helpers import docs, with_clashes
+from corvane.llm import chat, decontamination, packing, similar, toxicity
+from tests.llm.helpers import CLASH, docs, with_clashes
 
 
 @given(st.text(alphabet="\\<[/sROLE]>blx \n"))
@@ -90,8 +92,14 @@ def test_pipeline_like_its_parts(spark):
     two = corpus_pipeline.drop_boilerplate_lines(spark, one, sf)
     assert two.columns == d.columns and all(r.n_chars == len(r.text) for r in two.collect()) and two.count() == one.count()
     three = corpus_pipeline.drop_near_duplicates(spark, two, sf)
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(two).collect()}
+    numbered = two.select(F.col("doc_id").alias("row"), "doc_id", "text")
+    groups = {r.row: r.first for r in similar.groups(numbered).collect()}
     assert three.columns == d.columns and sorted(r.doc_id for r in three.collect()) == sorted(set(groups.values()))
+    exact: dict = {}
+    for r in two.collect():
+        exact.setdefault(r.text, []).append(r.doc_id)
+    kept = {r.doc_id for r in three.collect()}
+    assert all(len(kept & set(same)) <= 1 for same in exact.values())
     four = corpus_pipeline.drop_contaminated(spark, three, sf)
     leaks = {r.doc_id for r in decontamination.report(three, bench).where("contaminated").collect()}
     left = {r.doc_id: r.text for r in four.collect()}
@@ -106,6 +114,21 @@ def test_pipeline_like_its_parts(spark):
     assert lengths == {k: packing.piece_lengths(v, 2048) for k, v in n.items()}
 
 
+def test_stages_keep_columns_of_their_own_names(spark):
+    """Clashing columns come out as they went in, and rows without a doc_id or that repeat one are decided one by one."""
+    sf = "/root/testdata/sf0.001"
+    d = with_clashes(spark.read.parquet(f"{sf}/documents.parquet").limit(40))
+    texts = [f"text number {i} has {' '.join(f'{w}{i}' for w in ('red', 'green', 'blue', 'black'))} words" for i in range(3)]
+    more = with_clashes(docs(spark, [(None, texts[0]), (None, texts[0]), (None, texts[1]), (9000, texts[1]), (9000, texts[2]), (None, None)]))
+    df = d.union(more.select(d.columns))
+    for stage in [f for _, f in corpus_pipeline.STAGES[:-1]]:
+        df = stage(spark, df, sf)
+        assert df.columns == d.columns
+        assert {tuple(r) for r in df.select(CLASH).distinct().collect()} == {("x",) * len(CLASH)}
+    left = [(r.doc_id, r.text) for r in df.collect() if r.doc_id is None or r.doc_id == 9000]
+    assert sorted(left, key=str) == sorted([(None, texts[0]), (9000, texts[1]), (9000, texts[2]), (None, None)], key=str)
+
+
 def test_pipeline_of_no_documents(spark, tmp_path):
     docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
