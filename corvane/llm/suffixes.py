@@ -205,7 +205,7 @@ def _stretches(r: np.ndarray, s: np.ndarray, length: int):
     return pa.RecordBatch.from_arrays([pa.array(r[new]), pa.array(s[new].astype(np.int32)), pa.array((s[last] + length).astype(np.int32))], ["row", "start", "end"])
 
 
-def _sort_suffixes(batches, length: int, part: int = 1 << 16):
+def _sort_suffixes(batches, length: int, part: int = 1 << 14):
     """row, start, end of the strings of a slice of the dictionary that stand earlier in the corpus.
 
     Whole triggers at a time, part phrases or more; only these are held.
