@@ -66,13 +66,31 @@ class Vocabulary:
         return self.pad - ENDINGS
 
 
-def split_words(text: str):
-    return F.explode(F.split(F.translate(F.lower(text), "\n", " "), " ")).alias("w")
+def _split(texts):
+    """(words of all texts one after the other, number of each text's words) of an Arrow array."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+    words = parts.flatten()
+    some = pc.greater(pc.binary_length(words), 0)
+    held = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    at = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())])
+    return pa.concat_arrays([words.filter(some)]), np.diff(held[at])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """w, count of every word of all docs, stored."""
-    return materialize(docs.select(split_words("text")).where("w != ''").groupBy("w").count(), "counts")
+
+    def counted(batches):
+        import pyarrow as pa
+
+        for batch in text_slices(batches, ("text",), size=1 << 24):
+            found = _split(batch.column("text"))[0].value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["w", "count"])
+
+    words = docs.select(F.lower("text").alias("text")).mapInArrow(counted, "w string, count long")
+    return materialize(words.groupBy("w").agg(F.sum("count").alias("count")), "counts")
 
 
 def _flat(words) -> tuple[np.ndarray, np.ndarray]:
@@ -146,17 +164,12 @@ class Words:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
-        words = parts.flatten()
-        some = pc.greater(pc.binary_length(words), 0)
-        held = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
-        at = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())])
-        words = pa.concat_arrays([words.filter(some)])
+        words, sizes = _split(texts)
         leaf = pc.fill_null(pc.index_in(words, value_set=self.leaves), -1).to_numpy().copy()
         rare = leaf < 0
         if rare.any():
             leaf[rare] = self.v.classes_from + endings(*_flat(words.filter(pa.array(rare))))
-        return words, np.diff(held[at]), leaf.astype(np.uint32 if self.v.pad > 65_535 else np.uint16), rare
+        return words, sizes, leaf.astype(np.uint32 if self.v.pad > 65_535 else np.uint16), rare
 
     def rare(self, words):
         """Yields (first word, hashes, log-probabilities of the spelling) of some words at a time."""
