@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -35,10 +36,27 @@ def clear_tables(spark: SparkSession) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Where recorded() notes the tables that are made.
+_RECORDS: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded():
+    """A list of the paths of the tables that are made inside of the block."""
+    made: list[str] = []
+    _RECORDS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDS.remove(made)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: it cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = table_path(spark, name)
+    for made in _RECORDS:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,10 +73,18 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def folders(df: DataFrame) -> set[str]:
+    """The folders of the files that df reads."""
+    return {f.rpartition("/")[0] for f in df.inputFiles()}
+
+
 def delete_table(df: DataFrame) -> None:
     """Removes a table of materialize() that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+    delete_paths(df.sparkSession, folders(df))
+
+
+def delete_paths(spark: SparkSession, paths) -> None:
+    for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
