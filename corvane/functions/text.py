@@ -11,7 +11,7 @@ from corvane.session import table
 #: Letters that fold to ASCII.
 FOLD_FROM, FOLD_TO = "çğıİöşü", "cgiiosu"
 STOP_WORDS = ["the", "and", "for", "with", "that", "this", "from", "are", "was", "of", "to", "in", "is", "on", "by", "an", "as", "at"]
-#: Patterns of personal data and what takes their place, in the order they are applied.
+#: A rule set of our own: patterns of personal data and what takes their place, in the order they are applied.
 PII = [
     (r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", "[email]"),
     (r"(?i)https?://[^\s]+", "[url]"),

@@ -42,18 +42,45 @@ def agg_corpus_statistics(spark, sf_dir):
     return df.crossJoin(F.broadcast(sizes))
 
 
+#: Kinds of feedback and the columns that count them.
+FEEDBACK = {"GOOD_SOURCE": "good_source", "WRONG_SOURCE": "wrong_source", "MISSING_SOURCE": "missing_source", "BAD_ANSWER": "bad_answer", "GOOD_ANSWER": "good_answer"}
+
+
+def feedback_pivot(rows: DataFrame) -> DataFrame:
+    """Counts by kind, negative rate and suggested action of rows (kind, collection, expected, query_hash), nulls a key of their own."""
+    counts = [F.count_if(F.col("kind") == k).alias(c) for k, c in FEEDBACK.items()]
+    g = rows.groupBy("collection", "expected", "query_hash").agg(F.count("*").alias("total"), *counts)
+    named = F.col("collection").isNotNull()
+    action = (
+        F.when((F.col("wrong_source") > 0) & named, "PENALIZE_SOURCE")
+        .when(F.col("missing_source") > 0, "REVIEW_MISSING_SOURCE")
+        .when(F.col("bad_answer") > 0, "REVIEW_ANSWER_QUALITY")
+        .when((F.col("good_source") > 0) & named, "BOOST_SOURCE")
+    )
+    negative = F.col("wrong_source") + F.col("missing_source") + F.col("bad_answer")
+    return g.withColumn("negative_rate", ratio(negative, F.col("total"))).withColumn("action", action)
+
+
 @query(
     "agg_feedback_pivot",
-    """SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase') AS purchases,
-      round(count(*) FILTER (event_type = 'error') / CAST(count(*) AS DOUBLE), 3) AS negative_rate,
-      CASE WHEN count(*) FILTER (event_type = 'error') >= count(*) FILTER (event_type = 'purchase') + 3 THEN 'demote' WHEN count(*) FILTER (event_type = 'purchase') >= count(*) FILTER (event_type = 'error') + 3 THEN 'promote' ELSE 'review' END AS action
-    FROM events GROUP BY user_id""",
+    """WITH r AS (SELECT CASE event_type WHEN 'purchase' THEN 'GOOD_SOURCE' WHEN 'error' THEN 'WRONG_SOURCE' WHEN 'signup' THEN 'MISSING_SOURCE' WHEN 'view' THEN 'BAD_ANSWER' ELSE 'GOOD_ANSWER' END AS kind,
+      CASE WHEN event_type <> 'signup' AND value >= 10 THEN user_id END AS collection, CASE WHEN event_type = 'signup' THEN user_id END AS expected, substr(sha256(CAST(floor(value / 25) AS INTEGER)::VARCHAR), 1, 16) AS query_hash FROM events),
+    g AS (SELECT collection, expected, query_hash, count(*) AS total, count(*) FILTER (kind = 'GOOD_SOURCE') AS good_source, count(*) FILTER (kind = 'WRONG_SOURCE') AS wrong_source, count(*) FILTER (kind = 'MISSING_SOURCE') AS missing_source,
+      count(*) FILTER (kind = 'BAD_ANSWER') AS bad_answer, count(*) FILTER (kind = 'GOOD_ANSWER') AS good_answer FROM r GROUP BY ALL)
+    SELECT *, round((wrong_source + missing_source + bad_answer) / CAST(total AS DOUBLE), 3) AS negative_rate, CASE WHEN wrong_source > 0 AND collection IS NOT NULL THEN 'PENALIZE_SOURCE' WHEN missing_source > 0 THEN 'REVIEW_MISSING_SOURCE'
+      WHEN bad_answer > 0 THEN 'REVIEW_ANSWER_QUALITY' WHEN good_source > 0 AND collection IS NOT NULL THEN 'BOOST_SOURCE' END AS action FROM g""",
 )
 def agg_feedback_pivot(spark, sf_dir):
-    e, p = F.count_if(F.col("event_type") == "error"), F.count_if(F.col("event_type") == "purchase")
-    c = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("total"), e.alias("errors"), p.alias("purchases"))
-    action = F.when(F.col("errors") >= F.col("purchases") + 3, "demote").when(F.col("purchases") >= F.col("errors") + 3, "promote").otherwise("review")
-    return c.withColumn("negative_rate", ratio(F.col("errors"), F.col("total"))).withColumn("action", action)
+    """Events as feedback on a user's collection: signups miss it, small values name none."""
+    t = F.col("event_type")
+    kind = F.when(t == "purchase", "GOOD_SOURCE").when(t == "error", "WRONG_SOURCE").when(t == "signup", "MISSING_SOURCE").when(t == "view", "BAD_ANSWER").otherwise("GOOD_ANSWER")
+    rows = table(spark, sf_dir, "events").select(
+        kind.alias("kind"),
+        F.when((t != "signup") & (F.col("value") >= 10), F.col("user_id")).alias("collection"),
+        F.when(t == "signup", F.col("user_id")).alias("expected"),
+        F.substring(F.sha2(F.floor(F.col("value") / 25).cast("int").cast("string"), 256), 1, 16).alias("query_hash"),
+    )
+    return feedback_pivot(rows)
 
 
 @query(
@@ -179,14 +206,14 @@ def agg_weighted_merge(spark, sf_dir):
 
 @query(
     "agg_event_sums_exact",
-    """SELECT user_id, CAST(sum(CASE WHEN event_type = 'purchase' THEN CAST(floor(value) AS BIGINT) ELSE 0 END) AS BIGINT) AS bought, CAST(sum(CASE WHEN event_type = 'error' THEN -CAST(floor(value) AS BIGINT) ELSE 0 END) AS BIGINT) AS lost FROM events GROUP BY 1""",
+    """SELECT user_id, CAST(sum(CASE WHEN event_type = 'purchase' THEN CAST(floor(value) AS HUGEINT) * 1000000000000000000 ELSE 0 END) AS VARCHAR) AS bought, CAST(sum(CASE WHEN event_type = 'error' THEN -CAST(floor(value) AS HUGEINT) * 1000000000000000000 ELSE 0 END) AS VARCHAR) AS lost FROM events GROUP BY 1""",
 )
 def agg_event_sums_exact(spark, sf_dir):
-    """Summed as decimal(38, 0), so that unsigned 64-bit amounts cannot overflow."""
-    v = F.floor("value").cast("decimal(28,0)")
+    """Amounts in units of 1e-18, beyond 64 bits, summed as decimals and written out."""
+    v = F.floor("value").cast("decimal(10,0)") * F.lit("1000000000000000000").cast("decimal(19,0)")
 
     def of(kind, x):
-        return F.sum(F.when(F.col("event_type") == kind, x).otherwise(0)).cast("long")
+        return F.sum(F.when(F.col("event_type") == kind, x).otherwise(0)).cast("decimal(38,0)").cast("string")
 
     return table(spark, sf_dir, "events").groupBy("user_id").agg(of("purchase", v).alias("bought"), of("error", -v).alias("lost"))
 
@@ -243,10 +270,11 @@ def agg_cluster_summary(spark, sf_dir):
 
 @query(
     "agg_demand_coverage",
-    """WITH d AS (SELECT user_id, unnest(list_filter(['view', 'click', 'purchase'], lambda x: NOT list_contains(s, x))) AS lacks FROM (SELECT user_id, list(DISTINCT event_type) AS s FROM events WHERE event_id % 9 = 0 GROUP BY 1)) SELECT lacks, count(*) AS n FROM d GROUP BY 1""",
+    """WITH d AS (SELECT user_id, unnest(list_filter(['view', 'click', 'purchase'], lambda x: NOT list_contains(s, x))) AS lacks FROM (SELECT user_id, list(DISTINCT event_type) AS s FROM events GROUP BY user_id, CAST(ts AS DATE))) SELECT lacks, count(*) AS n FROM d GROUP BY 1""",
 )
 def agg_demand_coverage(spark, sf_dir):
-    s = table(spark, sf_dir, "events").where("event_id % 9 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("s"))
+    """How many users' days lack each wanted kind of event."""
+    s = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts")).agg(F.collect_set("event_type").alias("s"))
     wanted = F.array(F.lit("view"), F.lit("click"), F.lit("purchase"))
     return s.select(F.explode(F.array_except(wanted, "s")).alias("lacks")).groupBy("lacks").agg(F.count("*").alias("n"))
 

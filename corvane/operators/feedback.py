@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.catalog import query
+from corvane.functions.overlap import answer_score
+from corvane.functions.text import plain_tokens
 from corvane.session import table
 
 #: Fixed values of a proposal's impact: cap, base, step and least confidence.
@@ -126,3 +128,61 @@ def eval_manifest(spark, sf_dir):
     files = d.where("doc_id % 10 != 0").select("path", "sha256")
     listed = d.where("doc_id % 10 = 0 or doc_id % 7 = 0 or doc_id % 11 != 1")
     return manifest_problems(files, listed.select("path", F.when(F.col("doc_id") % 7 == 0, "other").otherwise(F.col("sha256")).alias("sha256")))
+
+
+def evidence_only_findings(answer: Column, evidence: Column, forbidden: list[str], least_overlap: float = 0.3, most_words: int = 220) -> Column:
+    """What is wrong with an answer that must rest on its evidence alone: an array of names, empty for a good one."""
+    words = F.array_distinct(plain_tokens(answer))
+    shared = F.size(F.array_intersect(words, F.array_distinct(plain_tokens(evidence))))
+    numbers = F.regexp_extract_all(answer, F.lit("[0-9]+"), F.lit(0))
+    bad = F.lit(False)
+    for term in forbidden:
+        bad = bad | F.contains(F.lower(answer), F.lit(term))
+    return F.array_compact(
+        F.array(
+            F.when(F.trim(answer) == "", "empty_answer"),
+            F.when(evidence.isNull() | (F.trim(evidence) == ""), "no_evidence"),
+            F.when((F.size(words) > 0) & (shared < F.size(words) * least_overlap), "not_in_evidence"),
+            F.when(F.exists(numbers, lambda x: ~F.contains(evidence, x)), "unsupported_number"),
+            F.when(bad, "forbidden_term"),
+            F.when(F.size(plain_tokens(answer)) > most_words, "too_long"),
+        )
+    )
+
+
+_P = "list_filter(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: length(t) > 1)"
+
+
+@query(
+    "eval_evidence_only",
+    f"""WITH p AS (SELECT conv_id, turn, role, text AS a, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM conversations),
+    w AS (SELECT *, list_distinct({_P.format(x="a")}) AS wa, list_distinct({_P.format(x="coalesce(e, '')")}) AS we, {_P.format(x="a")} AS every FROM p WHERE role = 'assistant')
+    SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN trim(a) = '' THEN 'empty_answer' END, CASE WHEN e IS NULL OR trim(e) = '' THEN 'no_evidence' END,
+      CASE WHEN len(wa) > 0 AND len(list_intersect(wa, we)) < len(wa) * 0.3 THEN 'not_in_evidence' END, CASE WHEN e IS NOT NULL AND len(list_filter(regexp_extract_all(a, '[0-9]+'), lambda x: NOT contains(e, x))) > 0 THEN 'unsupported_number' END,
+      CASE WHEN contains(lower(a), 'guaranteed') OR contains(lower(a), 'idiot') THEN 'forbidden_term' END, CASE WHEN len(every) > 220 THEN 'too_long' END], lambda x: x IS NOT NULL), ',') AS findings FROM w""",
+)
+def eval_evidence_only(spark, sf_dir):
+    """Assistant turns held against the turn before as their only evidence."""
+    c = table(spark, sf_dir, "conversations").withColumn("e", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    found = evidence_only_findings(F.col("text"), F.col("e"), ["guaranteed", "idiot"])
+    return c.where("role = 'assistant'").select("conv_id", "turn", F.array_join(found, ",").alias("findings"))
+
+
+def adapter_benchmark(answers: DataFrame, hidden: DataFrame) -> DataFrame:
+    """adapter, cases, answered, score: mean answer score of each adapter over all hidden rows, unanswered ones counted 0.
+
+    answers: adapter, case_id, answer; hidden: case_id, reference.
+    """
+    total = hidden.agg(F.count("*").alias("cases"))
+    scored = answers.join(hidden, "case_id").select("adapter", answer_score(F.col("answer"), F.col("reference")).alias("s"))
+    g = scored.groupBy("adapter").agg(F.sum("s").alias("s"), F.count("*").alias("answered"))
+    return g.crossJoin(F.broadcast(total)).select("adapter", "cases", "answered", F.round(F.col("s") / F.col("cases"), 4).alias("score"))
+
+
+@query("eval_adapter_benchmark")
+def eval_adapter_benchmark(spark, sf_dir):
+    """Conversations' first answers as four adapters' answers to their hidden reference, the last answer."""
+    c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    g = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("answer"), F.max_by("text", "turn").alias("reference"))
+    answers = g.select(F.pmod("conv_id", F.lit(4)).cast("int").alias("adapter"), F.col("conv_id").alias("case_id"), "answer")
+    return adapter_benchmark(answers, g.select(F.col("conv_id").alias("case_id"), "reference"))

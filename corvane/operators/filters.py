@@ -159,3 +159,27 @@ def project_citations(spark, sf_dir):
     """One row a source, with an excerpt."""
     best = table(spark, sf_dir, "documents").groupBy("source").agg(F.max_by(F.struct("doc_id", "text"), F.struct("n_chars", -F.col("doc_id"))).alias("d"))
     return best.select("source", "d.doc_id", F.substring("d.text", 1, 220).alias("excerpt"))
+
+
+@query(
+    "project_items",
+    """SELECT o_orderkey AS id, 'order-' || o_orderkey AS name, CASE o_orderstatus WHEN 'F' THEN 'ACTIVE' WHEN 'O' THEN 'PENDING' ELSE 'REJECTED' END AS status, CAST(NULLIF(o_custkey % 7, 0) AS VARCHAR) AS chain_id,
+      coalesce(CASE WHEN o_orderkey % 3 = 0 THEN 'weights-' || o_orderkey END, CASE WHEN o_orderkey % 3 = 1 THEN 'manifest-' || o_orderkey END) AS cid, CAST(CASE WHEN o_totalprice > 1000 THEN o_totalprice END AS DOUBLE) AS score,
+      o_orderpriority || ',' || c_mktsegment AS tags, c_name AS owner_wallet, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') AS created_at FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
+)
+def project_items(spark, sf_dir):
+    """List items of a service: ids as text, the first content address there is, numbers as doubles or null, times in ISO form, the owner's name."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    rows = o.join(c, o.o_custkey == c.c_custkey, "left")
+    text, third = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 3
+    return rows.select(
+        F.col("o_orderkey").alias("id"),
+        F.concat(F.lit("order-"), text).alias("name"),
+        F.when(F.col("o_orderstatus") == "F", "ACTIVE").when(F.col("o_orderstatus") == "O", "PENDING").otherwise("REJECTED").alias("status"),
+        F.nullif(F.col("o_custkey") % 7, F.lit(0)).cast("string").alias("chain_id"),
+        F.coalesce(F.when(third == 0, F.concat(F.lit("weights-"), text)), F.when(third == 1, F.concat(F.lit("manifest-"), text))).alias("cid"),
+        F.when(F.col("o_totalprice") > 1000, F.col("o_totalprice")).cast("double").alias("score"),
+        F.concat_ws(",", "o_orderpriority", "c_mktsegment").alias("tags"),
+        F.col("c_name").alias("owner_wallet"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_at"),
+    )

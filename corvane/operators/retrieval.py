@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from corvane.catalog import query
 from corvane.functions.text import plain_tokens, sentences
 from corvane.functions.vectors import sha_bucket, sparse_bag
-from corvane.operators.windows import scaled
 from corvane.session import table
 
 #: Fixed values of the lexical score.
@@ -150,26 +149,6 @@ def retrieve_phrase_bonus(spark, sf_dir):
     return phrase_bonus(best(_rounded(bm25(q, d)), 5), q, d).withColumn("score", F.round("score", 3))
 
 
-@query(
-    "retrieve_rerank",
-    f"""WITH {_HYB}, t AS (SELECT * FROM (SELECT query_id, doc_id, round(score, 6) AS score, {_RANK} AS rank FROM hyb) WHERE rank <= 8),
-    j AS (SELECT t.query_id, t.doc_id, t.score AS fused, list_distinct(q.w) AS a, list_distinct(d.w) AS b FROM t JOIN q USING (query_id) JOIN d USING (doc_id)),
-    m AS (SELECT *, CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))) AS model FROM j),
-    s AS (SELECT *, CASE WHEN max(fused) OVER w - min(fused) OVER w < 1e-9 THEN 0.5 ELSE (fused - min(fused) OVER w) / (max(fused) OVER w - min(fused) OVER w) END AS x,
-      CASE WHEN max(model) OVER w - min(model) OVER w < 1e-9 THEN 0.5 ELSE (model - min(model) OVER w) / (max(model) OVER w - min(model) OVER w) END AS y FROM m WINDOW w AS (PARTITION BY query_id))
-    SELECT query_id, doc_id, round(x + 1.75 * y, 4) AS score FROM s""",
-)
-def retrieve_rerank(spark, sf_dir):
-    """The scaled fused score and 1.75 of the scaled score of the model, here its token-overlap fallback."""
-    q, d = _queries(spark, sf_dir), table(spark, sf_dir, "documents")
-    rows = hybrid_top(spark, sf_dir, 8).select("query_id", "doc_id", F.col("score").alias("fused"))
-    rows = rows.join(q.select("query_id", F.array_distinct(plain_tokens(F.col("text"))).alias("a")), "query_id")
-    rows = rows.join(d.select("doc_id", F.array_distinct(plain_tokens(F.col("text"))).alias("b")), "doc_id")
-    rows = rows.withColumn("model", F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")))
-    both = scaled(scaled(rows, "query_id", "fused", "x"), "query_id", "model", "y")
-    return both.select("query_id", "doc_id", F.round(F.col("x") + 1.75 * F.col("y"), 4).alias("score"))
-
-
 @query(
     "retrieve_alignment",
     f"""WITH {_BM25}, t AS (SELECT * FROM (SELECT query_id, doc_id, round(score, 6) AS score, {_RANK} AS rank FROM lex) WHERE rank <= 8),

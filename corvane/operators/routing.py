@@ -6,26 +6,69 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.catalog import query
-from corvane.functions.text import plain_tokens
+from corvane.functions.text import normalized, plain_tokens, tokens
 from corvane.functions.vectors import cosine
 from corvane.session import table
 
-#: Rules: domain, pattern, weight. A table of the caller's own takes their place.
+#: Rules: domain, subtopic, terms, hints, words that must occur, terms of high risk. A table of the caller's own takes their place.
 RULES = [
-    ("licensing", r"licen[cs]e|copyright|reserved", 3),
-    ("security", r"\bAKIA[A-Z0-9]+|password|secret|token", 3),
-    ("contact", r"@[a-z0-9.-]+\.[a-z]+|\+?[0-9]{3}[ -][0-9]{3}", 2),
-    ("shouting", r"[A-Z]{4,}!!", 1),
+    ("rights", "licence", ["licensed", "license", "rights reserved", "copyright"], ["terms of use"], ["license"], ["reserved"]),
+    ("rights", "open", ["cc by", "apache", "gnu"], ["open licences"], ["license", "source"], []),
+    ("safety", "insult", ["idiot", "scum", "worthless", "pathetic"], ["tone"], ["people"], ["scum", "trash"]),
+    ("safety", "secrets", ["token", "password", "secret"], ["credentials"], ["key"], ["token"]),
+    ("knowledge", "question", ["what", "which", "how many"], ["facts"], ["answer"], []),
+    ("knowledge", "place", ["city", "river", "capital"], ["geography"], ["place"], []),
+    ("work", "code", ["write a function", "program", "python"], ["code"], ["function"], []),
 ]
+#: Domains that are of medium risk where none of their risk terms occurs.
+SENSITIVE = ["safety", "rights"]
 #: Weights of the signals of a collection's score.
 WEIGHTS = {"profile": 0.45, "lexical": 0.25, "route": 0.15, "quality": 0.1, "freshness": 0.05}
 
 
-def vote(rows: DataFrame, key: str, text: str, rules: list[tuple[str, str, int]]) -> DataFrame:
-    """key, domain, score of the domain with most votes; of equals the first by name; none where no rule fits."""
-    votes = F.array_compact(F.array(*[F.when(F.col(text).rlike(p), F.struct(F.lit(-w).alias("minus"), F.lit(d).alias("domain"))) for d, p, w in rules]))
-    top = F.element_at(F.array_sort(votes), 1)
-    return rows.select(key, F.when(F.size(votes) > 0, top["domain"]).alias("domain"), F.when(F.size(votes) > 0, -top["minus"]).otherwise(0).alias("score"), F.size(votes).alias("fired"))
+def _has(term: str) -> Column:
+    """Whether a query (columns norm and words) has a term: as a phrase, as a word, as a word's beginning, or softened at its end."""
+    if " " in term:
+        return F.contains("norm", F.lit(term))
+    found = F.array_contains("words", term)
+    if term.endswith("k"):
+        found = found | F.exists("words", lambda w: F.startswith(w, F.lit(term[:-1] + "g")))
+    if len(term) >= 4:
+        found = found | F.exists("words", lambda w: F.startswith(w, F.lit(term)))
+    return found
+
+
+def route(rows: DataFrame, key: str, text: str, rules=RULES, sensitive=SENSITIVE) -> DataFrame:
+    """key, domain, subtopics, hints, must_include, risk, confidence of each text.
+
+    The domain is the one with most rules that fit; of equals the one whose rule has most terms, then the first. Subtopics, hints
+    and words come from its rules that fit, those with most terms first; four, eight and twelve of them at most. No rule: general.
+    """
+    q = rows.select(key, normalized(F.col(text)).alias("norm"), tokens(F.col(text)).alias("words"))
+    fits = []
+    for i, (domain, subtopic, terms, hints, include, risky) in enumerate(rules):
+        n = sum(_has(t).cast("int") for t in terms)
+        danger = F.lit(False)
+        for t in risky:
+            danger = danger | _has(t)
+        texts = [F.array(*map(F.lit, x)) if x else F.array().cast("array<string>") for x in (hints, include)]
+        fit = F.struct((-n).alias("minus"), F.lit(i).alias("at"), F.lit(domain).alias("domain"), F.lit(subtopic).alias("subtopic"), texts[0].alias("hints"), texts[1].alias("include"), danger.alias("danger"))
+        fits.append(F.when(n > 0, fit))
+    q = q.select(key, F.array_sort(F.array_compact(F.array(*fits))).alias("fits"))
+    first = F.transform(F.array_distinct(F.transform("fits", lambda x: x["domain"])), lambda d: F.struct((-F.size(F.filter("fits", lambda x: x["domain"] == d))).alias("minus"), F.array_position(F.transform("fits", lambda x: x["domain"]), d).alias("at"), d.alias("domain")))
+    q = q.withColumn("domain", F.when(F.size("fits") > 0, F.element_at(F.array_sort(first), 1)["domain"]).otherwise("general"))
+    q = q.withColumn("own", F.filter("fits", lambda x: x["domain"] == F.col("domain")))
+
+    def every(name, most):
+        return F.slice(F.array_distinct(F.flatten(F.transform("own", lambda x: x[name]))), 1, most)
+
+    risk = F.when(F.exists("own", lambda x: x["danger"]), "high").when(F.col("domain").isin(sensitive), "medium").otherwise("low")
+    top = -F.element_at("fits", 1)["minus"]
+    confidence = F.when(F.size("own") == 0, "low").when((F.size("own") >= 2) | (top > 1), "high").otherwise("medium")
+    return q.select(
+        key, "domain", F.slice(F.array_distinct(F.transform("own", lambda x: x["subtopic"])), 1, 4).alias("subtopics"), every("hints", 8).alias("hints"), every("include", 12).alias("must_include"),
+        F.when(F.size("own") == 0, "low").otherwise(risk).alias("risk"), confidence.alias("confidence"),
+    )
 
 
 def weighted_signals(signals: dict[str, Column], weights: dict[str, float] = WEIGHTS) -> Column:
@@ -40,17 +83,31 @@ def decide(top: Column, second: Column) -> Column:
     return F.when(top.isNull() | (top < 0.2), "no_source").when((top >= 0.6) & (gap >= 0.1), "strict").when(top >= 0.35, "broad").otherwise("suggest")
 
 
-def _votes_sql(key, rel):
-    parts = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN {{'minus': {-w}, 'domain': '{d}'}} END" for d, p, w in RULES)
-    return f"SELECT {key}, list_sort(list_filter([{parts}], lambda x: x IS NOT NULL)) AS v FROM {rel}"
+_NORM_SQL = "trim(regexp_replace(regexp_replace(lower(translate(text, 'Iİ', 'ıi')), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_RULE_ROWS = ", ".join(f"({i}, '{d}', '{st}', {hints}, {include}, {risky})" for i, (d, st, _, hints, include, risky) in enumerate(RULES))
+_TERM_ROWS = ", ".join(f"({i}, '{t}', {risky})" for i, r in enumerate(RULES) for t, risky in [*((x, "FALSE") for x in r[2]), *((x, "TRUE") for x in r[5])])
+_TEXTS = "(SELECT item_id AS text_id, text FROM benchmark UNION ALL SELECT -doc_id - 1, text FROM documents)"
 
 
 @query(
     "route_rules",
-    f"SELECT doc_id, v[1].domain AS domain, coalesce(-v[1].minus, 0) AS score, CAST(len(v) AS INTEGER) AS fired FROM ({_votes_sql('doc_id', 'documents')})",
+    f"""WITH rule(nr, domain, subtopic, hints, include, risky) AS (VALUES {_RULE_ROWS.replace(", []", ", []::VARCHAR[]")}), term(nr, term, risky) AS (VALUES {_TERM_ROWS}),
+    q AS (SELECT text_id, {_NORM_SQL} AS norm FROM {_TEXTS}), w AS (SELECT text_id, norm, list_filter(string_split(norm, ' '), lambda t: length(t) > 1 OR regexp_matches(t, '[0-9]')) AS words FROM q),
+    hit AS (SELECT text_id, nr, count(*) FILTER (NOT risky) AS n, count(*) FILTER (risky) > 0 AS danger FROM w, term WHERE CASE WHEN contains(term, ' ') THEN contains(norm, term) ELSE list_contains(words, term)
+      OR (length(term) >= 4 AND len(list_filter(words, lambda x: starts_with(x, term))) > 0) OR (ends_with(term, 'k') AND len(list_filter(words, lambda x: starts_with(x, term[:-2] || 'g'))) > 0) END GROUP BY ALL),
+    fit AS (SELECT hit.*, rule.* EXCLUDE nr, row_number() OVER (PARTITION BY text_id ORDER BY n DESC, nr) AS place FROM hit JOIN rule USING (nr) WHERE n > 0),
+    dom AS (SELECT text_id, domain, row_number() OVER (PARTITION BY text_id ORDER BY count(*) DESC, min(place)) AS rn FROM fit GROUP BY text_id, domain),
+    own AS (SELECT fit.* FROM fit JOIN dom USING (text_id, domain) WHERE rn = 1),
+    g AS (SELECT text_id, any_value(domain) AS domain, string_agg(subtopic, ',' ORDER BY place) AS subtopics, string_agg(array_to_string(hints, ','), ',' ORDER BY place) AS hints, bool_or(danger) AS danger, count(*) AS k FROM own GROUP BY 1),
+    top AS (SELECT text_id, max(n) AS n FROM fit GROUP BY 1)
+    SELECT q.text_id, coalesce(domain, 'general') AS domain, coalesce(subtopics, '') AS subtopics, coalesce(hints, '') AS hints, CASE WHEN k IS NULL THEN 'low' WHEN danger THEN 'high' WHEN domain IN ('safety', 'rights') THEN 'medium' ELSE 'low' END AS risk,
+      CASE WHEN k IS NULL THEN 'low' WHEN k >= 2 OR n > 1 THEN 'high' ELSE 'medium' END AS confidence FROM q LEFT JOIN g USING (text_id) LEFT JOIN top USING (text_id)""",
 )
 def route_rules(spark, sf_dir):
-    return vote(table(spark, sf_dir, "documents"), "doc_id", "text", RULES)
+    """Domain, subtopics, hints, risk and confidence of the queries, and of the documents as queries, by a table of rules."""
+    docs = table(spark, sf_dir, "documents").select((-F.col("doc_id") - 1).alias("text_id"), "text")
+    rows = route(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("text_id"), "text").union(docs), "text_id", "text")
+    return rows.select("text_id", "domain", F.array_join("subtopics", ",").alias("subtopics"), F.array_join("hints", ",").alias("hints"), "risk", "confidence")
 
 
 _T = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: length(t) > 1)"
@@ -132,15 +189,15 @@ def route_budget(spark, sf_dir):
 @query(
     "route_adaptive_profile",
     """WITH m AS (SELECT label, list(x ORDER BY i) AS m FROM (SELECT label, i, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL) GROUP BY 1),
-    s AS (SELECT vec_id, m.label AS profile, round(list_cosine_similarity(embedding::DOUBLE[], m.m), 9) AS s FROM embeddings, m WHERE vec_id % 50 = 0)
+    s AS (SELECT vec_id, m.label AS profile, round(list_cosine_similarity(embedding::DOUBLE[], m.m), 9) AS s FROM embeddings, m)
     SELECT vec_id, profile FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, profile) AS rn FROM s) WHERE rn = 1""",
 )
 def route_adaptive_profile(spark, sf_dir):
-    """The profile, one of a few, that each query vector is nearest to."""
+    """The profile, one for each label and so few, that each vector is nearest to."""
     e = table(spark, sf_dir, "embeddings")
     mean = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     m = mean.groupBy(F.col("label").alias("profile")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("m"))
-    s = e.where("vec_id % 50 = 0").crossJoin(F.broadcast(m)).select("vec_id", "profile", F.round(cosine(F.col("embedding"), F.col("m")), 9).alias("s"))
+    s = e.crossJoin(F.broadcast(m)).select("vec_id", "profile", F.round(cosine(F.col("embedding"), F.col("m")), 9).alias("s"))
     return s.groupBy("vec_id").agg(F.max_by("profile", F.struct("s", -F.col("profile"))).alias("profile"))
 
 

@@ -159,13 +159,13 @@ def structure_html_blocks(spark, sf_dir):
 
 @query(
     "structure_table_chunks",
-    """WITH r AS (SELECT l_orderkey, '|' || l_linenumber || '|' || l_returnflag || '|' AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) AS rn FROM lineitem WHERE l_orderkey % 10 = 0)
+    """WITH r AS (SELECT l_orderkey, '|' || l_linenumber || '|' || l_returnflag || '|' AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) AS rn FROM lineitem)
     SELECT l_orderkey, CAST((rn - 1) // 3 AS INTEGER) AS part, md5('|line|flag|' || chr(10) || '|-|-|' || chr(10) || string_agg(line, chr(10) ORDER BY rn)) AS chunk_md5 FROM r GROUP BY ALL""",
 )
 def structure_table_chunks(spark, sf_dir):
     """Orders' lines as Markdown tables, cut every three rows with the header before each part."""
     line = F.concat(F.lit("|"), F.col("l_linenumber").cast("string"), F.lit("|"), "l_returnflag", F.lit("|"))
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("s")))).alias("r"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("s")))).alias("r"))
     md = F.concat(F.lit("|line|flag|\n|-|-|\n"), F.array_join(F.transform("r", lambda x: x["s"]), "\n"))
     parts = rows.select("l_orderkey", F.posexplode(table_chunks(md, 3)).alias("part", "c"))
     return parts.select("l_orderkey", "part", F.md5(F.col("c").cast("binary")).alias("chunk_md5"))

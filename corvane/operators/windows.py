@@ -22,6 +22,23 @@ def scaled(rows: DataFrame, key: str, score: str, out: str) -> DataFrame:
     return rows.withColumn(out, F.when(high - low < 1e-9, 0.5).otherwise((F.col(score) - low) / (high - low)))
 
 
+def numbered_ranges(rows: DataFrame, key: str, lead: list[str], last: str) -> DataFrame:
+    """Adds rank, the place of each row within key by lead and then last, a number: no task holds more than a range of rows.
+
+    Rows of equal key and lead are dealt into ranges of last between bounds that are fixed first; only the ranges' sizes are
+    added up in one place.
+    """
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    bounds = rows.agg(F.percentile_approx(last, [i / n for i in range(1, n)]).alias("b")).first().b or []
+    below = F.array(*map(F.lit, sorted(set(bounds)))).cast("array<long>")
+    cell = [key, *lead, "_range"]
+    ranged = rows.withColumn("_range", F.size(F.filter(below, lambda b: b < F.col(last))))
+    before = Window.partitionBy(key).orderBy(*lead, "_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranged.groupBy(*cell).agg(F.count("*").alias("_n")).select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy(*cell).orderBy(last))
+    return ranged.withColumn("_at", inside).join(bases, cell).withColumn("rank", F.col("_at") + F.col("_base")).drop("_range", "_at", "_base")
+
+
 def balanced_sample(rows: DataFrame, source: str, order: list, cap: int, n: int) -> DataFrame:
     """n rows taken from the sources in turn, cap of each at most."""
     ranked = rows.withColumn("turn", F.row_number().over(Window.partitionBy(source).orderBy(*order))).where(F.col("turn") <= cap)
@@ -172,7 +189,7 @@ def window_bucket_quota(spark, sf_dir):
                 chosen.setdefault(r.o_orderkey, "fill")
         yield pd.DataFrame({"o_orderkey": list(chosen), "taken_as": list(chosen.values())})
 
-    return near.select("o_orderkey", "bucket", "rn").coalesce(1).mapInPandas(pick, "o_orderkey long, taken_as string")
+    return near.select("o_orderkey", "bucket", "rn").repartition(1).mapInPandas(pick, "o_orderkey long, taken_as string")
 
 
 @query("sort_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 24")
@@ -185,8 +202,9 @@ def sort_top_k(spark, sf_dir):
     """SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority, floor(o_totalprice / 50000) DESC, o_orderkey) AS rank FROM orders""",
 )
 def sort_tie_breaks(spark, sf_dir):
-    w = Window.partitionBy("o_orderstatus").orderBy("o_orderpriority", F.desc(F.floor(F.col("o_totalprice") / 50000)), "o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(w).alias("rank"))
+    """Every row ranked within its status, which are few: rows are dealt into ranges of the order and counted range by range."""
+    rows = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", (-F.floor(F.col("o_totalprice") / 50000)).alias("band"), "o_orderkey")
+    return numbered_ranges(rows, "o_orderstatus", ["o_orderpriority", "band"], "o_orderkey").select("o_orderkey", F.col("rank").cast("int").alias("rank"))
 
 
 @query(
@@ -274,11 +292,11 @@ def set_duplicate_uploads(spark, sf_dir):
 
 @query(
     "set_array_operations",
-    """WITH a AS (SELECT user_id, list(DISTINCT event_type) FILTER (value > 60) AS x, list(DISTINCT event_type) FILTER (value < 40) AS y FROM events WHERE event_id % 5 = 0 GROUP BY 1)
-    SELECT user_id, array_to_string(list_sort(list_intersect(coalesce(x, []), coalesce(y, []))), ',') AS both_kinds, array_to_string(list_sort(list_filter(coalesce(x, []), lambda e: NOT list_contains(coalesce(y, []), e))), ',') AS only_high FROM a""",
+    """WITH a AS (SELECT user_id, CAST(ts AS DATE) AS day, list(DISTINCT event_type) FILTER (value > 60) AS x, list(DISTINCT event_type) FILTER (value < 40) AS y FROM events GROUP BY user_id, CAST(ts AS DATE))
+    SELECT user_id, CAST(day AS VARCHAR) AS day, array_to_string(list_sort(list_intersect(coalesce(x, []), coalesce(y, []))), ',') AS both_kinds, array_to_string(list_sort(list_filter(coalesce(x, []), lambda e: NOT list_contains(coalesce(y, []), e))), ',') AS only_high FROM a""",
 )
 def set_array_operations(spark, sf_dir):
-    a = table(spark, sf_dir, "events").where("event_id % 5 = 0").groupBy("user_id").agg(
+    a = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(
         F.collect_set(F.when(F.col("value") > 60, F.col("event_type"))).alias("x"), F.collect_set(F.when(F.col("value") < 40, F.col("event_type"))).alias("y")
     )
-    return a.select("user_id", F.array_join(F.array_sort(F.array_intersect("x", "y")), ",").alias("both_kinds"), F.array_join(F.array_sort(F.array_except("x", "y")), ",").alias("only_high"))
+    return a.select("user_id", F.col("day").cast("string").alias("day"), F.array_join(F.array_sort(F.array_intersect("x", "y")), ",").alias("both_kinds"), F.array_join(F.array_sort(F.array_except("x", "y")), ",").alias("only_high"))

@@ -13,6 +13,7 @@ FLAGSHIP = "retrieve_hybrid"
 #: Modules that register queries.
 MODULES = [
     "functions.text",
+    "functions.folds",
     "functions.numbers",
     "functions.vectors",
     "sources.readers",
@@ -24,6 +25,7 @@ MODULES = [
     "operators.structure",
     "operators.quality",
     "operators.retrieval",
+    "operators.ranking",
     "operators.routing",
     "operators.evidence",
     "operators.feedback",

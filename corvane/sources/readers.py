@@ -42,14 +42,30 @@ def sniff_delimiter(text: Column) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The file by its own delimiter; the driver looks at no more than its first line group."""
-    d = read_text(spark, path).select(sniff_delimiter(F.col("text")).alias("d")).first()
-    return spark.read.csv(path, sep=d.d if d else ",", header=True, quote='"', escape='"', multiLine=True)
+    """Rows of all files of path, each cut at its own file's delimiter; columns by name, null where a file lacks one.
+
+    The driver gets the paths and delimiters, one row for each distinct header and delimiter, and no content.
+    """
+    heads = read_text(spark, path).select(F.input_file_name().alias("file"), sniff_delimiter(F.col("text")).alias("d"))
+    found = None
+    for d in sorted(r.d for r in heads.select("d").distinct().collect()):
+        files = [r.file for r in heads.where(F.col("d") == d).select("file").distinct().collect()]
+        part = spark.read.csv(files, sep=d, header=True, quote='"', escape='"', multiLine=True)
+        found = part if found is None else found.unionByName(part, allowMissingColumns=True)
+    return found if found is not None else spark.read.csv(path, header=True)
+
+
+def column_letters(i: int) -> str:
+    """A, B, to Z, AA, AB and so on for columns numbered from 0."""
+    out = ""
+    while i >= 0:
+        out, i = chr(65 + i % 26) + out, i // 26 - 1
+    return out
 
 
 def cells(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """key, address, header, text, kind, value: every cell of rows with its A1 address; rows are numbered by key."""
-    parts = F.array(*[F.struct(F.lit(chr(65 + i)).alias("letter"), F.lit(c).alias("header"), F.col(c).cast("string").alias("text")) for i, c in enumerate(columns)])
+    parts = F.array(*[F.struct(F.lit(column_letters(i)).alias("letter"), F.lit(c).alias("header"), F.col(c).cast("string").alias("text")) for i, c in enumerate(columns)])
     each = rows.select(key, F.explode(parts).alias("c"))
     address = F.concat("c.letter", (F.col(key) + 2).cast("string"))
     return each.select(key, address.alias("address"), "c.header", "c.text", value_type(F.col("c.text")).alias("kind"), local_number(F.col("c.text")).alias("value"))
