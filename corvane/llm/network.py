@@ -76,14 +76,15 @@ class Network:
             out[a + order] = total
         return out
 
-    def gradient(self, target: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Gradient of the summed negative log-probabilities by all weights, flat."""
-        grad = Network(self.branches)
+    def _backward(self, target: np.ndarray, context: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Gradients of the summed negative log-probabilities: of the tree's levels, of the bias, and (words, rows) of each place."""
         order = np.argsort(target, kind="stable")
         t, x = target[order], context[order]
         h, rows = self.hidden(x), np.arange(len(t))
-        back, ones = np.zeros((len(t), HIDDEN + 1), np.float32), np.ones(self.branches, np.float32)
-        for (level, nodes, cuts, branch), g in zip(self.choices(t), grad.tree, strict=True):
+        back, ones = np.zeros((len(t), HIDDEN), np.float32), np.ones(self.branches, np.float32)
+        part = np.empty_like(back)
+        tree = [np.zeros_like(level) for level in self.tree]
+        for (level, nodes, cuts, branch), g in zip(self.choices(t), tree, strict=True):
             z = np.empty((len(t), self.branches), np.float32)
             spans = list(zip(nodes.tolist(), cuts.tolist(), cuts[1:].tolist(), strict=False))
             for k, i, j in spans:
@@ -92,29 +93,50 @@ class Network:
             np.exp(z, out=z)
             z /= (z @ ones)[:, None]
             z[rows, branch] -= 1
+            turned = np.ascontiguousarray(level[:, :HIDDEN].transpose(0, 2, 1))
             for k, i, j in spans:
                 np.matmul(h[i:j].T, z[i:j], out=g[k])
-                back[i:j] += z[i:j] @ level[k].T
-        back = back[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2)
-        grad.bias[:] = back.sum(0)
+                np.matmul(z[i:j], turned[k], out=part[i:j])
+            back += part
+        back *= 1 - h[:, :HIDDEN] ** 2
+        places = []
         for j in range(2 * WINDOW):
             by = np.argsort(x[:, j], kind="stable")
             ids = x[by, j]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1])
-            grad.context[j][ids[cuts]] = np.add.reduceat(back.take(by, 0), cuts, axis=0)
+            places.append((ids[cuts].astype(np.intp), np.add.reduceat(back.take(by, 0), cuts, axis=0)))
+        return tree, back.sum(0), places
+
+    def gradient(self, target: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Gradient of the summed negative log-probabilities by all weights, flat."""
+        grad = Network(self.branches)
+        tree, grad.bias[:], places = self._backward(target, context)
+        for mine, g in zip(grad.tree, tree, strict=True):
+            mine[:] = g
+        for j, (ids, g) in enumerate(places):
+            grad.context[j][ids] = g
         return grad.flat
 
     def train(self, squares: np.ndarray, target: np.ndarray, context: np.ndarray) -> None:
-        """Adagrad steps over the targets, in place; squares: the sums of squared gradients so far."""
-        held = np.empty_like(self.flat)
+        """Adagrad steps over the targets, in place; squares: the sums of squared gradients so far. Of the embeddings only those of words that occur move."""
+        sums = Network(self.branches, squares)
+
+        def step(grad, size):
+            grad /= np.float32(np.sqrt(size))
+            return grad
+
         for a in range(0, len(target), BATCH):
-            t = target[a : a + BATCH]
-            grad = self.gradient(t, context[a : a + BATCH])
-            grad /= np.float32(np.sqrt(len(t)))
-            squares += np.multiply(grad, grad, out=held)
-            grad /= np.sqrt(np.add(squares, np.float32(1e-6), out=held), out=held)
-            grad *= np.float32(RATE)
-            self.flat -= grad
+            n = len(target[a : a + BATCH])
+            tree, bias, places = self._backward(target[a : a + BATCH], context[a : a + BATCH])
+            for w, total, g in zip((*self.tree, self.bias), (*sums.tree, sums.bias), (*tree, bias), strict=True):
+                g = step(g, n)
+                total += g * g
+                w -= np.float32(RATE) * g / np.sqrt(total + np.float32(1e-6))
+            for j, (ids, g) in enumerate(places):
+                g = step(g, n)
+                total = sums.context[j].take(ids, 0) + g * g
+                sums.context[j][ids] = total
+                self.context[j][ids] -= np.float32(RATE) * g / np.sqrt(total + np.float32(1e-6))
 
 
 def windows(ids: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
