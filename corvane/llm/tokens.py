@@ -19,7 +19,7 @@ import numpy as np
 _PLAIN = bytes(b for b in range(256) if b == 10 or 32 <= b < 127 or b > 160 and b != 173)
 _SPACES = (b"  ", b"\n\n", b" \n", b"\n ")
 #: Distinct pieces that a worker keeps; more are encoded again when they come again, so its memory is bounded.
-MAX_PIECES = 1_000_000
+MAX_PIECES = 300_000
 
 
 def is_plain(text: str) -> bool:
