@@ -68,8 +68,8 @@ def _starts(index: DataFrame, wanted: DataFrame) -> DataFrame:
     The rarest term's postings give the places; the next rarest ones thin them out term by term, and the
     rest is counted in one join.
     """
-    counts = index.where("term_id is not null").groupBy("term_id").agg(F.count("*").alias("df"))
-    ranked = wanted.join(counts, "term_id", "left").withColumn(
+    counts = materialize(index.where("term_id is not null").groupBy("term_id").agg(F.count("*").alias("df")), "frequencies")
+    ranked = wanted.join(_sent(counts, BROADCAST_TERMS), "term_id", "left").withColumn(
         "rank", F.row_number().over(Window.partitionBy("window").orderBy(F.coalesce("df", F.lit(0)), "offset"))
     )
     missing = ranked.where("df is null").select("window").distinct()  # a word that no document has

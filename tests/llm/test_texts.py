@@ -73,6 +73,16 @@ def test_proximity(spark):
     assert {r.doc_id for r in got} == {1, 4}
 
 
+def test_decontamination_without_broadcasts(spark, case, monkeypatch):
+    """A benchmark too large to send is joined; the result is the same."""
+    rows, bench = case if len(case) == 2 else case[:2]
+    a, b = docs(spark, rows), spark.createDataFrame(bench, "item_id long, text string")
+    sent = sorted(map(str, decontamination.report(a, b, 10).drop("row").collect()))
+    monkeypatch.setattr(decontamination, "BROADCAST_TERMS", 1)
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 1)
+    assert sorted(map(str, decontamination.report(a, b, 10).drop("row").collect())) == sent and len(sent) == len(rows)
+
+
 def test_decontamination_of_nothing(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [r.n_hit for r in decontamination.report(docs(spark, [(1, "a b")]), bench).collect()] == [0]
