@@ -2,7 +2,7 @@
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that operators use inside; an input may have them too.
-CLASH = ["row", "doc", "places", "fp", "component_id", "length", "start", "ids", "hits", "n_words", "_gone", "_once", "word", "pos", "term_id", "k", "_lines", "_removed", "bucket", "block", "label", "cell", "key", "shard", "first", "best", "_row"]
+CLASH = ["row", "doc", "places", "fp", "component_id", "length", "start", "ids", "hits", "n_words", "_gone", "_once", "word", "pos", "term_id", "k", "_lines", "_removed", "bucket", "block", "cell", "key", "shard", "first", "best", "_row"]
 
 
 def docs(spark, rows):
