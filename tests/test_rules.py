@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvane import registry
 from corvane.functions import folds
 from corvane.functions.overlap import answer_score
-from corvane.operators import feedback, quality, ranking, routing
+from corvane.operators import evidence, feedback, quality, ranking, routing
 from corvane.sources import readers
 
 SF = "/root/testdata/sf0.001"
@@ -134,6 +134,48 @@ def test_route(spark):
     assert got[4].domain == "medical"
 
 
+def test_requested_fields(spark):
+    fields = [("margin", ["net profit margin of the year", "Kâr-marjı"]), ("cash", ["nakit akış"]), ("of", ["of the"])]
+    texts = ["The Net_Profit margin","profit margin year", "nakit ve akis", "akis only", "out of the box", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = {r.k: (r.fields, r.coverage) for r in evidence.requested_fields(df, "t", fields).collect()}
+    assert [got[k][0] for k in range(7)] == [["margin"], ["margin"], ["cash"], [], ["of"], [], []]
+    assert got[0][1] == pytest.approx(1 / 3, abs=1e-6) and got[6][1] == 0
+
+
+def test_safety_gate(spark):
+    schema = "k int, answer string, retrieved boolean, mode string, grounding string, candidates int, failed boolean, dropped int, usable int, sources array<string>, cited array<string>, collections array<string>, accessible array<string>"
+    fine = (0, "yes", True, "auto", "high", 2, False, 0, 1, ["a"], ["a"], ["c"], ["c"])
+
+    def but(k, **changes):
+        names = [x.split()[0] for x in schema.split(", ")]
+        return tuple(changes.get(n, k if n == "k" else v) for n, v in zip(names, fine, strict=True))
+
+    rows = [
+        fine,
+        but(1, answer=None),
+        but(2, sources=[], cited=[], usable=0),
+        but(3, mode="no_source"),
+        but(4, failed=True, dropped=3),
+        but(5, dropped=1),
+        but(6, cited=["z"]),
+        but(7, collections=["c", "p"], answer=" "),
+        but(8, candidates=9, mode="suggest", sources=[], retrieved=False),
+        (9, *[None] * 12),
+    ]
+    got = {r.k: (r.reasons, r.warnings, r.status, r.fallback) for r in evidence.safety_gate(spark.createDataFrame(rows, schema)).collect()}
+    assert got[0] == ([], [], "pass", None)
+    assert got[1] == (["EMPTY_ANSWER"], [], "rewrite", "domain_safe")
+    assert got[2] == (["MISSING_SOURCES", "NO_USABLE_FACTS"], [], "rewrite", "low_grounding")
+    assert got[3] == (["NO_SOURCE_MODE_WITH_SOURCES"], [], "rewrite", "domain_safe")
+    assert got[4] == (["QUERY_SOURCE_MISMATCH"], [], "rewrite", "source_suggestion")
+    assert got[5] == ([], ["QUERY_SOURCE_MISMATCH"], "warn", None)
+    assert got[6] == (["SOURCE_METADATA_MISMATCH"], [], "rewrite", "privacy_safe")
+    assert got[7] == (["EMPTY_ANSWER", "PRIVATE_SOURCE_SCOPE_MISMATCH"], [], "block", "privacy_safe")
+    assert got[8] == ([], ["SUGGEST_MODE_NO_GROUNDED_SOURCES", "TOO_MANY_CONTEXT_CHUNKS_FOR_3B"], "warn", "source_suggestion")
+    assert got[9] == (["EMPTY_ANSWER"], [], "rewrite", "domain_safe")
+
+
 def test_adapter_benchmark(spark):
     answers = spark.createDataFrame([("x", 1, "a b c"), ("x", 2, "d"), ("y", 1, "zzz")], "adapter string, case_id long, answer string")
     hidden = spark.createDataFrame([(1, "a b c"), (2, "e"), (3, "f")], "case_id long, reference string")
