@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from corvane.llm.common import table_path
 from corvane.llm.tokens import encoder, text_slices
 
+#: Distinct pieces of text that a worker keeps with their ids: writing needs little memory beside them.
+KEPT_PIECES = 1_000_000
 #: Fixed values of the format: ids in a word and bits of each, by selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -118,7 +120,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, bloc
             + [("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64()))]
         )
         part, number, base = TaskContext.get().partitionId(), 0, 0
-        encode_texts = encoder(tokenizer_path).encode
+        encode_texts = encoder(tokenizer_path, KEPT_PIECES).encode
         for batch in text_slices(batches):
             ids, offsets = encode_texts([t or "" for t in batch.column("text").to_pylist()])
             ids = np.insert(ids, offsets[1:], np.uint32(end_id))

@@ -18,7 +18,8 @@ import numpy as np
 #: characters U+0085, U+00A0 and U+00AD.
 _PLAIN = bytes(b for b in range(256) if b == 10 or 32 <= b < 127 or b > 160 and b != 173)
 _SPACES = (b"  ", b"\n\n", b" \n", b"\n ")
-#: Distinct pieces that a worker keeps; more are encoded again when they come again, so its memory is bounded.
+#: Distinct pieces that a worker keeps if its caller names no other number; more are encoded again when they come
+#: again, so its memory is bounded.
 MAX_PIECES = 300_000
 
 
@@ -34,9 +35,13 @@ def is_plain(text: str) -> bool:
 
 
 class PieceEncoder:
-    """encode(texts) gives (ids uint32, offsets int64): the ids of text i are ids[offsets[i]:offsets[i + 1]]."""
+    """encode(texts) gives (ids uint32, offsets int64): the ids of text i are ids[offsets[i]:offsets[i + 1]].
 
-    def __init__(self, path: str):
+    most is how many distinct pieces are kept; the ids don't depend on it.
+    """
+
+    def __init__(self, path: str, most: int | None = None):
+        self.most = most
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -99,7 +104,7 @@ class PieceEncoder:
         cut = [self._pieces(t) for t, p in zip(texts, plain, strict=True) if p]
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
         pieces = list(chain.from_iterable(cut))
-        keep = max(len(self.known), MAX_PIECES)
+        keep = max(len(self.known), MAX_PIECES if self.most is None else self.most)
         index = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(index < 0)
         if len(missing):
@@ -128,14 +133,14 @@ class PieceEncoder:
         return out, offsets
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, int | None], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One for each vocabulary file and worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, most: int | None = None) -> PieceEncoder:
+    """One for each vocabulary file, number of pieces kept and worker process."""
+    if (path, most) not in _ENCODERS:
+        _ENCODERS[path, most] = PieceEncoder(path, most)
+    return _ENCODERS[path, most]
 
 
 def text_slices(batches, columns: tuple[str, ...] = ("doc_id", "text"), size: int = 3_000_000):
