@@ -250,7 +250,7 @@ def evidence_requested_fields(spark, sf_dir):
 @query(
     "evidence_safety_gate",
     """WITH c AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM conversations),
-    s AS (SELECT conv_id, turn, trim(coalesce(text, '')) AS answer, contains(coalesce(q, ''), '?') AS retrieved, length(text) % 3 AS m, list_distinct(regexp_extract_all(coalesce(q, ''), '[0-9]+')) AS sources,
+    s AS (SELECT conv_id, turn, trim(coalesce(text, '')) AS answer, length(coalesce(q, '')) % 2 = 0 AS retrieved, length(text) % 3 AS m, list_distinct(regexp_extract_all(coalesce(q, ''), '[0-9]+')) AS sources,
       list_distinct(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS cited, len(regexp_extract_all(coalesce(q, ''), '[.!?]')) AS candidates, len(regexp_extract_all(coalesce(text, ''), '[.!?]')) AS usable FROM c WHERE role = 'assistant'),
     r AS (SELECT *, list_filter([CASE WHEN answer = '' THEN 'EMPTY_ANSWER' END, CASE WHEN retrieved AND len(sources) = 0 THEN 'MISSING_SOURCES' END, CASE WHEN m = 1 AND len(sources) > 0 THEN 'NO_SOURCE_MODE_WITH_SOURCES' END,
       CASE WHEN retrieved AND usable = 0 THEN 'NO_USABLE_FACTS' END, CASE WHEN retrieved AND len(cited) > 0 AND len(sources) > 0 AND NOT list_has_all(sources, cited) THEN 'SOURCE_METADATA_MISMATCH' END], lambda x: x IS NOT NULL) AS reasons,
@@ -271,7 +271,7 @@ def evidence_safety_gate(spark, sf_dir):
         "conv_id",
         "turn",
         said.alias("answer"),
-        F.col("q").contains("?").alias("retrieved"),
+        (F.length("q") % 2 == 0).alias("retrieved"),
         F.element_at(F.array(F.lit("auto"), F.lit("no_source"), F.lit("suggest")), F.length("text") % 3 + 1).alias("mode"),
         F.lit("medium").alias("grounding"),
         F.size(every(F.col("q"), "[.!?]")).alias("candidates"),
