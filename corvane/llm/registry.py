@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import chat, decontamination, embeddings, lines, packing, scoring, simhash, simple8b, suffixes, toxicity
+from corvane.llm import chat, decontamination, embeddings, lines, packing, scoring, simhash, simple8b, suffixes, toxicity, turns
 
 QUERIES = {
     "op1_prefix_free_parsing": suffixes.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_simhash_pivots": simhash.query,
     "op2_pack_powers_of_two": packing.query,
     "op10_simple8b": simple8b.query,
+    "op11_lcp_trie": turns.query,
 }
 
 #: Tokenizer ids cannot be had in SQL: op2 and op10 are tested against the tokenizers library.
@@ -22,4 +23,5 @@ ORACLES: dict[str, str] = {
     "op3_positional_index": decontamination.ORACLE,
     "op4_prefix_tree": chat.ORACLE,
     "op5_line_spread": lines.ORACLE,
+    "op11_lcp_trie": turns.ORACLE,
 }
