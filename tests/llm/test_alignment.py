@@ -88,6 +88,18 @@ def test_documents_like_brute_force(spark):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
+def test_cuts_are_not_shuffled(spark):
+    rows, n = alignment.dealt(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert n > 1
+    with alignment.by_bucket(spark):
+        units = alignment.bucketed(alignment.tokenized(rows, A, B).selectExpr("*", "monotonically_increasing_id() AS unit"), "units", n)
+        found = units.join(alignment.cuts(units, A, B).hint("merge"), ["bucket", "unit"])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == units.count()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" in plan
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
 def test_no_documents(spark):
     assert alignment.align(docs(spark, []), A, B).count() == 0
     same(spark, [(1, None), (2, "")])
