@@ -18,23 +18,53 @@ def count_of(text: Column, pattern: str) -> Column:
 MOJIBAKE, CONTROL, REPLACEMENT = "[ÄÅÃÂÐÞþð]", "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", "\ufffd"
 SYMBOLS = "[^\\p{L}\\p{N}\\s.,;:!?()\\[\\]{}'\"%/@#\\-+_=|]"
 STRUCTURE = [
-    "(?m)^#{1,6}[ \\t]+[^\\s]",
-    "(?m)^[ \\t]*[-*][ \\t]+[^\\s]",
-    "(?m)^[ \\t]*[0-9]+[.)][ \\t]+[^\\s]",
-    "\\|[^|\\n]+\\|",
-    "(?i)(?:^|[^A-Za-z0-9_])(?:topic|tags|summary|soru|cevap|kaynak|madde|risk|özet|ozet)\\s*:",
+    r"(?m)^#{1,6}\s+\S",
+    r"(?m)^\s*[-*]\s+\S",
+    r"(?m)^\s*\d+[.)]\s+\S",
+    r"\|[^|\n]+\|",
+    r"(?i)\b(topic|tags|summary|soru|cevap|kaynak|madde|risk|özet|ozet)\s*:",
 ]
+#: The second one is delimited(), since Java's engine recurses for each of its repetitions.
 TABLES = [
-    "\\|[^|\\n]+\\|[^|\\n]+\\|",
-    "(?m)^[^\\n|;,\\t]+(?:[;,\\t]+[^\\n|;,\\t]+){3,}$",
-    "(?i)(?:^|[^A-Za-z0-9_])[0-9]{1,3}(?:[.,][0-9]{3})*(?:[.,][0-9]+)?\\s*(?:TL|TRY|USD|EUR|%)",
-    "(?i)(?:^|[^A-Za-z0-9_])(?:gelir|gider|aktif|pasif|kar|zarar|özkaynak|ozkaynak|nakit|hasılat|hasilat)(?:$|[^A-Za-z0-9_])",
+    r"\|[^|\n]+\|[^|\n]+\|",
+    r"(?m)^\s*[^\n|;]+(?:[;,\t]\s*[^\n|;]+){3,}$",
+    r"(?i)\b\d{1,3}(?:[.,]\d{3})*(?:[.,]\d+)?\s*(?:TL|TRY|USD|EUR|%)\b",
+    r"(?i)\b(?:gelir|gider|aktif|pasif|kar|zarar|özkaynak|ozkaynak|nakit|hasılat|hasilat)\b",
 ]
 CLEAN, USABLE = 76, 48
 #: Limits of OCR and table risk.
 OCR_MEDIUM, OCR_HIGH, TABLE_MEDIUM, TABLE_HIGH = 12, 35, 35, 65
 
 
+def holds(text: Column, pattern: str) -> Column:
+    """Whether text has the pattern; word characters are ASCII's and lines end at line feeds only, as elsewhere they do."""
+    word = "[A-Za-z0-9_]"
+    edge = f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))"
+    return text.rlike(pattern.replace(r"\b", edge).replace("(?m)", "(?dm)").replace("(?i)", "(?iu)"))
+
+
+def delimited(text: Column) -> Column:
+    """Whether lines of text have four cells or more between ; , or tabs (the second pattern of TABLES), in one pass over the lines.
+
+    Cells are not empty and have no ; and no |, but may have commas and tabs. A line that ends in a separator goes on in the next.
+    """
+
+    def cells(x: Column) -> Column:
+        """The separators of a line, as many as leave a cell on either side; null where a cell is empty or has a |."""
+        n = F.size(F.regexp_extract_all(x, F.lit(r"[^;][,\t](?=[^;])"), F.lit(0))) + F.length(x) - F.length(F.replace(x, F.lit(";")))
+        return F.when((x != "") & ~x.rlike(r"\||;;|^;|;$"), n)
+
+    def step(state: Column, line: Column) -> Column:
+        hit = state["hit"] | F.coalesce(state["n"] + cells(line) >= 3, F.lit(False))
+        # the separator at the end is the first or the last of those that only white space follows
+        cuts = [F.when(line.rlike(p), F.regexp_replace(line, p, "")) for p in (r"[;,\t]\s*$", r"[;,\t][^\S\t]*$")]
+        n = F.greatest(*[F.coalesce(state["n"] + cells(cut) + 1, F.lit(0)) for cut in cuts])
+        return F.struct(F.least(F.when(line.rlike(r"^\s*$"), F.greatest(state["n"], n)).otherwise(n), F.lit(3)).alias("n"), hit.alias("hit"))
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("hit"))
+    return F.aggregate(F.split(text, "\n"), start, step)["hit"]
+
+
 def parse_signals(rows: DataFrame, text: str = "text", kind: str = "kind", chunks: str = "chunks", average: str = "average") -> DataFrame:
     """Adds one struct, signals: what parse_quality() weighs of a text of some kind that was cut into chunks of average length."""
     t = F.trim(F.coalesce(F.col(text), F.lit("")))
@@ -45,7 +75,7 @@ def parse_signals(rows: DataFrame, text: str = "text", kind: str = "kind", chunk
 
     lines = F.filter(F.transform(F.split(t, "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     short = F.size(F.filter(lines, lambda x: F.length(x) <= 18))
-    structure = sum(t.rlike(p).cast("int") for p in STRUCTURE) + (F.col(kind) == "JSON").cast("int")
+    structure = sum(holds(t, p).cast("int") for p in STRUCTURE) + (F.col(kind) == "JSON").cast("int")
     signals = {
         "length": n,
         "chunks": F.col(chunks),
@@ -57,7 +87,7 @@ def parse_signals(rows: DataFrame, text: str = "text", kind: str = "kind", chunk
         "lines": F.size(lines),
         "short_lines": F.when(F.size(lines) > 0, short / F.size(lines)).otherwise(0.0),
         "structure": structure,
-        "tables": sum(t.rlike(p).cast("int") for p in TABLES),
+        "tables": sum((delimited(t) if i == 1 else holds(t, p)).cast("int") for i, p in enumerate(TABLES)),
         "digits": share("[0-9]"),
         "kind": F.col(kind),
     }

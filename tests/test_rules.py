@@ -204,3 +204,24 @@ def test_bucket_quota_like_a_loop(spark):
         if len(taken) < 20:
             taken.setdefault(r.o_orderkey, "fill")
     assert dict(got) == taken and len(got) == 20
+
+
+LINES = ["a;b;c;d", "a;;b;c;d", "a,b\tc;d", "a,,,b", "a,b,c|d,e", "a,\nb,\n\nc,\nd", "a;\nb;\nc;", "x\na,b,c,d\ny", "a;\t\nb, ,\t\nc", " ,a,b", ";a;b;c;d"]
+
+
+def test_delimited_lines_like_the_pattern(spark):
+    """Against DuckDB's engine, which runs the pattern itself; long lines don't exhaust the stack."""
+    import random
+
+    import duckdb
+
+    rng = random.Random(0)
+    texts = LINES + ["".join(rng.choices("ab;,\t\n |", [6, 6, 2, 4, 1, 3, 2, 0.4], k=rng.randrange(1, 22))) for _ in range(3000)]
+    texts += [x * 100_000 for x in (",b", "a;", "a,\n")] + ["a" + ",b" * 100_000 + "|", "a" + ";b" * 100_000, "1" + ".234" * 2_000 + " TL"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(4)
+    found = [quality.delimited(F.col("text")), *[quality.holds(F.col("text"), p) for p in [quality.TABLES[0], *quality.TABLES[2:], *quality.STRUCTURE]]]
+    got = dict(df.select("i", F.array(*found).alias("x")).collect())
+    rel = duckdb.sql("SELECT unnest(?) AS text", params=[texts])
+    patterns = [quality.TABLES[1], quality.TABLES[0], *quality.TABLES[2:], *quality.STRUCTURE]
+    want = rel.select(", ".join(f"regexp_matches(text, '{p}')" for p in patterns)).fetchall()
+    assert [tuple(got[i]) for i in range(len(texts))] == want
