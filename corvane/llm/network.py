@@ -141,7 +141,7 @@ class Network:
 
 def windows(ids: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
     """(target, context) of all words of some documents; a place outside of the document holds the pad."""
-    gap = np.full(WINDOW, pad, np.uint16)
+    gap = np.full(WINDOW, pad, np.uint32 if pad > 65_535 else np.uint16)
     padded = np.concatenate([gap, *(x for i in ids for x in (i, gap))])
     at = np.flatnonzero(padded != pad)
     return padded[at], np.stack([padded[at + d] for d in range(-WINDOW, WINDOW + 1) if d], 1)

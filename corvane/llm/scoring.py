@@ -280,15 +280,24 @@ def fit(packed: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
                         ["block", "shard", "part", "seen", "weights"],
                     )
 
-        def averaged(batches):
+        def averaged(batches):  # a running sum: one shard's weights of a block are held at a time
             import pyarrow as pa
 
-            for t in whole_groups(batches, ["block"]):
-                seen, total = 0.0, 0.0
-                for n, raw in zip(t.column("seen").to_pylist(), t.column("weights").to_pylist(), strict=True):
+            def mean():
+                return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([(total / seen).astype("<f4").tobytes()], pa.binary())], ["block", "weights"])
+
+            block, seen, total = None, 0.0, 0.0
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    at, n = batch.column("block")[i].as_py(), batch.column("seen")[i].as_py()
+                    if at != block:
+                        if block is not None:
+                            yield mean()
+                        block, seen, total = at, 0.0, 0.0
                     seen += n
-                    total = total + n * np.frombuffer(raw, "<f4").astype(np.float64)
-                yield pa.RecordBatch.from_arrays([t.column("block").combine_chunks()[:1], pa.array([(total / seen).astype("<f4").tobytes()], pa.binary())], ["block", "weights"])
+                    total = total + n * np.frombuffer(batch.column("weights")[i].as_buffer(), "<f4").astype(np.float64)
+            if block is not None:
+                yield mean()
 
         by_shard = packed.select("shard", "part", "sizes", "ids").mapInArrow(trained, "block int, shard long, part int, seen double, weights binary")
         ordered = by_shard.repartition("block").sortWithinPartitions("block", "shard", "part")

@@ -206,6 +206,35 @@ def test_held_out_loss_falls_with_rounds(spark):
     assert -network.Network(5, scoring.fit(packed, v, 4)).log_probabilities(target, around).mean() > loss[3]
 
 
+def test_more_leaves_than_16_bits_count(spark):
+    """41 branches are 68,921 leaves, so ids take four bytes."""
+    target, around = network.windows([np.array([70_000 % 68_921, 68_000], np.uint32), np.array([5], np.uint32)], 68_921)
+    assert target.tolist() == [1079, 68_000, 5] and around[0].tolist() == [68_921, 68_921, 68_000, 68_921]
+    rows = sentences(np.random.default_rng(8), 30)
+    got = scoring.fit_and_score(docs(spark, rows), rounds=1, branches=41).collect()
+    assert len(got) == len(rows) and all(r.log_prob < 0 for r in got if r.n_tokens)
+
+
+def test_average_of_shards(spark):
+    """The streamed mean of the shards' networks is the mean by their words."""
+    rng = np.random.default_rng(9)
+    df = docs(spark, sentences(rng, 120))
+    v = scoring.vocabulary(scoring.word_counts(df), branches=5)
+    packed = scoring.shards(number_rows(df.select("doc_id", "text"), "row"), v, 300)
+    total, seen = 0.0, 0
+    for r in packed.orderBy("shard", "part").toArrow().to_batches():
+        for i in range(r.num_rows):
+            net, n = network.Network(v.branches, network.Network.initial(v.branches).flat.copy()), 0
+            squares = np.zeros_like(net.flat)
+            for _, ids in scoring._documents(r.slice(i, 1), v):
+                t, c = network.windows(ids, v.pad)
+                net.train(squares, t, c)
+                n += len(t)
+            total, seen = total + n * net.flat.astype(np.float64), seen + n
+    assert packed.count() > 3
+    assert np.allclose(scoring.fit(packed, v, 1), total / seen, atol=1e-5)
+
+
 def test_texts_that_occur_twice_score_higher(spark):
     """No text is evidence for itself: what one text alone has is told from what two have."""
     rng = np.random.default_rng(7)
