@@ -114,6 +114,19 @@ def test_pipeline_like_its_parts(spark):
     assert lengths == {k: packing.piece_lengths(v, 2048) for k, v in n.items()}
 
 
+def test_results_of_a_stage_can_be_held(spark):
+    """Two results of one stage are both readable; their tables go once they are not referenced."""
+    sf = "/root/testdata/sf0.001"
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    even, odd = corpus_pipeline.drop_contaminated(spark, d.where("doc_id % 2 = 0"), sf), corpus_pipeline.drop_contaminated(spark, d.where("doc_id % 2 = 1"), sf)
+    both = even.count() + odd.count()
+    made = {p for result, paths in corpus_pipeline._LEFT if result() is not None for p in paths}
+    assert both == corpus_pipeline.drop_contaminated(spark, d, sf).count() and made
+    del even, odd
+    corpus_pipeline.clear_unused(spark, set())
+    assert not made & {p for _, paths in corpus_pipeline._LEFT for p in paths}
+
+
 def test_stages_keep_columns_of_their_own_names(spark):
     """Clashing columns come out as they went in, and rows without a doc_id or that repeat one are decided one by one."""
     sf = "/root/testdata/sf0.001"
