@@ -52,20 +52,94 @@ def sparse_bag(docs: DataFrame, key: str, text: str, size: int = 256, bigram_wei
 
 
 def dense(sparse: DataFrame, key: str, size: int) -> DataFrame:
-    """key, embedding of sparse rows."""
-    held = sparse.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"))
-    return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))
+    """key, embedding of sparse rows (key, bucket, w), one row at most for a key and bucket."""
 
+    def spread(batches):
+        import numpy as np
+        import pyarrow as pa
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score, rank: the k vectors nearest to each query (query_id, q).
+        for batch in batches:
+            buckets, w = batch.column("buckets"), batch.column("ws")
+            rows = np.repeat(np.arange(batch.num_rows), buckets.value_lengths().to_numpy(zero_copy_only=False))
+            out = np.zeros((batch.num_rows, size))
+            out[rows, buckets.flatten().to_numpy()] = w.flatten().to_numpy()
+            ends = pa.array(np.arange(batch.num_rows + 1) * size, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], [key, "embedding"])
 
-    The query side is the small one of the two by contract (a stated query set); it is sent to the vectors
-    block by block, and each task keeps k rows a query before the shuffle.
+    held = sparse.groupBy(key).agg(F.collect_list(F.struct("bucket", "w")).alias("p")).select(key, F.col("p.bucket").alias("buckets"), F.col("p.w").alias("ws"))
+    return held.mapInArrow(spread, f"{key} {held.schema[key].dataType.simpleString()}, embedding array<double>")
+
+
+#: Vectors of a pack.
+PACK = 2_048
+
+
+def packed(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
+    """ids, dim, rows: packs of vectors of one length, as a matrix of doubles with rows of length 1; a null or empty vector is in none."""
+
+    def pack(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held: dict = {}
+
+        def out(dim):
+            ids, rows = held.pop(dim)
+            m = np.array(rows, float)
+            size = np.sqrt((m * m).sum(1, keepdims=True))
+            m = np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([dim], pa.int32()), pa.array([m.tobytes()], pa.binary())], ["ids", "dim", "rows"])
+
+        for batch in batches:
+            for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                if not v:
+                    continue
+                ids, rows = held.setdefault(len(v), ([], []))
+                ids.append(i)
+                rows.append([0.0 if x is None else x for x in v])
+                if len(ids) == PACK:
+                    yield out(len(v))
+        for dim in list(held):
+            yield out(dim)
+
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
+    return rows.mapInArrow(pack, "ids array<long>, dim int, rows binary")
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, places: int = 9) -> DataFrame:
+    """query_id, vec_id, score (to so many places), rank: the k vectors with the largest cosine to each query (query_id, q), itself left out.
+
+    Both sides are packed into matrices; each pack of queries meets each pack of vectors in one product, of which k rows a
+    query go on. Packs of queries are dealt to every part of the vectors by a key, so neither side has to fit one task. A
+    null or empty vector, and one of another length than the query, is nobody's neighbour. Ties go to the smaller vec_id.
     """
-    scored = vectors.crossJoin(queries).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score")).where("vec_id != query_id")
+    parts = vectors.sparkSession.sparkContext.defaultParallelism
+    mine = packed(vectors, "vec_id", "embedding").withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
+    asked = packed(queries, "query_id", "q").select(F.col("ids").alias("query_ids"), "dim", F.col("rows").alias("queries"))
+    everywhere = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = mine.join(everywhere, ["part", "dim"]).select("ids", "rows", "query_ids", "queries", "dim")
+
+    def best(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, q_ids = np.array(r["ids"]), np.array(r["query_ids"])
+                a, b = np.frombuffer(r["rows"]).reshape(-1, r["dim"]), np.frombuffer(r["queries"]).reshape(-1, r["dim"])
+                scores = np.round(b @ a.T, places)
+                scores[q_ids[:, None] == ids] = -np.inf
+                at = min(k, len(ids)) - 1
+                least = np.partition(scores, -at - 1, axis=1)[:, -at - 1]
+                rows, columns = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))  # ties with the last included
+                order = np.lexsort((ids[columns], -scores[rows, columns], rows))
+                rows, columns = rows[order], columns[order]
+                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                rows, columns = rows[place < k], columns[place < k]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(ids[columns]), pa.array(scores[rows, columns])], ["query_id", "vec_id", "score"])
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return met.mapInArrow(best, "query_id long, vec_id long, score double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 _W = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: length(t) > 1)"
@@ -102,10 +176,7 @@ def vector_nearest_neighbours(spark, sf_dir):
     """Five neighbours of every vector whose id 50 divides, among all vectors."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = v.crossJoin(q).where("vec_id != query_id").select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 9).alias("s"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")
-    top = scored.withColumn("rank", F.row_number().over(order)).where("rank <= 5")
-    return top.select("query_id", "vec_id", F.round("s", 6).alias("score"), "rank")
+    return nearest(q, v, 5).withColumn("score", F.round("score", 6))
 
 
 @query(

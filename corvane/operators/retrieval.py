@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from corvane.catalog import query
 from corvane.functions.text import plain_tokens, sentences
-from corvane.functions.vectors import sha_bucket, sparse_bag
+from corvane.functions.vectors import dense, nearest, sha_bucket, sparse_bag
+from corvane.operators import topk
 from corvane.session import table
+from corvane.storage import once, stored
 
 #: Fixed values of the lexical score.
 K1, B, COVERAGE, PHRASE, BIGRAM, REPEAT, PHRASE_CHARS = 1.2, 0.75, 0.75, 1.25, 0.8, 0.2, 6
@@ -46,6 +48,65 @@ def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return summed.join(terms, "query_id").select("query_id", "doc_id", (F.col("s") + COVERAGE * F.col("hits") / F.col("n_terms")).alias("score"))
 
 
+def lexical_impacts(docs: DataFrame, mean: float) -> DataFrame:
+    """doc_id, term, impact: how much a token counts in a document, before its rarity."""
+    p = postings(docs, "doc_id")
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
+    return p.select("doc_id", F.col("token").alias("term"), tf.alias("impact"))
+
+
+def vector_impacts(docs: DataFrame, key: str = "doc_id", size: int = 1024) -> DataFrame:
+    """key, term, impact: the buckets of the hashed bag, named apart from tokens, which have no #."""
+    bag = sparse_bag(docs, key, "text", size, bucket=lambda t: sha_bucket(t, size))
+    return bag.select(key, F.concat(F.lit("#"), "bucket").alias("term"), F.col("w").alias("impact"))
+
+
+def build_index(docs: DataFrame) -> tuple[topk.Index, int]:
+    """(index of tokens and buckets of docs (doc_id, text), number of docs)."""
+    sizes = docs.select(F.size(plain_tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("total"), F.avg("n").alias("mean")).first()
+    rows = lexical_impacts(docs, float(sizes["mean"] or 1)).unionByName(vector_impacts(docs))
+    return topk.build(rows, sizes["total"]), sizes["total"]
+
+
+def lexical_terms(queries: DataFrame, index: topk.Index, total: int, factor: float = 1.0) -> DataFrame:
+    """Terms of topk.top_k() that score as bm25() does: rarity and repeats as weight, coverage as extra."""
+    q = postings(queries, "query_id").select("query_id", F.col("token").alias("term"), F.col("tf").alias("qf"))
+    n = F.count("*").over(Window.partitionBy("query_id"))
+    idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    known = q.withColumn("n", n).join(index.tops.select("term", "df"), "term")
+    return known.select(
+        "query_id",
+        "term",
+        F.lit("lexical").alias("family"),
+        (factor * idf * (1 + REPEAT * (F.col("qf") - 1))).alias("weight"),
+        (F.lit(factor * COVERAGE) / F.col("n")).alias("extra"),
+        F.lit(None).cast("double").alias("cap"),
+    )
+
+
+def vector_terms(queries: DataFrame, factor: float = 1.0) -> DataFrame:
+    """Terms of topk.top_k() that give the cosine of hashed bags, which is 1 at most."""
+    q = vector_impacts(queries, "query_id")
+    return q.select("query_id", "term", F.lit("vector").alias("family"), (factor * F.col("impact")).alias("weight"), F.lit(0.0).alias("extra"), F.lit(float(factor)).alias("cap"))
+
+
+def retrieve(queries: DataFrame, docs: DataFrame, k: int, channels: tuple[str, ...] = ("lexical", "vector")) -> DataFrame:
+    """query_id, doc_id, lexical, vector, score, rank: the k best documents of each query by one channel, or by the weighted sum of both.
+
+    The index of docs is built once an application; the rows are those that bm25(), vector_scores() and hybrid() rank first.
+    """
+    index, total = once([docs], "index", lambda: build_index(docs))
+    share = {"lexical": LEXICAL, "vector": VECTOR} if len(channels) > 1 else dict.fromkeys(channels, 1.0)
+    made = {"lexical": lambda f: lexical_terms(queries, index, total, f), "vector": lambda f: vector_terms(queries, f)}
+    terms = None
+    for c in channels:
+        own = made[c](share[c])
+        terms = own if terms is None else terms.unionByName(own)
+    found = topk.top_k(stored(terms, "query-terms"), index, k)
+    parts = [(F.coalesce(F.try_element_at("parts", F.lit(c)), F.lit(0.0)) / share.get(c, 1.0)).alias(c) for c in ("lexical", "vector")]
+    return found.select("query_id", "doc_id", *parts, "score", "rank")
+
+
 def phrase_bonus(scored: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
     """Adds to score what a document gets that holds the whole query, and the share of its word pairs; for top rows."""
     q = queries.select("query_id", F.lower(F.trim("text")).alias("phrase"), plain_tokens(F.col("text")).alias("w"))
@@ -116,19 +177,47 @@ def _rounded(scored: DataFrame) -> DataFrame:
     return scored.withColumn("score", F.round("score", 6))
 
 
+def vector_top(queries: DataFrame, docs: DataFrame, k: int, size: int = 1024) -> DataFrame:
+    """query_id, doc_id, score, rank: the k documents whose hashed bags have the largest cosine, over 0, to each query.
+
+    Bags have words in most buckets, so bounds would spare few documents: packs of bags meet the queries in matrix products.
+    """
+
+    def bags(rows: DataFrame, key: str) -> DataFrame:
+        bag = sparse_bag(rows, key, "text", size, bucket=lambda t: sha_bucket(t, size))
+        return dense(bag, key, size)
+
+    # ids of queries are told from those of documents: a query is nobody's document
+    q = bags(queries, "query_id").select((-F.col("query_id") - 1).alias("query_id"), F.col("embedding").alias("q"))
+    found = nearest(q, bags(docs, "doc_id").withColumnRenamed("doc_id", "vec_id"), k, 6).where("score > 0")
+    return found.select((-F.col("query_id") - 1).alias("query_id"), F.col("vec_id").alias("doc_id"), "score", "rank")
+
+
+def lexical_top(spark, sf_dir, k: int) -> DataFrame:
+    return retrieve(_queries(spark, sf_dir), table(spark, sf_dir, "documents"), k, ("lexical",)).select("query_id", "doc_id", "score", "rank")
+
+
 @query("retrieve_bm25", f"WITH {_BM25} SELECT * FROM (SELECT query_id, doc_id, round(score, 6) AS score, {_RANK} AS rank FROM lex) WHERE rank <= 10")
 def retrieve_bm25(spark, sf_dir):
-    return best(_rounded(bm25(_queries(spark, sf_dir), table(spark, sf_dir, "documents"))), 10)
+    return lexical_top(spark, sf_dir, 10)
 
 
 @query("retrieve_vector", f"WITH d AS (SELECT doc_id, {_T} AS w FROM documents), q AS (SELECT item_id AS query_id, {_T} AS w FROM benchmark), {_VEC} SELECT * FROM (SELECT query_id, doc_id, round(score, 6) AS score, {_RANK} AS rank FROM vec) WHERE rank <= 10")
 def retrieve_vector(spark, sf_dir):
-    return best(_rounded(vector_scores(_queries(spark, sf_dir), table(spark, sf_dir, "documents"))), 10)
+    return vector_top(_queries(spark, sf_dir), table(spark, sf_dir, "documents"), 10)
+
+
+#: Hybrid candidates of each query that are kept for the rankers.
+MOST_CANDIDATES = 24
 
 
 def hybrid_top(spark, sf_dir, k: int) -> DataFrame:
-    q, d = _queries(spark, sf_dir), table(spark, sf_dir, "documents")
-    return best(_rounded(hybrid(bm25(q, d), vector_scores(q, d))), k)
+    """The k best rows of each query, of candidates that are found once and stored for all rankers."""
+    d = table(spark, sf_dir, "documents")
+    if k > MOST_CANDIDATES:
+        return retrieve(_queries(spark, sf_dir), d, k)
+    q = _queries(spark, sf_dir)
+    return once([q, d], "hybrid-candidates", lambda: stored(retrieve(q, d, MOST_CANDIDATES), "hybrid")).where(F.col("rank") <= k)
 
 
 @query("retrieve_hybrid", f"WITH {_HYB} SELECT * FROM (SELECT query_id, doc_id, round(lexical, 6) AS lexical, round(vector, 6) AS vector, round(score, 6) AS score, {_RANK} AS rank FROM hyb) WHERE rank <= 24")
@@ -146,7 +235,7 @@ def retrieve_hybrid(spark, sf_dir):
 def retrieve_phrase_bonus(spark, sf_dir):
     """Phrases are only looked for in the five best rows of each query."""
     q, d = _queries(spark, sf_dir), table(spark, sf_dir, "documents")
-    return phrase_bonus(best(_rounded(bm25(q, d)), 5), q, d).withColumn("score", F.round("score", 3))
+    return phrase_bonus(lexical_top(spark, sf_dir, 5), q, d).withColumn("score", F.round("score", 3))
 
 
 @query(
@@ -158,7 +247,7 @@ def retrieve_phrase_bonus(spark, sf_dir):
 )
 def retrieve_alignment(spark, sf_dir):
     q, d = _queries(spark, sf_dir), table(spark, sf_dir, "documents")
-    rows = best(_rounded(bm25(q, d)), 8).join(q.select("query_id", F.array_distinct(plain_tokens(F.col("text"))).alias("a")), "query_id")
+    rows = lexical_top(spark, sf_dir, 8).join(q.select("query_id", F.array_distinct(plain_tokens(F.col("text"))).alias("a")), "query_id")
     rows = rows.join(d.select("doc_id", F.array_distinct(plain_tokens(F.col("text"))).alias("b")), "doc_id")
     o = F.size(F.array_intersect("a", "b")) / F.size("a")
     return rows.select("query_id", "doc_id", F.round(o, 6).alias("overlap"), F.when(o >= 0.64, "aligned").when(o >= 0.3, "weak").otherwise("mismatch").alias("alignment"))
@@ -204,7 +293,7 @@ _SENT = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\
 )
 def retrieve_prune_evidence(spark, sf_dir):
     q, d = _queries(spark, sf_dir), table(spark, sf_dir, "documents")
-    rows = best(_rounded(bm25(q, d)), 3).join(q.select("query_id", F.array_distinct(plain_tokens(F.col("text"))).alias("a")), "query_id").join(d.select("doc_id", "text"), "doc_id")
+    rows = lexical_top(spark, sf_dir, 3).join(q.select("query_id", F.array_distinct(plain_tokens(F.col("text"))).alias("a")), "query_id").join(d.select("doc_id", "text"), "doc_id")
     return prune(rows).where("evidence != ''").select("query_id", "doc_id", F.md5(F.col("evidence").cast("binary")).alias("evidence_md5"))
 
 

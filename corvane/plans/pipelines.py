@@ -9,7 +9,7 @@ from corvane.catalog import query
 from corvane.functions.text import plain_tokens, short_hash
 from corvane.operators.aggregates import clamped_sum
 from corvane.operators.filters import above_floor
-from corvane.operators.retrieval import best, bm25, confidence, hybrid, phrase_bonus, prune, vector_scores
+from corvane.operators.retrieval import best, confidence, phrase_bonus, prune, retrieve
 from corvane.operators.structure import chunks
 from corvane.session import table
 
@@ -20,7 +20,7 @@ def grounded_evidence(queries: DataFrame, docs: DataFrame, first: int = 24, last
     Both channels are fused and cut to the first rows; phrases are scored on those; a floor and the last cut follow; then
     each text is pruned to its evidence. One plan for all queries.
     """
-    fused = best(hybrid(bm25(queries, docs), vector_scores(queries, docs)), first)
+    fused = retrieve(queries, docs, first)
     exact = phrase_bonus(fused.select("query_id", "doc_id", "score"), queries, docs)
     kept = best(above_floor(exact, "query_id", "score"), last)
     w = Window.partitionBy("query_id")
