@@ -7,18 +7,12 @@ from pyspark.sql import functions as F
 
 from corvane.catalog import query
 from corvane.functions.text import plain_tokens
+from corvane.operators.scans import clamped_sum
 from corvane.session import table
 
 _W = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: length(t) > 1)"
 
 
-def clamped_sum(rows: DataFrame, key: str, order: list[str], delta: str, low: float = -1.0, high: float = 1.0) -> DataFrame:
-    """key, total: the deltas added in order, held between low and high and rounded to four places at every step."""
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(delta).alias("_d")))).alias("x"))
-    step = F.aggregate("x", F.lit(0.0), lambda a, x: F.round(F.least(F.greatest(a + x["_d"], F.lit(low)), F.lit(high)), 4))
-    return listed.select(key, step.alias("total"))
-
-
 def majority(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """key, value, n of the most frequent value; of equals the one seen first in order."""
     counts = rows.groupBy(key, value).agg(F.count("*").alias("n"), F.min(order).alias("_first"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from corvane.catalog import query
 from corvane.functions.text import plain_tokens, short_hash
-from corvane.operators.aggregates import clamped_sum
 from corvane.operators.filters import above_floor
 from corvane.operators.retrieval import best, confidence, phrase_bonus, prune, retrieve
+from corvane.operators.scans import clamped_sum
 from corvane.operators.structure import chunks
 from corvane.session import table
 

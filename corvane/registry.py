@@ -20,6 +20,7 @@ MODULES = [
     "sources.sinks",
     "operators.filters",
     "operators.joins",
+    "operators.scans",
     "operators.aggregates",
     "operators.windows",
     "operators.structure",
