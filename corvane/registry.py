@@ -14,6 +14,7 @@ FLAGSHIP = "retrieve_hybrid"
 MODULES = [
     "functions.text",
     "functions.folds",
+    "functions.terms",
     "functions.numbers",
     "functions.vectors",
     "sources.readers",
