@@ -106,18 +106,8 @@ def packed(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
     return rows.mapInArrow(pack, "ids array<long>, dim int, rows binary")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, places: int = 9) -> DataFrame:
-    """query_id, vec_id, score (to so many places), rank: the k vectors with the largest cosine to each query (query_id, q), itself left out.
-
-    Both sides are packed into matrices; each pack of queries meets each pack of vectors in one product, of which k rows a
-    query go on. Packs of queries are dealt to every part of the vectors by a key, so neither side has to fit one task. A
-    null or empty vector, and one of another length than the query, is nobody's neighbour. Ties go to the smaller vec_id.
-    """
-    parts = vectors.sparkSession.sparkContext.defaultParallelism
-    mine = packed(vectors, "vec_id", "embedding").withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
-    asked = packed(queries, "query_id", "q").select(F.col("ids").alias("query_ids"), "dim", F.col("rows").alias("queries"))
-    everywhere = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    met = mine.join(everywhere, ["part", "dim"]).select("ids", "rows", "query_ids", "queries", "dim")
+def best_of_products(met: DataFrame, k: int, places: int) -> DataFrame:
+    """query_id, vec_id, score, rank: the k best of each query in met, rows of a pack (ids, rows) and a pack of queries (query_ids, queries) of dim numbers each."""
 
     def best(batches):
         import numpy as np
@@ -139,7 +129,24 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, places: int = 9) ->
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(ids[columns]), pa.array(scores[rows, columns])], ["query_id", "vec_id", "score"])
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.mapInArrow(best, "query_id long, vec_id long, score double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = met.select("ids", "rows", "query_ids", "queries", "dim").mapInArrow(best, "query_id long, vec_id long, score double")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, places: int = 9) -> DataFrame:
+    """query_id, vec_id, score (to so many places), rank: the k vectors with the largest cosine to each query (query_id, q), itself left out.
+
+    Both sides are packed into matrices; each pack of queries meets each pack of vectors in one product, of which k rows a
+    query go on. Packs of queries are dealt to every part of the vectors by a key, so neither side has to fit one task. A
+    null or empty vector, and one of another length than the query, is nobody's neighbour. Ties go to the smaller vec_id.
+    """
+    parts = vectors.sparkSession.sparkContext.defaultParallelism
+    mine = packed(vectors, "vec_id", "embedding").withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
+    asked = packed(queries, "query_id", "q").select(F.col("ids").alias("query_ids"), "dim", F.col("rows").alias("queries"))
+    everywhere = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = mine.join(everywhere, ["part", "dim"])
+
+    return best_of_products(met, k, places)
 
 
 _W = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: length(t) > 1)"

@@ -26,6 +26,7 @@ MODULES = [
     "operators.windows",
     "operators.structure",
     "operators.quality",
+    "operators.cells",
     "operators.retrieval",
     "operators.ranking",
     "operators.routing",
