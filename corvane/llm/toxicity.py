@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,25 +95,25 @@ def count_hits(docs: DataFrame, words: dict[str, int], begins: dict[str, int], c
     by_begin = {b: len(SEED) + WORD_LISTS + k for b, k in begins.items()}
     opening = {b[:BEGIN] for b in by_begin}
 
-    @F.pandas_udf("hits array<int>, n_words int")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("hits array<int>, n_words int")
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            hits, sizes = [], []
-            for text in batch:
-                text = text or ""
+            hits, sizes = np.zeros((len(batch), VOTERS), np.int32), np.zeros(len(batch), np.int32)
+            for i, text in enumerate(batch):  # one text at a time is a Python string
+                text = text.as_py() or ""
                 found = _WORD.findall(text.lower())
-                row = [0] * VOTERS
+                row = hits[i]
                 for w in found:
                     if (k := by_word.get(w)) is not None:
                         row[k] += 1
                     if w[:BEGIN] in opening:  # each list that knows a beginning of the word counts it once
-                        for k in {by_begin.get(w[:i]) for i in range(BEGIN, min(BEGIN_MOST + 1, len(w)))} - {None}:
+                        for k in {by_begin.get(w[:j]) for j in range(BEGIN, min(BEGIN_MOST + 1, len(w)))} - {None}:
                             row[k] += 1
                 row[-2] = len(_DIRECT.findall(text))
                 row[-1] = len(_SHOUT.findall(text))
-                hits.append(row)
-                sizes.append(len(found))
-            yield pd.DataFrame({"hits": hits, "n_words": sizes})
+                sizes[i] = len(found)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * VOTERS, pa.int32()), pa.array(hits.ravel()))
+            yield pa.StructArray.from_arrays([lists, pa.array(sizes)], names=["hits", "n_words"])
 
     scored = docs.select("doc_id", *carried, of("text").alias("v"))
     return scored.select("doc_id", *carried, "v.hits", "v.n_words")
@@ -196,8 +197,6 @@ def fit_classifier(counted: DataFrame, model: dict[str, np.ndarray], steps: int
     for _ in range(steps):
 
         def sums(batches, beta=beta):
-            import pyarrow as pa
-
             total = np.zeros((WIDTH + 1, WIDTH))
             for batch in batches:
                 if not batch.num_rows:
