@@ -61,10 +61,10 @@ def vector_impacts(docs: DataFrame, key: str = "doc_id", size: int = 1024) -> Da
     return bag.select(key, F.concat(F.lit("#"), "bucket").alias("term"), F.col("w").alias("impact"))
 
 
-def build_index(docs: DataFrame) -> tuple[topk.Index, int]:
-    """(index of tokens and buckets of docs (doc_id, text), number of docs)."""
+def build_index(docs: DataFrame, channel: str) -> tuple[topk.Index, int]:
+    """(index of the tokens (lexical) or the buckets (vector) of docs (doc_id, text), number of docs)."""
     sizes = docs.select(F.size(plain_tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("total"), F.avg("n").alias("mean")).first()
-    rows = lexical_impacts(docs, float(sizes["mean"] or 1)).unionByName(vector_impacts(docs))
+    rows = lexical_impacts(docs, float(sizes["mean"] or 1)) if channel == "lexical" else vector_impacts(docs)
     return topk.build(rows, sizes["total"]), sizes["total"]
 
 
@@ -93,9 +93,10 @@ def vector_terms(queries: DataFrame, factor: float = 1.0) -> DataFrame:
 def retrieve(queries: DataFrame, docs: DataFrame, k: int, channels: tuple[str, ...] = ("lexical", "vector")) -> DataFrame:
     """query_id, doc_id, lexical, vector, score, rank: the k best documents of each query by one channel, or by the weighted sum of both.
 
-    The index of docs is built once an application; the rows are those that bm25(), vector_scores() and hybrid() rank first.
+    Each channel's index of docs is built once an application; the rows are those that bm25(), vector_scores() and hybrid() rank first.
     """
-    index, total = once([docs], "index", lambda: build_index(docs))
+    built = [once([docs], f"index-{c}", lambda c=c: build_index(docs, c)) for c in channels]
+    index, total = topk.joined([i for i, _ in built]), built[0][1]
     share = {"lexical": LEXICAL, "vector": VECTOR} if len(channels) > 1 else dict.fromkeys(channels, 1.0)
     made = {"lexical": lambda f: lexical_terms(queries, index, total, f), "vector": lambda f: vector_terms(queries, f)}
     terms = None

@@ -57,6 +57,15 @@ def build(postings: DataFrame, n_docs: int, shard_docs: int = SHARD_DOCS) -> Ind
     return Index(blocks, levels, tops, shards)
 
 
+def joined(indexes: list[Index]) -> Index:
+    """One index of several of the same documents, whose terms differ."""
+    first = indexes[0]
+    blocks, levels, tops = first.blocks, first.levels, first.tops
+    for other in indexes[1:]:
+        blocks, levels, tops = blocks.unionByName(other.blocks), levels.unionByName(other.levels), tops.unionByName(other.tops)
+    return Index(blocks, levels, tops, first.shards)
+
+
 def bounded_terms(terms: DataFrame, index: Index) -> DataFrame:
     """terms (query_id, term, family, weight, extra, cap) that the index has, with most (the largest they can give) and rest.
 
