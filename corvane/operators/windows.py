@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.catalog import query
 from corvane.session import table
+from corvane.storage import stored
 
 
 def islands(lines: DataFrame, key: str, order: str, boundary) -> DataFrame:
@@ -207,6 +208,33 @@ def sort_tie_breaks(spark, sf_dir):
     return numbered_ranges(rows, "o_orderstatus", ["o_orderpriority", "band"], "o_orderkey").select("o_orderkey", F.col("rank").cast("int").alias("rank"))
 
 
+def collated_ranks(rows: DataFrame, key: str, name: str, locale: str = "tr") -> DataFrame:
+    """key, name, rank: the place of each row's name within its key in a language's order (ç after c, ı before i, case last), equal names by their bytes.
+
+    The collation is part of the sort key, so ranges, sorts and window order all follow it. Rows are dealt into stored ranges and
+    numbered there; only the ranges' sizes are added up in one place.
+    """
+    place = F.collate(F.col(name), locale)
+    ranged = stored(rows.select(key, name).repartitionByRange(key, place, name).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(key, "_range").agg(F.count("*").alias("_n"))
+    bases = sizes.select(F.col(key).alias("_key"), F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    at = F.row_number().over(Window.partitionBy("_range", key).orderBy(place, name))
+    both = ranged.withColumn("_at", at).join(bases, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_of")))
+    return both.select(key, name, (F.col("_at") + F.col("_base")).alias("rank"))
+
+
+@query(
+    "sort_collated",
+    """WITH w AS (SELECT DISTINCT lang, unnest(string_split_regex(text, '[^\\p{L}]+')) AS word FROM documents)
+    SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY word COLLATE tr, word) AS rank FROM w WHERE word <> ''""",
+)
+def sort_collated(spark, sf_dir):
+    """All words of a language's documents in Turkish order."""
+    words = table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", r"[^\p{L}]+")).alias("word")).where("word != ''").distinct()
+    return collated_ranks(words, "lang", "word").withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(
     "sort_keyset_page",
     "SELECT event_id FROM events WHERE (ts, event_id) < (TIMESTAMP '2024-01-20', 0) ORDER BY ts DESC, event_id DESC LIMIT 26",

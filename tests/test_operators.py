@@ -229,3 +229,12 @@ def test_records_are_numbered_without_gathering_a_source(spark, tmp_path):
 def test_no_records(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     assert structure.structure_record_chunks(spark, str(tmp_path)).collect() == []
+
+#: A list in Turkish order.
+TURKISH = ["apple", "cam", "çam", "Isparta", "ışık", "irmak", "İzmir", "ova", "öz", "sarı", "şeker", "Zor"]
+
+
+def test_turkish_order(spark):
+    df = spark.createDataFrame([("k", n) for n in reversed(TURKISH)] + [("j", "şa"), ("j", "sz")], "k string, name string").repartition(3)
+    got = {(r.k, r["rank"]): r.name for r in windows.collated_ranks(df, "k", "name").collect()}
+    assert [got["k", i + 1] for i in range(len(TURKISH))] == TURKISH and [got["j", 1], got["j", 2]] == ["sz", "şa"]
