@@ -122,7 +122,7 @@ def splitters(runs: DataFrame, range_bytes: int = RANGE_BYTES) -> list[bytes]:
     if not total.n:
         return []
     cores = runs.sparkSession.sparkContext.defaultParallelism
-    ranges = max(math.ceil((total.b or 0) / range_bytes), min(cores, math.ceil(total.n / 1000)))
+    ranges = max(math.ceil((total.b or 0) / range_bytes), min(8 * cores, math.ceil(total.n / 250)))
     rate = min(1.0, SAMPLES * ranges / total.n)
     chosen = runs.where(F.pmod(F.xxhash64("path"), F.lit(1 << 30)) < int(rate * (1 << 30)))
     sample = sorted({bytes(r.p) for r in chosen.select(F.substring("path", 1, SPLITTER_TURNS * TURN).alias("p")).distinct().collect()})
