@@ -25,6 +25,7 @@ MODULES = [
     "operators.aggregates",
     "operators.windows",
     "operators.structure",
+    "operators.artifact_graph",
     "operators.quality",
     "operators.cells",
     "operators.retrieval",
