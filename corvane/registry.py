@@ -27,6 +27,7 @@ MODULES = [
     "operators.structure",
     "operators.artifact_graph",
     "operators.quality",
+    "operators.inference",
     "operators.cells",
     "operators.retrieval",
     "operators.ranking",
