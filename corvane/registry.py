@@ -33,6 +33,7 @@ MODULES = [
     "operators.ranking",
     "operators.routing",
     "operators.evidence",
+    "operators.evidence_compile",
     "operators.feedback",
     "plans.pipelines",
     "streaming.state",
