@@ -24,14 +24,14 @@ def fuse(channels: dict[str, DataFrame], key: list[str], score: str) -> DataFram
     return together.groupBy(*key).agg(F.max("score").alias("score"), F.array_sort(F.collect_set("channel")).alias("channels"))
 
 
-def trigram_candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+def trigram_candidates(left: DataFrame, right: DataFrame, least: float, of=trigrams) -> DataFrame:
     """left_id, right_id, jaccard of names (id, name) that share enough trigrams: an equality join on trigrams, then counted.
 
     A pair of jaccard least or more shares a trigram among the first (1 - least) of the longer set ordered rarest
     first, so only those few of each name are joined on.
     """
     def grams(df, who):
-        return df.select(F.col("id").alias(f"{who}_id"), F.array_distinct(trigrams(F.col("name"))).alias("g"))
+        return df.select(F.col("id").alias(f"{who}_id"), F.array_distinct(of(F.col("name"))).alias("g"))
 
     a, b = grams(left, "left"), grams(right, "right")
     seen = a.select(F.explode("g").alias("t")).union(b.select(F.explode("g").alias("t"))).groupBy("t").agg(F.count("*").alias("df"))

@@ -21,6 +21,7 @@ MODULES = [
     "sources.sinks",
     "operators.filters",
     "operators.joins",
+    "operators.fuzzy",
     "operators.scans",
     "operators.aggregates",
     "operators.windows",
