@@ -71,7 +71,7 @@ def edit_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     LISTED letters meet on segments, since two edits leave one of three segments as it was, two places off at most. Then the distance decides.
     Nulls and shorter words have no pairs; repeated words give one.
     """
-    a, b = left.select("l").where(F.length("l") >= ONE_EDIT).distinct(), right.select("r").where(F.length("r") >= ONE_EDIT).distinct()
+    a, b = (stored(x.select(c).where(F.length(c) >= ONE_EDIT).distinct(), "words") for x, c in ((left, "l"), (right, "r")))
     # levenshtein() gives -1 beyond its limit
     limit = F.when(F.least(F.length("l"), F.length("r")) >= TWO_EDITS, 2).otherwise(1)
     d = F.levenshtein("l", "r", 2)

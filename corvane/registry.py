@@ -30,6 +30,7 @@ MODULES = [
     "operators.quality",
     "operators.inference",
     "operators.cells",
+    "operators.index_audit",
     "operators.retrieval",
     "operators.ranking",
     "operators.routing",
