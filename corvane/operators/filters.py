@@ -9,6 +9,8 @@ from corvane.catalog import query
 from corvane.functions.text import plain_tokens
 from corvane.session import table
 
+#: Between ASCII word edges: \b takes letters beyond ASCII for parts of words.
+IDENTIFIER = r"(?<![A-Za-z0-9_])[A-Z0-9]{10,}(?![A-Za-z0-9_])"
 BOILERPLATE = r"(?i)copyright|all rights reserved|licensed under|^page [0-9]+|https?://"
 
 
@@ -82,7 +84,7 @@ def filter_route_scope(spark, sf_dir):
 )
 def filter_explicit_identifier(spark, sf_dir):
     """Documents that share an identifier with one of even id: an equality join on identifiers, not on documents."""
-    ids = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Z0-9]{10,}\b"), F.lit(0)))).alias("x"))
+    ids = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0)))).alias("x"))
     wanted = ids.where("doc_id % 2 = 0").select("x").distinct()
     return ids.join(wanted, "x", "left_semi").select("doc_id").distinct()
 

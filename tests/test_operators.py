@@ -238,3 +238,9 @@ def test_turkish_order(spark):
     df = spark.createDataFrame([("k", n) for n in reversed(TURKISH)] + [("j", "şa"), ("j", "sz")], "k string, name string").repartition(3)
     got = {(r.k, r["rank"]): r.name for r in windows.collated_ranks(df, "k", "name").collect()}
     assert [got["k", i + 1] for i in range(len(TURKISH))] == TURKISH and [got["j", 1], got["j", 2]] == ["sz", "şa"]
+
+
+def test_identifier_beside_letters_beyond_ascii(spark, tmp_path):
+    rows = [(2, "x ABCDEFGHIJK y"), (3, "ÉABCDEFGHIJKÉ"), (5, "aABCDEFGHIJK"), (7, "ABCDEFGHIJK_"), (9, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r[0] for r in filters.filter_explicit_identifier(spark, str(tmp_path)).collect()) == [2, 3]
