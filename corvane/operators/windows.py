@@ -250,9 +250,9 @@ def sort_keyset_page(spark, sf_dir):
     SELECT o_custkey, arg_max(o_orderkey, full_score) AS best FROM s GROUP BY 1""",
 )
 def sort_two_stage(spark, sf_dir):
-    """A cheap score keeps eight rows a key; only they get the full one."""
+    """A cheap score keeps eight rows a key; only they get the full one. Of equal ones the first by the cheap score stays."""
     cheap = table(spark, sf_dir, "orders").withColumn("rn", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))).where("rn <= 8")
-    return cheap.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.length("o_orderpriority") * F.col("o_totalprice")).alias("best"))
+    return cheap.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct(F.length("o_orderpriority") * F.col("o_totalprice"), -F.col("rn"))).alias("best"))
 
 
 @query("sort_fifo", "SELECT event_id FROM events WHERE event_type = 'signup' ORDER BY ts, event_id LIMIT 10")

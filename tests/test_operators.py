@@ -244,3 +244,9 @@ def test_identifier_beside_letters_beyond_ascii(spark, tmp_path):
     rows = [(2, "x ABCDEFGHIJK y"), (3, "ÉABCDEFGHIJKÉ"), (5, "aABCDEFGHIJK"), (7, "ABCDEFGHIJK_"), (9, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted(r[0] for r in filters.filter_explicit_identifier(spark, str(tmp_path)).collect()) == [2, 3]
+
+
+def test_two_stages_keep_the_first_of_equals(spark, tmp_path):
+    rows = [(k, 1, 50.0, "1-URGENT") for k in range(12)] + [(k, 2, 50.0 if k < 22 else 100.0, "1-URGENT" if k < 22 else "none") for k in range(20, 24)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    assert sorted(map(tuple, windows.sort_two_stage(spark, str(tmp_path)).collect())) == [(1, 0), (2, 22)]
