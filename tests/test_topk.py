@@ -99,3 +99,20 @@ def test_stored_once_while_files_are_the_same(spark, tmp_path):
     spark.range(4).write.mode("overwrite").parquet(path)
     assert storage.once([spark.read.parquet(path)], "x", lambda: made.append(1) or len(made)) == 3
     assert storage.once([spark.createDataFrame([(1,)], "a int")], "x", lambda: "mine") == "mine"
+
+
+@pytest.mark.parametrize("channels", [("lexical",), ("lexical", "vector")])
+def test_no_posting_is_shuffled(spark, corpus, channels, monkeypatch):
+    docs, queries = corpus
+    monkeypatch.setattr(retrieval.topk, "build", lambda *a: pytest.fail("an index of all postings"))
+    got = retrieval.retrieve(queries, docs, 5, channels)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "Aggregate" not in plan  # terms of documents are never rows
+
+
+def test_many_packs_of_queries(spark, corpus, monkeypatch):
+    docs, queries = corpus
+    want = rows_of(retrieval.retrieve(queries, docs, 5))
+    for name, value in (("QUERIES", 2), ("MOST_PACKS", 1), ("DOCS", 100), ("WORDS", 500), ("TERMS", 7)):
+        monkeypatch.setattr(retrieval.packs, name, value)
+    assert rows_of(retrieval.retrieve(queries, docs, 5)) == want
