@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvane.catalog import query
 from corvane.functions.folds import ENDINGS, _softened
 from corvane.functions.terms import folded
-from corvane.operators.joins import trigram_candidates
+from corvane.operators.joins import similar_names
 from corvane.session import table
 from corvane.storage import stored
 
@@ -102,8 +102,7 @@ def trigram_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     def grams(w):
         return F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))
 
-    sides = [x.select(F.col(c).alias("id"), F.col(c).alias("name")).where(F.length("id") >= LONG_WORD).distinct() for x, c in ((left, "l"), (right, "r"))]
-    return trigram_candidates(*sides, SHARE, grams).select(F.col("left_id").alias("l"), F.col("right_id").alias("r"))
+    return similar_names(*(x.where(F.length(c) >= LONG_WORD) for x, c in ((left, "l"), (right, "r"))), SHARE, grams).select("l", "r")
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, edits: bool = True) -> DataFrame:

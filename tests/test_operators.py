@@ -250,3 +250,13 @@ def test_two_stages_keep_the_first_of_equals(spark, tmp_path):
     rows = [(k, 1, 50.0, "1-URGENT") for k in range(12)] + [(k, 2, 50.0 if k < 22 else 100.0, "1-URGENT" if k < 22 else "none") for k in range(20, 24)]
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
     assert sorted(map(tuple, windows.sort_two_stage(spark, str(tmp_path)).collect())) == [(1, 0), (2, 22)]
+
+
+def test_copies_of_a_name_are_compared_once(spark):
+    df = spark.createDataFrame([(i, "small ring") for i in range(40)] + [(100, "small rings"), (101, "anvil"), (102, None), (103, "")], "id long, name string")
+    names = joins.similar_names(df.select(F.col("name").alias("l")), df.select(F.col("name").alias("r")), 0.6)
+    want = {("small ring", "small ring"), ("small ring", "small rings"), ("small rings", "small ring"), ("small rings", "small rings"), ("anvil", "anvil")}
+    assert {(r.l, r.r) for r in names.collect() if r.l} == want
+    got = joins.trigram_candidates(df.where("id % 20 = 0"), df, 0.6)
+    rows = [(r.left_id, r.right_id) for r in got.collect() if r.left_id != 103]
+    assert sorted(rows) == sorted((a, b) for a in (0, 20) for b in [*range(40), 100]) + [(100, b) for b in [*range(40), 100]]
