@@ -103,6 +103,27 @@ def _marks(named: DataFrame) -> DataFrame:
     return stored(numbered_ranges(again, "k", [], "order").where("rank > 1").select("k.doc_id", "order", F.col("rank").alias("n")), "marks")
 
 
+def _cells_apart(units: DataFrame) -> bool:
+    """Whether no cell can have an id that another node has, once rows are numbered.
+
+    A cell's id is its row's, :cell: and its column. It is no other node's where those ids have no :cell, and no other row's cell's where they have no #
+    of their own, since numbered rows then differ; a row must not have a column twice.
+    """
+    path = F.concat_ws(" ", "top_id", "tail")
+    columns = F.transform("cells", lambda c, i: F.coalesce(c["column_id"], (i + 1).cast("string")))
+    odd = F.contains(path, F.lit(":cell")) | F.contains(path, F.lit("#")) | (F.size(F.array_distinct(columns)) < F.size("cells"))
+    return units.where(odd).isEmpty()
+
+
+def _settled(slots: DataFrame, marks: DataFrame | None) -> DataFrame | None:
+    """The marks of slots, numbered from marks on until nothing changes; None if no id repeats."""
+    while True:
+        fresh = _marks(_raw(slots, marks))
+        if marks is None and fresh.isEmpty() or marks is not None and fresh.exceptAll(marks).isEmpty() and marks.exceptAll(fresh).isEmpty():
+            return marks
+        marks = fresh
+
+
 def graph_nodes(artifacts: DataFrame, structured: DataFrame) -> DataFrame:
     """doc_id, order, id, parent_id, relation, kind, depth, origin, text: the nodes of each document in reading order from 0.
 
@@ -112,7 +133,7 @@ def graph_nodes(artifacts: DataFrame, structured: DataFrame) -> DataFrame:
     follow in order. place tells the rows of a document apart on each side. An id that an earlier node of the document has gets #2, #3
     and so on, which its children's ids carry. Null: ids become the place, texts empty, items and rows none; rows without doc_id have no graph.
 
-    Ids are numbered until nothing changes: a node's number follows from earlier nodes only, and as a rule nothing repeats.
+    Ids are numbered until nothing changes: a node's number follows from earlier nodes only. Cells are numbered only where theirs can repeat.
     """
     at = running_total(stored(_units(artifacts, structured), "artifacts"), "doc_id", ["part"], "place", ["row"], "weight")
     units = stored(at.where("weight > 0"), "units")
@@ -126,12 +147,10 @@ def graph_nodes(artifacts: DataFrame, structured: DataFrame) -> DataFrame:
         (F.col("row_order") + 1 + F.col("i")).alias("order"), "row_order", "row_tail", F.lit(2).alias("depth"),
     )
     slots = stored(rows.unionByName(cells), "slots")
-    marks, named = None, _raw(slots, None)
-    while True:
-        fresh = _marks(named)
-        if marks is None and fresh.isEmpty() or marks is not None and fresh.exceptAll(marks).isEmpty() and marks.exceptAll(fresh).isEmpty():
-            break
-        marks, named = fresh, _raw(slots, fresh)
+    marks = _settled(slots.where("depth < 2"), None)  # cells follow from rows, which are far fewer
+    if not _cells_apart(units):
+        marks = _settled(slots, marks)
+    named = _raw(slots, marks)
     own = named.withColumn("n", F.lit(1).cast("long")) if marks is None else named.join(marks, ["doc_id", "order"], "left")
     final = F.concat("raw", F.when(F.col("n") > 1, F.concat(F.lit("#"), F.col("n").cast("string"))).otherwise(""))
     return own.select("doc_id", "order", final.alias("id"), F.col("up").alias("parent_id"), "relation", "kind", "depth", "origin", "text")

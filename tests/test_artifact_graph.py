@@ -84,3 +84,16 @@ def test_ancestry_of_damaged_graphs(spark):
 def test_no_rows(spark):
     nodes = graph_nodes(spark.createDataFrame([], ARTIFACTS), spark.createDataFrame([], STRUCTURED))
     assert nodes.count() == 0 and ancestry(nodes).count() == 0
+
+
+def test_cells_are_numbered_only_where_theirs_can_repeat(spark, monkeypatch):
+    from corvane.operators import artifact_graph
+
+    seen, marks = [], artifact_graph._marks
+    monkeypatch.setattr(artifact_graph, "_marks", lambda named: seen.append(named.where("kind = 'table_cell'").count()) or marks(named))
+    for row_id, column, cells_numbered in (("r", "y", False), ("r", "x", True), ("r#2", "y", True)):
+        seen.clear()
+        table = (1, 0, "table", "t", None, "", [("r", [("x", "1"), (column, "2")]), (row_id, [("x", "3")]), ("r", None)])
+        nodes = graph_nodes(spark.createDataFrame([], ARTIFACTS), spark.createDataFrame([table], STRUCTURED)).collect()
+        assert [n.id for n in sorted(nodes, key=lambda n: n.order)] == [n[0] for n in by_loop([], [table])]
+        assert any(seen) == cells_numbered
