@@ -82,27 +82,31 @@ def _starts(index: DataFrame, wanted: DataFrame) -> DataFrame:
         .where((F.col("base") >= 0) & (F.col("base") + F.col("n") <= F.col("n_words")))
         .select("window", "row", "base")
     )
-    second = _sent(ranked.where("rank = 2").select("window", "offset", "term_id"), BROADCAST_WINDOWS)
-    alone = _sent(ranked.where("n = 1").select("window"), BROADCAST_WINDOWS)
+    held = postings.select("row", "pos", "term_id")  # shuffled once in a plan, for all that are met with it
+    second = _sent(ranked.where("rank = 2").select("window", "offset", "term_id", "n"), BROADCAST_WINDOWS)
     thinned = (
         places.join(second, "window")
-        .select("window", "row", "base", "term_id", (F.col("base") + F.col("offset")).alias("pos"))
-        .join(postings.select("row", "pos", "term_id"), ["row", "pos", "term_id"], "left_semi")
-        .select("window", "row", "base")
+        .select("window", "row", "base", "n", "term_id", (F.col("base") + F.col("offset")).alias("pos"))
+        .join(held, ["row", "pos", "term_id"], "left_semi")
     )
-    thinned = materialize(thinned.union(places.join(alone, "window", "left_semi")), "places")
-    rest = _sent(ranked.where("rank > 2").select("window", "offset", "term_id", "n"), BROADCAST_WINDOWS)
-    complete = (
-        thinned.join(rest, "window")
+    rest = _sent(ranked.where("rank > 2").select("window", "offset", "term_id"), BROADCAST_WINDOWS)
+    found = (
+        thinned.where("n > 2")
+        .select("window", "row", "base", "n")
+        .join(rest, "window")
         .select("window", "row", "base", "n", "term_id", (F.col("base") + F.col("offset")).alias("pos"))
-        .join(postings.select("row", "pos", "term_id"), ["row", "pos", "term_id"], "left_semi")
+        .join(held, ["row", "pos", "term_id"], "left_semi")
         .groupBy("window", "row", "base")
         .agg(F.count("*").alias("kept"), F.first("n").alias("n"))
         .where("kept = n - 2")
         .select("window", "row", "base")
     )
-    short = thinned.join(ranked.where("rank = 1 and n <= 2").select("window"), "window", "left_semi")
-    return complete.union(short)
+    sizes = {r.n for r in ranked.where("n <= 2").select("n").distinct().collect()}
+    if 2 in sizes:
+        found = found.union(thinned.where("n = 2").select("window", "row", "base"))
+    if 1 in sizes:
+        found = found.union(places.join(_sent(ranked.where("n = 1").select("window"), BROADCAST_WINDOWS), "window", "left_semi"))
+    return found
 
 
 def _prepare(docs: DataFrame, benchmark: DataFrame, size: int, row: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -245,6 +245,40 @@ def test_similar_texts_like_brute_force(spark):
     assert similar.keep_one(docs(spark, [])).collect() == []
 
 
+def test_similar_texts_are_those_whose_shingles_say_so(spark):
+    """Pairs around the threshold: none below it, nearly all from it on. The bits alone passed some below."""
+    rng = random.Random(8)
+    rows, pairs = [], []
+    for g in range(240):
+        base = [f"g{g}w{i}" for i in range(400)]
+        other = list(base)
+        for at in range(0, rng.choice((9, 10, 11, 7, 8)) * 10, 10):
+            other[at + 5] += "x"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+        pairs.append(jaccard(rows[-2][1], rows[-1][1]))
+    kept = {r.doc_id for r in similar.keep_one(docs(spark, rows)).collect()}
+    assert set(range(0, 480, 2)) <= kept
+    gone = [2 * g + 1 not in kept for g in range(240)]
+    assert not any(x for x, s in zip(gone, pairs, strict=True) if s < 0.8) and sum(s < 0.8 for s in pairs) > 80
+    assert np.mean([x for x, s in zip(gone, pairs, strict=True) if s >= 0.8]) >= 0.9
+
+
+def test_pivots_of_similar_texts_lose_no_pair():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 1 << 64, (500, 4), dtype=np.uint64)
+    noise = np.packbits((rng.random((500, 256)) < rng.random((500, 1)) / 2).astype(np.uint8), axis=1).view(np.uint64)
+    b = a ^ noise
+    bits = np.bitwise_count(a ^ b).sum(1, dtype=int)
+    ta, tb = similar.distances(a).astype(int), similar.distances(b).astype(int)
+    pivots = similar.references()
+    assert ta.shape == (500, 65) and all(ta[i, j] == np.bitwise_count(a[i] ^ pivots[j]).sum() for i in range(20) for j in range(65))
+    sums = np.abs((ta[:, 1:] - ta[:, :1]) - (tb[:, 1:] - tb[:, :1])).sum(1) // 2
+    assert (sums == np.bitwise_count(similar.coordinates(a) ^ similar.coordinates(b)).sum(1, dtype=int)).all()
+    assert (sums <= bits).all()
+    apart = np.bitwise_count(similar.coordinates(a[1:]) ^ similar.coordinates(a[:-1])).sum(1, dtype=int)
+    assert (apart > 53).mean() > 0.95
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(1, 60)] + [(2000, 2000), (3001, 3000), (3000, 3001)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
