@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,14 +77,23 @@ def term_matches(rows: DataFrame, key: str, text: str, terms: DataFrame, overlap
         # MOST_CHARS at most, as counted
         mine = [(r.number, r.term, r.open) for r in clean.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == part).collect()]
 
-        @F.pandas_udf(schema)
-        def matches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf(schema)
+        def matches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             automaton = _automaton(mine)
             for batch in batches:
-                found = [found_in(automaton, t) if mine else [] for t in batch]
-                if parts == 1 and not overlaps:
-                    found = [longest(x) for x in found]
-                yield pd.Series([[{"start": a, "end": b, "number": n} for a, b, n in x] for x in found])
+                # numbers of the batch lie in arrays: as objects they would take twenty times as much
+                flat, ends = array("q"), array("i", [0])
+                for t in batch:
+                    found = found_in(automaton, t.as_py()) if mine else []
+                    if parts == 1 and not overlaps:
+                        found = longest(found)
+                    for match in found:
+                        flat.extend(match)
+                    ends.append(len(flat) // 3)
+                of = np.frombuffer(flat, np.int64).reshape(-1, 3)
+                columns = [pa.array(of[:, 0].astype(np.int32)), pa.array(of[:, 1].astype(np.int32)), pa.array(np.ascontiguousarray(of[:, 2]))]
+                items = pa.StructArray.from_arrays(columns, names=["start", "end", "number"])
+                yield pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), items)
 
         return texts.select("_key", matches("_text").alias("m"))
 

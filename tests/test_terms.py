@@ -5,6 +5,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.functions import terms
 
@@ -70,3 +71,26 @@ def test_concepts_and_synonyms(spark):
     assert {r.k: r.concepts for r in named.collect()} == {1: ["pain", "head"], 3: ["head"]}
     synonyms = spark.createDataFrame([("pain", 1, "sore"), ("pain", 2, "head"), ("head", 1, "skull")], "concept string, place int, synonym string")
     assert {r.k: r.terms for r in terms.expanded(named, "k", synonyms).collect()} == {1: ["pain", "sore", "head", "skull"], 3: ["head", "skull"]}
+
+
+def test_matches_of_a_batch_take_little_memory(spark):
+    """Texts full of terms: a worker holds the numbers of a batch in arrays, not one object a match."""
+    import resource
+
+    from corvane.functions.terms import term_matches
+
+    texts = spark.range(0, 4000, 1, 1).select("id", F.expr("repeat('red fox ', 150)").alias("text"))
+    terms = spark.createDataFrame([(1, "red", False), (2, "fox", False), (3, "red fox", False)], "number long, term string, open boolean")
+    found = term_matches(texts, "id", "text", terms, overlaps=True)
+
+    def peak(batches):
+        import pyarrow as pa
+
+        rows = sum(b.num_rows for b in batches)
+        yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024])], ["rows", "mb"])
+
+    got = found.select("number").mapInArrow(peak, "rows long, mb long").collect()
+    assert sum(r.rows for r in got) == 4000 * 450
+    counts = {r.number: r.n for r in found.groupBy("number").agg(F.count("*").alias("n")).collect()}
+    assert counts == {1: 600_000, 2: 600_000, 3: 600_000}
+    assert max(r.mb for r in got) < 500
