@@ -7,6 +7,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from corvane import registry
 from corvane import registry
 from corvane.functions import folds
 from corvane.functions.overlap import answer_score
@@ -225,3 +226,9 @@ def test_delimited_lines_like_the_pattern(spark):
     patterns = [quality.TABLES[1], quality.TABLES[0], *quality.TABLES[2:], *quality.STRUCTURE]
     want = rel.select(", ".join(f"regexp_matches(text, '{p}')" for p in patterns)).fetchall()
     assert [tuple(got[i]) for i in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("name", ["quality_ocr_risk", "quality_parse", "quality_ingestion_report"])
+def test_each_pattern_is_looked_for_once(spark, name):
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(quality.MOJIBAKE) == 1
