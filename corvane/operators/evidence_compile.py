@@ -22,6 +22,8 @@ CONTRADICTED = 0.25
 FIELD_SHARE = 0.75
 #: Fields in conflict that the report of an answer names; the count has all.
 NAMED_CONFLICTS = 8
+#: Groups of keys, by hash, whose facts are counted, and facts of a group from which its keys are dealt into ranges.
+KEY_GROUPS, MOST_FACTS = 65_536, 2_000_000
 
 
 def prefix_max(rows: DataFrame, key: str, order: str, rest: list[str], value: str, name: str, own: bool) -> DataFrame:
@@ -41,15 +43,42 @@ def prefix_max(rows: DataFrame, key: str, order: str, rest: list[str], value: st
     return at.join(bases, [key, "_range"]).withColumn(name, F.greatest("_at", "_base")).drop("_range", "_at", "_base")
 
 
-def _intervals(facts: DataFrame, by: list[str]) -> DataFrame:
-    """k, low, high, n: the distinct intervals of each key and how many facts have them; without those that have no finite bounds."""
+def _sound(facts: DataFrame, by: list[str]) -> DataFrame:
+    """by (as strings, null as ''), low and high of the facts that have two finite bounds, the smaller one first."""
 
     def sound(c: str) -> Column:
         return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
     cast = facts.withColumns({"low": F.col("low").cast("double"), "high": F.col("high").cast("double")}).where(sound("low") & sound("high"))
-    key = F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in by))
-    return cast.groupBy(key.alias("k"), F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high")).agg(F.count("*").alias("n"))
+    return cast.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in by), F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high"))
+
+
+def _summed(seen: DataFrame, by: list[str]) -> DataFrame:
+    """conflicts() of intervals (by..., low, high, n) with before, the largest high of earlier ones of their key, and its least high and most low."""
+    start = (F.col("before").isNull() | (F.col("low") > F.col("before"))).cast("long")
+    apart = F.when((F.col("low") > F.col("least")) | (F.col("high") < F.col("most")), F.col("n")).otherwise(0)
+    whole = seen.groupBy(*by).agg(
+        F.sum("n").alias("facts"), F.count("*").alias("readings"), F.sum(start).alias("camps"), F.first("least").alias("least"), F.first("most").alias("most"), F.sum(apart).alias("disagreeing")
+    )
+    return whole.withColumn("in_conflict", F.col("most") > F.col("least"))
+
+
+def _swept(rows: DataFrame, by: list[str]) -> DataFrame:
+    """conflicts() of _sound() rows, those of a key in one task: they are shuffled once, by key."""
+    held = rows.repartition(*by).groupBy(*by, "low", "high").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*by).orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
+    key = Window.partitionBy(*by)
+    seen = held.withColumns({"before": F.max("high").over(before), "least": F.min("high").over(key), "most": F.max("low").over(key)})
+    return _summed(seen, by)
+
+
+def _swept_in_ranges(rows: DataFrame, by: list[str]) -> DataFrame:
+    """conflicts() of _sound() rows, those of a key dealt into ranges of low."""
+    held = stored(rows.groupBy(F.struct(*by).alias("k"), "low", "high").agg(F.count("*").alias("n")), "intervals")
+    seen = prefix_max(held, "k", "low", ["high"], "high", "before", False)
+    ends = held.groupBy("k").agg(F.min("high").alias("least"), F.max("low").alias("most"))
+    whole = _summed(seen.join(ends, "k"), ["k"])
+    return whole.select("k.*", *whole.columns[1:])
 
 
 def conflicts(facts: DataFrame, by: list[str]) -> DataFrame:
@@ -59,14 +88,17 @@ def conflicts(facts: DataFrame, by: list[str]) -> DataFrame:
     key there are such two just if its largest low is above its smallest high, and the facts that disagree with some other are those that begin above the
     smallest high or end below the largest low: no pair is formed. disagreeing counts them, readings the distinct intervals, camps the
     groups that chains of overlapping intervals make, by a sweep. Bounds may be swapped; without two finite ones a fact takes no part, a null in by is ''.
+
+    Facts are counted in KEY_GROUPS groups of keys first. Keys of groups with more than MOST_FACTS are swept in ranges, by many tasks; the facts of all
+    others are shuffled once.
     """
-    held = stored(_intervals(facts, by), "intervals")
-    seen = prefix_max(held, "k", "low", ["high"], "high", "before", False)
-    starts = seen.withColumn("start", (F.col("before").isNull() | (F.col("low") > F.col("before"))).cast("long"))
-    ends = held.groupBy("k").agg(F.min("high").alias("least"), F.max("low").alias("most"))
-    judged = starts.join(ends, "k").withColumn("d", F.when((F.col("low") > F.col("least")) | (F.col("high") < F.col("most")), F.col("n")).otherwise(0))
-    whole = judged.groupBy("k", "least", "most").agg(F.sum("n").alias("facts"), F.count("*").alias("readings"), F.sum("start").alias("camps"), F.sum("d").alias("disagreeing"))
-    return whole.select("k.*", "facts", "readings", "camps", "least", "most", "disagreeing", (F.col("most") > F.col("least")).alias("in_conflict"))
+    rows = _sound(facts, by)
+    group = F.pmod(F.xxhash64(*by), F.lit(KEY_GROUPS)).cast("int")
+    # at most KEY_GROUPS numbers
+    large = [x.g for x in rows.groupBy(group.alias("g")).agg(F.count("*").alias("c")).where(F.col("c") > MOST_FACTS).select("g").collect()]
+    if not large:
+        return _swept(rows, by)
+    return _swept(rows.where(~group.isin(large)), by).unionByName(_swept_in_ranges(rows.where(group.isin(large)), by))
 
 
 def field_matches(field: Column, fact: Column) -> Column:

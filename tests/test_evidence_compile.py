@@ -26,6 +26,19 @@ def test_conflicts_as_by_pairs(spark):
     assert found["gap", "x"].camps == 1 and found["gap", "x"].in_conflict  # linked by a third, yet two have no point in common
 
 
+def test_conflicts_of_large_groups_and_shuffles(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(r.choice(["hot", "hot", "hot", "a", "b", None]), r.randrange(3), float(r.randrange(50)), float(r.randrange(50))) for _ in range(600)]
+    facts = spark.createDataFrame(rows, "k string, f int, low double, high double")
+    plain = conflicts(facts, ["k", "f"])
+    assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the facts are shuffled once
+    monkeypatch.setattr("corvane.operators.evidence_compile.MOST_FACTS", 70)
+    ranged = conflicts(facts, ["k", "f"])
+    assert ranged.columns == plain.columns and sorted(ranged.collect()) == sorted(plain.collect())
+    monkeypatch.setattr("corvane.operators.evidence_compile.MOST_FACTS", 0)
+    assert sorted(conflicts(facts, ["k", "f"]).collect()) == sorted(plain.collect())
+
+
 def test_compiled_cases(spark):
     def fact(a, at, field, value, source="s", subject="m", unit="kg"):
         return a, at, source, subject, field, str(value), unit, float(value), float(value), "q"
