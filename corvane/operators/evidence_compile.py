@@ -43,6 +43,14 @@ def prefix_max(rows: DataFrame, key: str, order: str, rest: list[str], value: st
     return at.join(bases, [key, "_range"]).withColumn(name, F.greatest("_at", "_base")).drop("_range", "_at", "_base")
 
 
+def _large(rows: DataFrame, by: list[str]) -> Column | None:
+    """Whether a row's key is in a group of more than MOST_FACTS rows; None if no group is."""
+    group = F.pmod(F.xxhash64(*by), F.lit(KEY_GROUPS)).cast("int")
+    # at most KEY_GROUPS numbers
+    large = [x.g for x in rows.groupBy(group.alias("g")).agg(F.count("*").alias("c")).where(F.col("c") > MOST_FACTS).select("g").collect()]
+    return group.isin(large) if large else None
+
+
 def _sound(facts: DataFrame, by: list[str]) -> DataFrame:
     """by (as strings, null as ''), low and high of the facts that have two finite bounds, the smaller one first."""
 
@@ -93,12 +101,10 @@ def conflicts(facts: DataFrame, by: list[str]) -> DataFrame:
     others are shuffled once.
     """
     rows = _sound(facts, by)
-    group = F.pmod(F.xxhash64(*by), F.lit(KEY_GROUPS)).cast("int")
-    # at most KEY_GROUPS numbers
-    large = [x.g for x in rows.groupBy(group.alias("g")).agg(F.count("*").alias("c")).where(F.col("c") > MOST_FACTS).select("g").collect()]
-    if not large:
+    large = _large(rows, by)
+    if large is None:
         return _swept(rows, by)
-    return _swept(rows.where(~group.isin(large)), by).unionByName(_swept_in_ranges(rows.where(group.isin(large)), by))
+    return _swept(rows.where(~large), by).unionByName(_swept_in_ranges(rows.where(large), by))
 
 
 def field_matches(field: Column, fact: Column) -> Column:
@@ -143,11 +149,17 @@ def compiled(
     )
     parts = ["source_id", "field", "value", "quote"]
     told = F.concat_ws("|", *(F.coalesce(_key(F.col(c).cast("string")), F.lit("")) for c in parts))
-    once = facts.groupBy("answer_id", told.alias("key")).agg(F.min_by(F.struct("source_id", "subject", "field", "value", "unit"), "at").alias("f"), F.min("at").alias("at"))
+    large = _large(facts, ["answer_id"])
+    # an answer's facts lie together, those of one with very many in parts, so each part's first ones alone are shuffled again
+    dealt, whole = facts.select("answer_id", told.alias("key"), "subject", "field", "value", "unit", "at"), ["answer_id"]
+    if large is not None:
+        dealt, whole = dealt.withColumn("part", F.when(large, F.pmod(F.xxhash64("key"), F.lit(KEY_GROUPS)).cast("int")).otherwise(0)), ["answer_id", "part"]
+    once = dealt.repartition(*whole).groupBy(*whole, "key").agg(F.min_by(F.struct("subject", "field", "value", "unit"), "at").alias("f"), F.min("at").alias("at"))
     used = _first(once, ["answer_id"], LIMITS["structured"]).groupBy("answer_id").agg(
         F.sort_array(F.collect_list(F.struct("at", F.col("f.field").alias("field"), folded(F.concat_ws(" ", "f.subject", "f.field", "f.value", "f.unit")).alias("t")))).alias("used")
     )
-    sources = facts.where("source_id is not null").groupBy("answer_id").agg(F.least(F.approx_count_distinct("source_id"), F.lit(LIMITS["source"])).alias("sources"))
+    named = facts.where("source_id is not null").select("answer_id", "source_id").distinct()  # a sketch for each answer and task would be larger
+    sources = named.groupBy("answer_id").agg(F.least(F.count("*"), F.lit(LIMITS["source"])).alias("sources"))
     apart = conflicts(facts, ["answer_id", "subject", "field", "unit"]).where("in_conflict").groupBy("answer_id", "field").agg(F.count("*").alias("n"))
     at_most = F.row_number().over(Window.partitionBy("answer_id").orderBy("field"))
     apart = apart.withColumn("r", at_most).groupBy("answer_id").agg(

@@ -64,6 +64,17 @@ def test_compiled_cases(spark):
     assert told(7, "coverage", "mode") == ("none", "no_source") and told(8, "contradictions", "coverage", "missing") == (0, "complete", [])
 
 
+def test_compiled_of_large_answers(spark, monkeypatch):
+    r = random.Random(5)
+    facts = [(r.choice([1, 1, 1, 2, 3]), i, f"s{r.randrange(20)}", "m", f"field {r.randrange(9)}", str(i % 7), "kg", float(i % 7), float(i % 7), "q") for i in range(300)]
+    requests = [(a, "high", ["field 1", "field 8"]) for a in (1, 2, 3, 4)]
+    made = spark.createDataFrame(requests, REQUESTS), spark.createDataFrame([], TEXTS), spark.createDataFrame(facts, FACTS)
+    plain = sorted(compiled(*made).collect())
+    assert {x.answer_id: x.sources for x in plain} == {1: 8, 2: 8, 3: 8, 4: 0}
+    monkeypatch.setattr("corvane.operators.evidence_compile.MOST_FACTS", 100)
+    assert sorted(compiled(*made).collect()) == plain
+
+
 def test_no_rows(spark):
     empty = [spark.createDataFrame([], s) for s in (REQUESTS, TEXTS, FACTS)]
     assert compiled(*empty).count() == 0 and conflicts(empty[2], ["field"]).count() == 0
