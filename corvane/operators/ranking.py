@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane.catalog import query
 from corvane.functions.text import normalized, tokens
-from corvane.operators.retrieval import _HYB, _RANK, _queries, fallback_rerank, hybrid_top
+from corvane.operators.retrieval import _HYB, _RANK, _queries, fallback_rerank, hybrid_top, named_by
 from corvane.operators.windows import scaled
 from corvane.session import table
 
@@ -95,9 +95,9 @@ def pre_rank_score(route_terms: list[str] = ROUTE_TERMS) -> Column:
 
 def _candidates(spark, sf_dir, k: int = 8) -> DataFrame:
     q = _queries(spark, sf_dir).select("query_id", F.col("text").alias("query"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    rows = hybrid_top(spark, sf_dir, k).withColumnRenamed("score", "fused")
-    return rows.join(q, "query_id").join(d, "doc_id")
+    rows = hybrid_top(spark, sf_dir, k)
+    d = named_by(table(spark, sf_dir, "documents"), rows).select("doc_id", "text", "source", "lang")
+    return rows.withColumnRenamed("score", "fused").join(q, "query_id").join(d, "doc_id")
 
 
 def _cards(spark, sf_dir) -> DataFrame:

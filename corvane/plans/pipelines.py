@@ -8,25 +8,26 @@ from pyspark.sql import functions as F
 from corvane.catalog import query
 from corvane.functions.text import plain_tokens, short_hash
 from corvane.operators.filters import above_floor
-from corvane.operators.retrieval import best, confidence, phrase_bonus, prune, retrieve
+from corvane.operators.retrieval import best, confidence, named_by, phrase_bonus, prune, retrieve
 from corvane.operators.scans import clamped_sum
 from corvane.operators.structure import chunks
 from corvane.session import table
+from corvane.storage import stored
 
 
 def grounded_evidence(queries: DataFrame, docs: DataFrame, first: int = 24, last: int = 3) -> DataFrame:
     """query_id, doc_id, rank, confidence, evidence of queries (query_id, text) over docs (doc_id, text).
 
     Both channels are fused and cut to the first rows; phrases are scored on those; a floor and the last cut follow; then
-    each text is pruned to its evidence. One plan for all queries.
+    each text is pruned to its evidence. All queries at once; the candidates of each step are stored.
     """
-    fused = retrieve(queries, docs, first)
-    exact = phrase_bonus(fused.select("query_id", "doc_id", "score"), queries, docs)
+    fused = stored(retrieve(queries, docs, first).select("query_id", "doc_id", "score"), "fused")
+    exact = stored(phrase_bonus(fused, queries, docs), "exact")
     kept = best(above_floor(exact, "query_id", "score"), last)
     w = Window.partitionBy("query_id")
     sure = kept.withColumn("confidence", confidence(F.max("score").over(w), F.max(F.when(F.col("rank") == 2, F.col("score"))).over(w)))
     words = queries.select("query_id", F.array_distinct(plain_tokens(F.col("text"))).alias("a"))
-    rows = sure.join(words, "query_id").join(docs.select("doc_id", "text"), "doc_id")
+    rows = sure.join(words, "query_id").join(named_by(docs, exact).select("doc_id", "text"), "doc_id")
     return prune(rows, carry=("rank", "confidence")).select("query_id", "doc_id", "rank", "confidence", "evidence")
 
 

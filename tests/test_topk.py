@@ -116,3 +116,17 @@ def test_many_packs_of_queries(spark, corpus, monkeypatch):
     for name, value in (("QUERIES", 2), ("MOST_PACKS", 1), ("DOCS", 100), ("WORDS", 500), ("TERMS", 7)):
         monkeypatch.setattr(retrieval.packs, name, value)
     assert rows_of(retrieval.retrieve(queries, docs, 5)) == want
+
+
+def test_only_candidates_texts_are_shuffled(spark, tmp_path, monkeypatch):
+    from corvane.operators.retrieval import named_by
+
+    spark.range(500).selectExpr("id AS doc_id", "concat('some words of text ', id) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    rows = spark.createDataFrame([(1, 7), (2, 7), (2, 9), (3, None), (4, 1000)], "query_id long, doc_id long")
+    kept = named_by(docs, rows)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(x.doc_id for x in kept.collect()) == [7, 9]
+    monkeypatch.setattr("corvane.operators.retrieval.MOST_SENT", 0)
+    assert sorted(x.doc_id for x in named_by(docs, rows).collect()) == [7, 9]
