@@ -51,19 +51,19 @@ def recorded():
         _RECORDS.remove(made)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: it cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Writes df once to the shared folder and reads it back: it cuts lineage and survives lost executors. zstd as codec takes less disk for texts."""
     spark = df.sparkSession
     path = table_path(spark, name)
     for made in _RECORDS:
         made.append(path)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def number_rows(df: DataFrame, name: str) -> DataFrame:
+def number_rows(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Adds a number of its own to each row of df, stored: read again, every row has the same."""
-    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered", codec)
 
 
 def unused(df: DataFrame, name: str) -> str:

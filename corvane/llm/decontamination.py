@@ -196,7 +196,7 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = 10, row: str | Non
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """The rows of docs without those whose own text holds a benchmark window."""
     row = unused(docs, "_row")
-    numbered = number_rows(docs, row)
+    numbered = number_rows(docs, row, "zstd")
     bad = report(numbered, benchmark, size, row).where("contaminated").select(F.col("row").alias(row))
     return numbered.join(bad, row, "left_anti").select(*docs.columns)
 

@@ -252,7 +252,7 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not predicted toxic, each decided by its own text."""
     row = unused(docs, "_row")
-    numbered = number_rows(docs, row)
+    numbered = number_rows(docs, row, "zstd")
     bad = score(numbered, labels, carried=(row,)).where("predicted = 1").select(row)
     return numbered.join(bad, row, "left_anti").select(*docs.columns)
 

@@ -78,6 +78,17 @@ def test_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash", "decontamination", "packing"]
 
 
+def test_texts_of_stages_are_stored_small(spark):
+    from corvane.llm.common import folders, number_rows, recorded
+
+    with recorded() as made:
+        kept = decontamination.remove_contaminated(docs(spark, [(i, "a text of words") for i in range(3)]), spark.createDataFrame([(1, "none of them")], "item_id int, text string"))
+    assert kept.count() == 3
+    names = [f for path in made if "/numbered-" in path for f in spark.read.parquet(path).inputFiles()]
+    assert names and all(".zstd." in f for f in names)
+    assert all(".snappy." in f for f in number_rows(spark.range(3), "row").inputFiles()) and folders(kept)
+
+
 def test_pipeline_like_its_parts(spark):
     """Each stage does to its input what its operator, held against brute force elsewhere, decides."""
     import public_tokenizers
