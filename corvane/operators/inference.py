@@ -10,6 +10,7 @@ from corvane.operators.artifact_graph import diagnostics, graph_nodes
 from corvane.operators.quality import holds
 from corvane.operators.structure import MAX_CHARS, packed, split_long
 from corvane.session import table
+from corvane.storage import stored
 
 #: Months of footers, words of definitions, points of kinds, kinds that are no chunks.
 MONTHS = "ocak|şubat|subat|mart|nisan|mayıs|mayis|haziran|temmuz|ağustos|agustos|eylül|eylul|ekim|kasım|kasim|aralık|aralik"
@@ -138,7 +139,8 @@ def markdown_tables(artifacts: DataFrame) -> DataFrame:
 
 
 def text_graph(artifacts: DataFrame) -> DataFrame:
-    """graph_nodes() of inferred()."""
+    """graph_nodes() of inferred(), which is stored: its tops, items, tables and owners are read one by one."""
+    artifacts = stored(artifacts, "inferred")
     return graph_nodes(artifacts, markdown_tables(artifacts))
 
 

@@ -113,3 +113,12 @@ def test_chunks_cover_their_artifacts(spark):
     told = [c for c in chunks if c.kind == "paragraph"]
     assert " ".join(" ".join(c.content.split()) for c in told[:-1]) == prose and told[-1].content == "y" * 2000
     assert all(c.path == ["T", "P"] and c.page == 2 and c.title == "P" for c in told)
+
+
+def test_graph_stores_its_artifacts_once(spark, monkeypatch):
+    from corvane.operators import inference
+
+    named, stored = [], inference.stored
+    monkeypatch.setattr(inference, "stored", lambda df, name: named.append(name) or stored(df, name))
+    texts = spark.createDataFrame([(1, "# A\n\n- x\n- y\n\n| a | b |\n|---|---|\n| 1 | 2 |")], "doc_id long, text string")
+    assert inference.text_graph(inference.inferred(texts)).count() > 5 and named == ["inferred"]
