@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,12 +11,12 @@ from pyspark.sql import functions as F
 from corvane.catalog import query
 from corvane.functions.folds import ENDINGS, _softened
 from corvane.functions.terms import folded
-from corvane.operators.joins import similar_names
+from corvane.operators.joins import similar_names, small
 from corvane.session import table
 from corvane.storage import stored
 
-#: Letters from which a word may differ by one edit, by two; letters of words whose deletions are listed.
-ONE_EDIT, TWO_EDITS, LISTED = 4, 8, 32
+#: Letters from which a word may differ by one edit, by two; segments of a word that may differ by two.
+ONE_EDIT, TWO_EDITS, SEGMENTS = 4, 8, 4
 #: Letters a word needs for prefixes and trigrams, share of trigrams, letters of the longest prefix that is listed.
 LONG_WORD, SHARE, LONGEST_PREFIX = 6, 0.58, 64
 
@@ -28,55 +29,59 @@ def ending_variants(word: Column) -> Column:
 
 
 def deletions(word: Column) -> Column:
-    """The word, and what is left of it without one letter, or, from TWO_EDITS letters, without two."""
+    """The word, and what is left of it without one letter."""
+    one = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.array_distinct(F.concat(F.array(word), one))
 
-    def once(w):
-        return F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
 
-    one = F.array_distinct(once(word))
-    two = F.when(F.length(word) >= TWO_EDITS, F.array_distinct(F.flatten(F.transform(one, once)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.array(word), one, two))
-
-
-def _segment(n: Column, i: int) -> tuple[Column, Column]:
-    """Start and length of the i-th of three segments of a word of n letters; the last ones are longer."""
-    base, more = F.floor(n / 3), n % 3
-    first_long = 3 - more
-    return 1 + i * base + F.greatest(F.lit(i) - first_long, F.lit(0)), base + (F.lit(i) >= first_long).cast("int")
+def _segment(n: Column, i: Column) -> tuple[Column, Column]:
+    """Start and length of the i-th of the segments of a word of n letters; the last ones are longer."""
+    base, first_long = F.floor(n / SEGMENTS).cast("int"), SEGMENTS - n % SEGMENTS
+    return 1 + i * base + F.greatest(i - first_long, F.lit(0)), base + (i >= first_long).cast("int")
 
 
 def _segments_of(words: DataFrame) -> DataFrame:
-    """r, key: the three segments of each word."""
+    """r, key: any two segments of each word."""
     n = F.length("r")
-    keys = [F.xxhash64(n, F.lit(i), F.col("r").substr(*(x.cast("int") for x in _segment(n, i)))) for i in range(3)]
+    parts = [F.substring("r", *_segment(n, F.lit(i))) for i in range(SEGMENTS)]
+    keys = [F.xxhash64(n, F.lit(i), F.lit(j), parts[i], parts[j]) for i, j in combinations(range(SEGMENTS), 2)]
     return words.select("r", F.explode(F.array(*keys)).alias("key"))
 
 
 def _segments_for(words: DataFrame) -> DataFrame:
-    """l, key: what a word within two edits could have as a segment: three segments, five lengths, five places each."""
-    m, keys = F.length("l"), []
-    for more in range(-2, 3):
-        for i in range(3):
-            start, size = _segment(m + more, i)
-            for shift in range(-2, 3):
-                at = start + shift
-                keys.append(F.when((at >= 1) & (at + size - 1 <= m), F.xxhash64((m + more).cast("int"), F.lit(i), F.col("l").substr(at.cast("int"), size.cast("int")))))
-    return words.select("l", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
+    """l, key: what a word within two edits could have as two segments.
+
+    A segment without edits lies as many places off as letters were put in or left out before it, so the steps of these shifts, up to the difference of the lengths, are two at most.
+    """
+    shifts = [(more, s, t) for more, s, t in product(range(-2, 3), repeat=3) if abs(s) + abs(t - s) + abs(more + t) <= 2]
+    ways = [(more, i, j, s, t) for more, s, t in shifts for i, j in combinations(range(SEGMENTS), 2)]
+    names = ("more", "i", "j", "s", "t")
+    m = F.length("l")
+
+    def key(w):
+        n = m + w["more"]
+        (p, a), (q, b) = ((at + w[shift], size) for shift, (at, size) in (("s", _segment(n, w["i"])), ("t", _segment(n, w["j"]))))
+        inside = (n >= TWO_EDITS) & (p >= 1) & (p + a - 1 <= m) & (q >= 1) & (q + b - 1 <= m)
+        return F.when(inside, F.xxhash64(n, w["i"], w["j"], F.substring("l", p, a), F.substring("l", q, b)))
+
+    listed = F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(w, names, strict=True))) for w in ways))
+    return words.select("l", F.explode(F.array_distinct(F.array_compact(F.transform(listed, key)))).alias("key"))
 
 
 def edit_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """l, r, distance of words (l) and words (r): all pairs of edit distance up to 2 if both have TWO_EDITS letters, else 1, from ONE_EDIT letters on.
 
-    Two words within k edits have a rest in common after k deletions from each, so words meet on what deletions leave; those over
-    LISTED letters meet on segments, since two edits leave one of three segments as it was, two places off at most. Then the distance decides.
+    Two words within one edit have a rest in common after a deletion from each, so shorter words meet on what deletions leave. Two edits leave two of
+    four segments as they were, so words of TWO_EDITS letters or more meet on pairs of segments: six keys for a word (r), the many places for a word (l). Then the distance decides.
     Nulls and shorter words have no pairs; repeated words give one.
     """
     a, b = (stored(x.select(c).where(F.length(c) >= ONE_EDIT).distinct(), "words") for x, c in ((left, "l"), (right, "r")))
     # levenshtein() gives -1 beyond its limit
     limit = F.when(F.least(F.length("l"), F.length("r")) >= TWO_EDITS, 2).otherwise(1)
     d = F.levenshtein("l", "r", 2)
-    short = a.where(F.length("l") <= LISTED).select("l", F.explode(deletions(F.col("l"))).alias("key")).join(b.where(F.length("r") <= LISTED).select("r", F.explode(deletions(F.col("r"))).alias("key")), "key")
-    long_ = _segments_for(a.where(F.length("l") > LISTED - 2)).join(_segments_of(b.where(F.length("r") > LISTED - 2)), "key")
+    keys = [x.where(F.length(c) <= TWO_EDITS).select(c, F.explode(deletions(F.col(c))).alias("key")) for x, c in ((a, "l"), (b, "r"))]
+    short = keys[1].join(small(keys[0], "deletions"), "key")
+    long_ = _segments_of(b.where(F.length("r") >= TWO_EDITS)).join(small(_segments_for(a.where(F.length("l") >= TWO_EDITS)), "segments"), "key")
     checked = [x.select("l", "r", d.alias("distance")).where((F.col("distance") >= 0) & (F.col("distance") <= limit)) for x in (short, long_)]
     return checked[0].unionByName(checked[1]).distinct()
 
@@ -127,7 +132,9 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, edits: bool = True) -> DataFr
 
 
 def _words(rows: DataFrame, c: str) -> DataFrame:
-    return rows.select(F.explode(F.array_distinct(F.split(folded(F.col("text")), " "))).alias(c)).distinct()
+    """The words of all folded texts. Folding looks at nothing beyond white space, so each distinct run between it is folded once."""
+    runs = rows.select(F.explode(F.split("text", r"\s+")).alias("run")).distinct()
+    return runs.select(F.explode(F.split(folded(F.col("run")), " ")).alias(c)).distinct()
 
 
 def _plain(rows: DataFrame, c: str) -> DataFrame:

@@ -2,8 +2,13 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from corvane.functions.folds import ENDINGS
+from corvane.functions.terms import folded
+from corvane.operators import fuzzy
 from corvane.operators.fuzzy import edit_pairs, fuzzy_pairs
+from corvane.operators.joins import similar_names
 
 
 def distance(a, b):
@@ -81,3 +86,36 @@ def test_terms_as_by_all_pairs(spark):
 
 def test_no_words(spark):
     assert fuzzy_pairs(frame(spark, [], "l"), frame(spark, ["word"], "r")).count() == 0
+
+
+def test_shared_trigrams_as_by_all_pairs(spark):
+    """Short names, names of one trigram, and names of more trigrams than meet on triples; the large side is only shuffled to tell its names and the pairs apart."""
+    r = random.Random(7)
+    base = ["".join(r.choice("abc") for _ in range(r.choice([1, 2, 3, 4, 6, 9, 14, 17, 19, 22, 40]))) for _ in range(60)] + ["aaaaaaaa", "a" * 40, "ababababab"]
+    left, right = base, base[::3] + [changed(r, w, 1 + r.randrange(4)) for w in base for _ in range(3)]
+
+    def grams(w):
+        p = f" {w} "
+        return {p[i : i + 3] for i in range(max(len(p) - 2, 1))}
+
+    for least in (0.3, 0.58, 0.9):
+        found = similar_names(frame(spark, left, "l"), frame(spark, right, "r"), least)
+        got = {(x.l, x.r): x.jaccard for x in found.collect() if x.l and x.r}
+        shares = {(a, b): len(grams(a) & grams(b)) / len(grams(a) | grams(b)) for a in set(left) for b in set(right) if a and b}
+        assert got == {k: v for k, v in shares.items() if v >= least}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_keys_of_a_word_stay_few(spark):
+    """Two edits within words of eight letters or more: six keys, where the words without two letters were 56 for one of ten letters."""
+    words = [(("bilgisayar" * 20)[:n],) for n in (8, 10, 20, 32, 200)]
+    keys = fuzzy._segments_of(spark.createDataFrame(words, "r string")).groupBy("r").count().collect()
+    assert len(keys) == len(words) and {k["count"] for k in keys} == {6}
+
+
+def test_words_are_those_of_whole_folded_texts(spark):
+    texts = ["ΣΑΣ Σ x_y-Z\tİI ıi", "á ́b ..\n, q\r\nw\x0bé\x0cÉ\x85k", "  ", "", "x y　z ßẞ", None, "-_- a--b ç_Ğ"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole = rows.select(F.explode(F.split(folded(F.col("text")), " ")).alias("w")).distinct()
+    assert {x.w for x in fuzzy._words(rows, "w").collect()} - {""} == {x.w for x in whole.collect()} - {""}
