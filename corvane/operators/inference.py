@@ -23,6 +23,8 @@ RIGHTS = [r"(?i)^©\s*copyright\b", r"(?i)^copyright\s+20\d{2}\b", r"(?i)^her ha
 DEFINITION = r"\b(?:nedir|ne demek|denir|ifade eder|tanımlanır|tanimlanir|bütünüdür|butunudur)\b"
 ORDERED, MARKED = r"^\s*\d+[.)]\s+\S", r"^\s*(?:[-*+]\s+|\d+[.)]\s+)\S"
 MARK = r"^\s*(?:[-*+]\s+|\d+[.)]\s+)"
+#: First characters of trimmed lines with these patterns.
+STARTS = {PAGE: "#pP", URL: "hH", WEEK: "hH"}
 SCORES = {
     "page_marker": 2, "title": 24, "heading": 30, "url": 1, "footer": 3, "definition": 92,
     "table": 84, "list": 84, "code_block": 84, "procedure": 84, "paragraph": 68,
@@ -37,15 +39,20 @@ def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
+def _begins(line: Column, pattern: str) -> Column:
+    """Whether a trimmed line has a pattern of whole lines, which is looked for only where the first character can begin it."""
+    return F.substring(line, 1, 1).isin(*STARTS[pattern]) & (holds(line, pattern) if pattern == WEEK else line.rlike(pattern))
+
+
 def footer(line: Column) -> Column:
     """Whether a trimmed line is a page mark, a week or a short line with a month and year. İ is no letter i here, though Java folds it to one."""
     plain = F.replace(line, F.lit("İ"), F.lit("¤"))
-    return line.rlike(PAGE) | holds(line, WEEK) | ((F.length(line) <= FOOTER_CHARS) & holds(plain, DATED))
+    return _begins(line, PAGE) | _begins(line, WEEK) | ((F.length(line) <= FOOTER_CHARS) & holds(plain, DATED))
 
 
 def low_value(line: Column) -> Column:
     """Whether a trimmed line only tells of rights, a page, a date or an address."""
-    found = footer(line) | line.rlike(URL)
+    found = footer(line) | _begins(line, URL)
     for pattern in RIGHTS:
         found = found | holds(line, pattern)
     return found
@@ -65,7 +72,7 @@ def kind_of_block(lines: Column) -> Column:
     listed = (F.size(body) >= 2) & F.forall(body, lambda x: x.rlike(MARKED))
     return (
         F.when(code, "code_block").when(rows, "table").when(F.size(F.filter(body, lambda x: x.rlike(ORDERED))) >= 2, "procedure")
-        .when(listed, "list").when(holds(F.lower(F.translate(text, "Iİ", "ıi")), DEFINITION), "definition").otherwise("paragraph")
+        .when(listed, "list").when(holds(F.lower(F.translate(text, "Iİ", "ıi")), DEFINITION, "[nditb]"), "definition").otherwise("paragraph")
     )
 
 
@@ -81,12 +88,14 @@ def inferred(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     whole = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\r\n"), F.lit("\n"))
     blank = F.btrim(whole, F.lit(SPACES + "\n")) == ""
-    lines = docs.select(F.col(key).alias("doc_id"), blank.alias("blank"), F.posexplode(F.when(blank, F.array(F.lit(""))).otherwise(F.split(whole, "\n"))).alias("i", "t"))
-    lines = lines.withColumn("t", trimmed(F.col("t")))
-    hashes = F.length(F.regexp_extract("t", HEADING, 1))
+    # a null line tells of a blank text: a column beside the lines would be worked out from the whole text for each of them
+    cut = F.when(blank, F.array(F.lit(None).cast("string"))).otherwise(F.split(whole, "\n"))
+    lines = docs.select(F.col(key).alias("doc_id"), F.posexplode(cut).alias("i", "t"))
+    lines = lines.select("doc_id", "i", F.col("t").isNull().alias("blank"), F.coalesce(trimmed(F.col("t")), F.lit("")).alias("t"))
+    hashes = F.when(F.startswith("t", F.lit("#")), F.length(F.regexp_extract("t", HEADING, 1))).otherwise(0)
     kind = (
-        F.when(F.col("blank"), "content").when(F.col("t") == "", "blank").when(F.col("t").rlike(PAGE), "page_marker").when(hashes == 1, "title")
-        .when(hashes > 1, "heading").when(F.col("t").rlike(URL), "url").when(footer(F.col("t")), "footer").otherwise("content")
+        F.when(F.col("blank"), "content").when(F.col("t") == "", "blank").when(_begins(F.col("t"), PAGE), "page_marker").when(hashes == 1, "title")
+        .when(hashes > 1, "heading").when(_begins(F.col("t"), URL), "url").when(footer(F.col("t")), "footer").otherwise("content")
     )
     told = lines.withColumns({"line": kind, "depth": F.when(kind.isin("title", "heading"), hashes)})
     bare = trimmed(F.regexp_replace(F.regexp_replace(F.regexp_extract("t", HEADING, 2), r"[ \t]+", " "), r"^#{1,6}\s*", ""))
@@ -156,8 +165,10 @@ def artifact_chunks(artifacts: DataFrame, limit: int = MAX_CHARS) -> DataFrame:
     by_row = F.transform(packed(body, F.greatest(limit - F.length(head), F.lit(1)), "\n"), lambda x: F.concat(head, x))
     by_line = packed(F.flatten(F.transform("lines", lambda x: split_long(x, limit))), limit, "\n")
     pieces = F.when(F.length("text") <= limit, F.array("text")).when(ruled, by_row).otherwise(by_line)
-    cut = artifacts.where(~F.col("kind").isin(SCAFFOLD) & (F.col("text") != "")).select(
-        "doc_id", "place", F.col("id").alias("artifact_id"), "kind", "title", "page", "path", "score", F.posexplode(pieces).alias("split_index", "content")
+    # no filter, which would work out kind and text once more
+    kept = F.when(~F.col("kind").isin(SCAFFOLD) & (F.col("text") != ""), pieces)
+    cut = artifacts.select(
+        "doc_id", "place", F.col("id").alias("artifact_id"), "kind", "title", "page", "path", "score", F.posexplode(kept).alias("split_index", "content")
     )
     at = F.row_number().over(Window.partitionBy("doc_id").orderBy("place", "split_index")) - 1
     return cut.withColumns({"chunk_index": at, "tokens": F.greatest(F.lit(1), F.ceil(F.length("content") / 4)).cast("long")}).drop("place")

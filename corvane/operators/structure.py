@@ -28,17 +28,20 @@ def block_kind(text: Column) -> Column:
 def packed(pieces: Column, limit: int, joiner: str) -> Column:
     """Texts of pieces joined in order, each of at most limit characters where its pieces allow it.
 
-    The fold keeps an array whose last member is the text that is still growing.
+    The fold keeps the texts that are done, and the one that is still growing with its length (-1 before the first piece), which is joined once a piece.
     """
-    def add(done, piece):
-        last = F.element_at(done, -1)
-        grown = F.concat(last, F.lit(joiner), piece)
-        first = F.size(done) == 0
-        return F.when(first, F.array(piece)).when(
-            F.length(grown) <= limit, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown))
-        ).otherwise(F.concat(done, F.array(piece)))
-
-    return F.aggregate(pieces, F.array().cast("array<string>"), add)
+    none = F.array().cast("array<string>")
+
+    def state(done, last, n):
+        return F.struct(done.alias("done"), last.alias("last"), n.cast("int").alias("n"))
+
+    def add(s, piece):
+        n = s["n"] + F.length(piece) + len(joiner)
+        return F.when(s["n"] < 0, state(none, piece, F.length(piece))).when(
+            n <= limit, state(s["done"], F.concat(s["last"], F.lit(joiner), piece), n)
+        ).otherwise(state(F.concat(s["done"], F.array(s["last"])), piece, F.length(piece)))
+
+    return F.aggregate(pieces, state(none, F.lit(""), F.lit(-1)), add, lambda s: F.when(s["n"] < 0, none).otherwise(F.concat(s["done"], F.array(s["last"]))))
 
 
 def split_long(text: Column, limit: int) -> Column:

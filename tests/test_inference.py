@@ -2,6 +2,9 @@
 
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from corvane.operators.inference import artifact_chunks, inferred, text_graph
 
@@ -122,3 +125,18 @@ def test_graph_stores_its_artifacts_once(spark, monkeypatch):
     monkeypatch.setattr(inference, "stored", lambda df, name: named.append(name) or stored(df, name))
     texts = spark.createDataFrame([(1, "# A\n\n- x\n- y\n\n| a | b |\n|---|---|\n| 1 | 2 |")], "doc_id long, text string")
     assert inference.text_graph(inference.inferred(texts)).count() > 5 and named == ["inferred"]
+
+
+def test_a_text_is_looked_at_whole_once(spark):
+    """A text of 40,000 lines: trimming the whole text for each line took the square of its length."""
+    text = "\n".join(f"line {i} of a text without an end" if i % 7 else "" for i in range(40_000))
+    begun = time.monotonic()
+    rows = spark.createDataFrame([(1, text), (2, " \n\t\n"), (3, None), (4, "")], "doc_id long, text string")
+    got = {r.doc_id: (r.n, r.score) for r in inferred(rows).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("score").alias("score")).collect()}
+    assert got == {1: (5715, 68 * 5715), 2: (1, 0), 3: (1, 0), 4: (1, 0)}
+    assert time.monotonic() - begun < 40
+
+
+def test_kinds_are_worked_out_once(spark):
+    plan = artifact_chunks(inferred(spark.createDataFrame([(1, "a")], "doc_id long, text string")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ne demek") == 1
