@@ -70,8 +70,8 @@ def dense(sparse: DataFrame, key: str, size: int) -> DataFrame:
     return held.mapInArrow(spread, f"{key} {held.schema[key].dataType.simpleString()}, embedding array<double>")
 
 
-#: Vectors of a pack.
-PACK = 2_048
+#: Vectors of a pack, and queries of one product with a pack.
+PACK, ASKED = 2_048, 128
 
 
 def packed(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
@@ -85,20 +85,24 @@ def packed(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
 
         def out(dim):
             ids, rows = held.pop(dim)
-            m = np.array(rows, float)
+            m = np.array(rows)
             size = np.sqrt((m * m).sum(1, keepdims=True))
             m = np.divide(m, size, out=np.zeros_like(m), where=size > 0)
             return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([dim], pa.int32()), pa.array([m.tobytes()], pa.binary())], ["ids", "dim", "rows"])
 
         for batch in batches:
-            for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
-                if not v:
+            # numbers stay in arrays: as objects they would take four times as much
+            lists = batch.column("v")
+            sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(int)
+            values, ends = lists.flatten().fill_null(0.0).to_numpy(zero_copy_only=False), np.cumsum(sizes)
+            for i, size, end in zip(batch.column("id").to_pylist(), sizes.tolist(), ends.tolist(), strict=True):
+                if not size:
                     continue
-                ids, rows = held.setdefault(len(v), ([], []))
+                ids, rows = held.setdefault(size, ([], []))
                 ids.append(i)
-                rows.append([0.0 if x is None else x for x in v])
+                rows.append(values[end - size : end].copy())
                 if len(ids) == PACK:
-                    yield out(len(v))
+                    yield out(size)
         for dim in list(held):
             yield out(dim)
 
@@ -107,26 +111,32 @@ def packed(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
 
 
 def best_of_products(met: DataFrame, k: int, places: int) -> DataFrame:
-    """query_id, vec_id, score, rank: the k best of each query in met, rows of a pack (ids, rows) and a pack of queries (query_ids, queries) of dim numbers each."""
+    """query_id, vec_id, score, rank: the k best of each query in met, rows of a pack (ids, rows) and a pack of queries (query_ids, queries) of dim numbers each.
+
+    Packs are read where the batch holds them, and ASKED queries at a time are scored, so a worker needs a batch and a few MB.
+    """
 
     def best(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for r in batch.to_pylist():
-                ids, q_ids = np.array(r["ids"]), np.array(r["query_ids"])
-                a, b = np.frombuffer(r["rows"]).reshape(-1, r["dim"]), np.frombuffer(r["queries"]).reshape(-1, r["dim"])
-                scores = np.round(b @ a.T, places)
-                scores[q_ids[:, None] == ids] = -np.inf
+            for n in range(batch.num_rows):
+                ids, all_ids = (batch.column(c)[n].values.to_numpy() for c in ("ids", "query_ids"))
+                dim = batch.column("dim")[n].as_py()
+                a, asked = (np.frombuffer(batch.column(c)[n].as_buffer()).reshape(-1, dim) for c in ("rows", "queries"))
                 at = min(k, len(ids)) - 1
-                least = np.partition(scores, -at - 1, axis=1)[:, -at - 1]
-                rows, columns = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))  # ties with the last included
-                order = np.lexsort((ids[columns], -scores[rows, columns], rows))
-                rows, columns = rows[order], columns[order]
-                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-                rows, columns = rows[place < k], columns[place < k]
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(ids[columns]), pa.array(scores[rows, columns])], ["query_id", "vec_id", "score"])
+                for first in range(0, len(all_ids), ASKED):
+                    q_ids = all_ids[first : first + ASKED]
+                    scores = np.round(asked[first : first + ASKED] @ a.T, places)
+                    scores[q_ids[:, None] == ids] = -np.inf
+                    least = np.partition(scores, -at - 1, axis=1)[:, -at - 1]
+                    rows, columns = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))  # ties with the last included
+                    order = np.lexsort((ids[columns], -scores[rows, columns], rows))
+                    rows, columns = rows[order], columns[order]
+                    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                    rows, columns = rows[place < k], columns[place < k]
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(ids[columns]), pa.array(scores[rows, columns])], ["query_id", "vec_id", "score"])
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = met.select("ids", "rows", "query_ids", "queries", "dim").mapInArrow(best, "query_id long, vec_id long, score double")

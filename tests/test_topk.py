@@ -1,10 +1,14 @@
 """Bounded retrieval against scoring every document, and neighbours against a loop."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corvane import storage
+from corvane.functions import vectors
 from corvane.functions.vectors import nearest
 from corvane.operators import retrieval, topk
 
@@ -130,3 +134,37 @@ def test_only_candidates_texts_are_shuffled(spark, tmp_path, monkeypatch):
     assert sorted(x.doc_id for x in kept.collect()) == [7, 9]
     monkeypatch.setattr("corvane.operators.retrieval.MOST_SENT", 0)
     assert sorted(x.doc_id for x in named_by(docs, rows).collect()) == [7, 9]
+
+
+def test_a_worker_holds_little_beside_its_batch(spark):
+    """Twelve pairs of whole packs: objects for all of a batch and products of whole packs took over 100 MB."""
+    r = np.random.default_rng(3)
+    n, dim, pairs = vectors.PACK, 16, 12
+    packs = r.normal(size=(pairs, n, dim))
+    packs /= np.linalg.norm(packs, axis=2, keepdims=True)
+    ids = [np.arange(n) + i * n for i in range(pairs)]
+    lists = [pa.array(x, pa.list_(pa.int64())) for x in (ids, ids[::-1])]
+    rows = [pa.array([m.tobytes() for m in x], pa.binary()) for x in (packs, packs[::-1])]
+    batch = pa.RecordBatch.from_arrays([lists[0], rows[0], lists[1], rows[1], pa.array([dim] * pairs, pa.int32())], ["ids", "rows", "query_ids", "queries", "dim"])
+
+    class Met:
+        def select(self, *_):
+            return self
+
+        withColumn = where = select
+
+        def mapInArrow(self, f, _):
+            tracemalloc.start()
+            self.out = pa.Table.from_batches(f(iter([batch]))).to_pandas()
+            self.peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            return self
+
+    met = Met()
+    vectors.best_of_products(met, 3, 9)
+    assert met.peak < 30_000_000
+    query, among = packs[5][700], packs[6]
+    scores = np.round(among @ query, 9)
+    want = sorted(zip(-scores, ids[6]))[:3]
+    got = met.out[(met.out.query_id == ids[5][700])]
+    assert list(zip(-got.score.round(9), got.vec_id)) == [(w, i) for w, i in want]
