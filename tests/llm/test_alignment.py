@@ -110,3 +110,17 @@ def test_vocabulary_bytes(path):
     v = alignment.vocabulary(path)
     text = " Übung macht den Meister, the quick 日本 \t x"
     assert b"".join(v.bytes[i] for i in v.ids(text)) == text.encode()
+
+
+def test_units_of_few_tokens_need_no_joins(spark, monkeypatch):
+    """The cuts of ordinary words come from their rows; before, the tokens of all units were joined on their ends."""
+    monkeypatch.setattr(alignment, "cuts", None)
+    rows = [(i, f"unbelievable {i} wörter, añadir: naïve\n\tend " * (i % 4)) for i in range(20)] + [(30, "日本語のテキスト"), (31, None), (32, "")]
+    same(spark, rows)
+
+
+def test_long_units_are_cut_by_joins(spark, monkeypatch):
+    """Few tokens, many, and tokens that all end alike, in one corpus; the joins give what the rows give."""
+    monkeypatch.setattr(alignment, "FEW", 2)
+    rows = [(i, f"unbelievable {i} wörter, añadir: naïve\n\tend " * (i % 4) + "x" * i) for i in range(20)] + [(30, "日本語のテキスト" * 30), (31, None), (32, " a  b")]
+    same(spark, rows)
