@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.folds import ENDINGS
 from corvane.functions.terms import folded
-from corvane.operators import fuzzy
+from corvane.operators import fuzzy, joins
 from corvane.operators.fuzzy import edit_pairs, fuzzy_pairs
 from corvane.operators.joins import similar_names
 
@@ -119,3 +119,12 @@ def test_words_are_those_of_whole_folded_texts(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "text string")
     whole = rows.select(F.explode(F.split(folded(F.col("text")), " ")).alias("w")).distinct()
     assert {x.w for x in fuzzy._words(rows, "w").collect()} - {""} == {x.w for x in whole.collect()} - {""}
+
+
+def test_sides_that_are_both_large(spark, monkeypatch):
+    """Without keys that go to every task: the same pairs."""
+    left, right = vocabulary(random.Random(5), 30)
+    a, b = frame(spark, left, "l"), frame(spark, right, "r")
+    sent = {tuple(x) for x in fuzzy_pairs(a, b).collect()}
+    monkeypatch.setattr(joins, "MOST_SENT", -1)
+    assert sent and {tuple(x) for x in fuzzy_pairs(a, b).collect()} == sent
