@@ -124,17 +124,8 @@ def _settled(slots: DataFrame, marks: DataFrame | None) -> DataFrame | None:
         marks = fresh
 
 
-def graph_nodes(artifacts: DataFrame, structured: DataFrame) -> DataFrame:
-    """doc_id, order, id, parent_id, relation, kind, depth, origin, text: the nodes of each document in reading order from 0.
-
-    artifacts: doc_id, place, id, kind, text, items; the items of lists and procedures become children. structured: doc_id, place,
-    kind (table, key_value, ocr_span), id, artifact_id, text, rows (TABLE_ROWS). A table belongs to the first artifact with its
-    artifact_id (null: its own id), a key_value likewise without that second choice; whatever has none is a root of its own. Rows and their cells
-    follow in order. place tells the rows of a document apart on each side. An id that an earlier node of the document has gets #2, #3
-    and so on, which its children's ids carry. Null: ids become the place, texts empty, items and rows none; rows without doc_id have no graph.
-
-    Ids are numbered until nothing changes: a node's number follows from earlier nodes only. Cells are numbered only where theirs can repeat.
-    """
+def _by_rounds(artifacts: DataFrame, structured: DataFrame) -> DataFrame:
+    """graph_nodes() whatever the ids: they are numbered until nothing changes, as a node's number follows from earlier nodes only. Cells only where theirs can repeat."""
     at = running_total(stored(_units(artifacts, structured), "artifacts"), "doc_id", ["part"], "place", ["row"], "weight")
     units = stored(at.where("weight > 0"), "units")
     tops = units.where("row = 0").select("doc_id", F.col("part").alias("top_part"), F.col("place").alias("top_place"), F.col("before").alias("top_order"))
@@ -156,6 +147,124 @@ def graph_nodes(artifacts: DataFrame, structured: DataFrame) -> DataFrame:
     return own.select("doc_id", "order", final.alias("id"), F.col("up").alias("parent_id"), "relation", "kind", "depth", "origin", "text")
 
 
+def _cells(row: Column) -> Column:
+    return F.coalesce(row["cells"], F.array().cast("array<struct<column_id:string,text:string>>"))
+
+
+def _entries(artifacts: DataFrame, structured: DataFrame) -> DataFrame:
+    """All artifacts (part 0) and structured ones (part 1), a row each, with inner, how many nodes they hold, and odd, whether an id below them could be another node's too."""
+    none = F.lit(None).cast("string")
+    text, place = F.coalesce("text", F.lit("")).alias("text"), F.col("place").cast("long").alias("place")
+    items = F.when(F.col("kind").isin("list", "procedure"), F.col("items")).cast("array<string>")
+    rows = F.when(F.col("kind") == "table", F.col("rows")).cast(TABLE_ROWS)
+    plain = artifacts.select("doc_id", F.lit(0).alias("part"), place, "kind", "id", none.alias("artifact_id"), text, items.alias("items"), F.lit(None).cast(TABLE_ROWS).alias("rows"))
+    other = structured.select("doc_id", F.lit(1).alias("part"), place, "kind", "id", "artifact_id", text, F.lit(None).cast("array<string>").alias("items"), rows.alias("rows"))
+
+    inner = F.size(F.coalesce("items", F.array().cast("array<string>"))) + F.coalesce(F.aggregate("rows", F.lit(0), lambda n, r: n + 1 + F.size(_cells(r))), F.lit(0))
+    columns = F.transform("rows", lambda r: F.transform(_cells(r), lambda c, j: F.coalesce(c["column_id"], (j + 1).cast("string"))))
+    both = plain.unionByName(other).where("doc_id is not null").withColumns({"inner": inner, "columns": columns})
+
+    def marked(names):
+        together = F.array_join(names, "")
+        return F.contains(together, F.lit(":")) | F.contains(together, F.lit("#"))
+
+    odd = marked(F.flatten("columns")) | marked(F.col("rows.row_id")) | F.exists("columns", lambda c: F.size(F.array_distinct(c)) < F.size(c))
+    return both.withColumn("odd", F.coalesce(odd, F.lit(False))).drop("columns")
+
+
+#: Ids of tops that those of children can look like. What has no id of its own is named structured:, which only a top of that name can repeat.
+_CHILDLIKE = "#|^structured$|(?<!^structured):(item|row|key_value|cell):[^:]*$"
+
+
+def _places(entries: DataFrame) -> DataFrame:
+    """doc_id, part, place of entries, held (whether an artifact has it), top (the id it or its owner starts with), weight (its nodes) and odd.
+
+    A document with an odd entry can have ids that look like others' children, or rows of several tables below one artifact.
+    """
+    place = F.col("place").cast("string")
+    table_id = F.coalesce("id", F.concat(F.lit("structured:table:"), place))
+    own = F.when(F.col("part") == 0, F.coalesce("id", F.concat(F.lit("artifact:"), place))).when(F.col("kind") == "table", table_id).otherwise(F.concat_ws(":", F.lit("structured"), "kind", place))
+    of = F.when(F.col("part") == 0, own).when(F.col("kind") == "table", F.coalesce("artifact_id", "id")).when(F.col("kind") == "key_value", F.col("artifact_id"))
+    flat = entries.select("doc_id", "part", "place", (F.col("kind") == "table").alias("table"), (F.col("kind") == "key_value").alias("value"), "inner", "odd", own.alias("own"), of.alias("of"))
+    owners = flat.where("of is not null").groupBy("doc_id", "of").agg(F.min(F.when(F.col("part") == 0, F.col("place"))).alias("owner"), F.count_if((F.col("part") == 1) & F.col("table")).alias("tables"))
+    held = flat.where("part = 1").join(owners.where("owner is not null"), ["doc_id", "of"], "left").withColumn("held", F.col("owner").isNotNull())
+    both = flat.where("part = 0").withColumns({"held": F.lit(False), "tables": F.lit(0)}).unionByName(held.drop("owner"))
+    top = F.when(F.col("held"), F.col("of")).otherwise(F.col("own"))
+    weight = F.col("inner") + F.when(~F.col("held"), 1).when(F.col("value"), 1).otherwise(0)
+    odd = F.col("odd") | (~F.col("held") & F.col("own").rlike(_CHILDLIKE)) | F.coalesce(F.col("held") & F.col("table") & (F.col("tables") > 1), F.lit(False))
+    return both.select("doc_id", "part", "place", "held", top.alias("top"), weight.alias("weight"), odd.alias("odd"))
+
+
+def _runs(values: Column, n: Column) -> Column:
+    """Where in an array of n values, n over 0, a value starts that differs from the one before."""
+    return F.filter(F.sequence(F.lit(0), n - 1), lambda j: (j == 0) | (F.get(values, j) != F.get(values, j - 1)))
+
+
+def _by_entries(entries: DataFrame, places: DataFrame) -> DataFrame:
+    """graph_nodes() of documents without odd entries: ids repeat only among the rows of one table, so each entry's nodes follow from it and from what stands before it.
+
+    places: doc_id, part, place, held, top, before. Rows of a table with the same id are numbered by sorting them; no step takes longer than that.
+    """
+    at = entries.drop("inner", "odd").join(places.hint("shuffle_hash"), ["doc_id", "part", "place"])
+    some = F.size("rows") > 0
+    at = at.withColumn("tails", F.sort_array(F.transform("rows", lambda r, i: F.struct(F.coalesce(r["row_id"], (i + 1).cast("string")).alias("id"), i.alias("i")))))
+    at = at.withColumn("names", F.transform("tails", lambda t: t["id"])).withColumn("starts", F.when(some, _runs(F.col("names"), F.size("names"))))
+    each = F.transform("starts", lambda s, k: F.transform(F.sequence(s, F.coalesce(F.get("starts", k + 1), F.size("tails")) - 1), lambda j: F.struct(F.get("tails", j)["i"].alias("i"), (j - s + 1).alias("n"))))
+    at = at.withColumns({"numbers": F.sort_array(F.flatten(each)), "slots": F.flatten(F.transform("rows", lambda r, i: F.array_repeat(i, F.size(_cells(r)) + 1)))})
+    at = at.withColumn("firsts", F.when(some, _runs(F.col("slots"), F.size("slots"))))
+    cell = "array<struct<column_id:string,text:string>>"
+    step, lead = F.col("kind") == "procedure", F.when(F.col("held"), 0).otherwise(1)
+
+    def unit(offset, tail, relation, kind, text, cells=None):
+        cells = F.array().cast(cell) if cells is None else cells
+        return F.struct(offset.cast("int").alias("offset"), tail.cast("string").alias("tail"), relation.cast("string").alias("relation"), kind.cast("string").alias("kind"), text.alias("text"), cells.alias("cells"))
+
+    def line(x, i):
+        mark = F.when(x["numbers"]["n"] > 1, F.concat(F.lit("#"), x["numbers"]["n"].cast("string"))).otherwise("")
+        tail = F.concat(F.lit(":row:"), F.coalesce(x["rows"]["row_id"], (i + 1).cast("string")), mark)
+        text = F.trim(F.regexp_replace(F.array_join(F.transform(_cells(x["rows"]), lambda c: F.coalesce(c["text"], F.lit(""))), " | "), r"\s+", " "))
+        return unit(x["firsts"] + lead, tail, F.lit("has_row"), F.lit("table_row"), text, _cells(x["rows"]))
+
+    no = F.lit(None)
+    own = F.when(~F.col("held"), F.array(unit(F.lit(0), no, no, F.col("kind"), F.col("text"))))
+    value = F.when(F.col("held") & (F.col("kind") == "key_value"), F.array(unit(F.lit(0), F.concat(F.lit(":key_value:"), (F.col("place") + 1).cast("string")), F.lit("contains"), F.col("kind"), F.col("text"))))
+    items = F.transform("items", lambda x, i: unit(i + 1, F.concat(F.lit(":item:"), (i + 1).cast("string")), F.when(step, "has_step").otherwise("has_item"), F.when(step, "procedure_step").otherwise("list_item"), F.coalesce(x, F.lit(""))))
+    lines = F.transform(F.arrays_zip("rows", "numbers", "firsts"), line)
+    units = at.select("doc_id", "part", "top", "before", F.inline(F.flatten(F.array_compact(F.array(own, value, items, lines)))))
+    up = F.when(F.col("tail").isNotNull(), F.col("top"))
+    units = units.withColumns({"id": F.concat("top", F.coalesce("tail", F.lit(""))), "up": up, "depth": up.isNotNull().cast("int")})
+    first = F.struct(F.lit(0).alias("j"), F.col("id"), F.col("up").alias("parent_id"), F.col("relation"), F.col("kind"), F.col("depth"), F.col("text"))
+    below = F.transform("cells", lambda c, j: F.struct(
+        (j + 1).alias("j"), F.concat("id", F.lit(":cell:"), F.coalesce(c["column_id"], (j + 1).cast("string"))).alias("id"), F.col("id").alias("parent_id"),
+        F.lit("has_cell").alias("relation"), F.lit("table_cell").alias("kind"), F.lit(2).alias("depth"), F.coalesce(c["text"], F.lit("")).alias("text"),
+    ))
+    nodes = units.select("doc_id", "part", (F.col("before") + F.col("offset")).alias("at"), F.inline(F.concat(F.array(first), below)))
+    return nodes.select("doc_id", (F.col("at") + F.col("j")).alias("order"), "id", "parent_id", "relation", "kind", "depth", F.when(F.col("part") == 0, "document").otherwise("structured").alias("origin"), "text")
+
+
+def graph_nodes(artifacts: DataFrame, structured: DataFrame) -> DataFrame:
+    """doc_id, order, id, parent_id, relation, kind, depth, origin, text: the nodes of each document in reading order from 0.
+
+    artifacts: doc_id, place, id, kind, text, items; the items of lists and procedures become children. structured: doc_id, place,
+    kind (table, key_value, ocr_span), id, artifact_id, text, rows (TABLE_ROWS). A table belongs to the first artifact with its
+    artifact_id (null: its own id), a key_value likewise without that second choice; whatever has none is a root of its own. Rows and their cells
+    follow in order. place tells the rows of a document apart on each side. An id that an earlier node of the document has gets #2, #3
+    and so on, which its children's ids carry. Null: ids become the place, texts empty, items and rows none; rows without doc_id have no graph.
+
+    What an artifact holds is shuffled once, with what stands before it. Documents whose ids can look like others' children, whose artifacts share ids or
+    have several tables go through rounds over their nodes instead.
+    """
+    entries = stored(_entries(artifacts, structured), "entries")
+    places = stored(_places(entries), "places")
+    twice = places.where("not held").groupBy("doc_id", F.xxhash64("top").alias("h")).agg(F.count("*").alias("c")).where("c > 1")
+    odd = stored(places.where("odd").select("doc_id").union(twice.select("doc_id")).distinct(), "odd")
+    before = running_total(places.drop("odd"), "doc_id", ["part"], "place", [], "weight").drop("weight")
+    if odd.isEmpty():
+        return _by_entries(entries, before)
+    apart = entries.join(odd, "doc_id", "left_semi")
+    return _by_entries(entries, before.join(odd, "doc_id", "left_anti")).unionByName(_by_rounds(apart.where("part = 0"), apart.where("part = 1")))
+
+
 def edges(nodes: DataFrame) -> DataFrame:
     """doc_id, from_id, to_id, relation of graph_nodes()."""
     return nodes.where("parent_id is not null").select("doc_id", F.col("parent_id").alias("from_id"), F.col("id").alias("to_id"), "relation")
@@ -272,9 +381,14 @@ def _order_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("place"), F.concat(F.lit("order-"), "o_orderkey").alias("id"), "o_orderstatus")
     none = F.lit(None).cast("array<string>")
     artifacts = orders.where("o_orderstatus = 'F'").select("doc_id", "place", "id", F.lit("table").alias("kind"), F.col("id").alias("text"), none.alias("items"))
-    cells = F.array(*(F.struct(F.lit(n).alias("column_id"), F.col(c).cast("string").alias("text")) for n, c in (("part", "l_partkey"), ("ship", "l_linestatus"))))
-    at = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.struct(F.col("l_returnflag").alias("row_id"), cells.alias("cells")).alias("r"))
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("place")).agg(F.transform(F.sort_array(F.collect_list(at)), lambda x: x["r"]).alias("rows"))
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("place")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+
+    def row(x):
+        cells = F.array(*(F.struct(F.lit(n).alias("column_id"), x[c].cast("string").alias("text")) for n, c in (("part", "l_partkey"), ("ship", "l_linestatus"))))
+        return F.struct(x["l_returnflag"].alias("row_id"), cells.alias("cells"))
+
+    lines = lines.select("place", F.transform("lines", row).alias("rows"))
     tables = orders.join(lines, "place", "left").select("doc_id", "place", F.lit("table").alias("kind"), "id", F.lit(None).cast("string").alias("artifact_id"), F.col("id").alias("text"), "rows")
     return artifacts, tables
 

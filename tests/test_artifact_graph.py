@@ -97,3 +97,33 @@ def test_cells_are_numbered_only_where_theirs_can_repeat(spark, monkeypatch):
         nodes = graph_nodes(spark.createDataFrame([], ARTIFACTS), spark.createDataFrame([table], STRUCTURED)).collect()
         assert [n.id for n in sorted(nodes, key=lambda n: n.order)] == [n[0] for n in by_loop([], [table])]
         assert any(seen) == cells_numbered
+
+
+def test_rounds_are_for_documents_with_odd_ids(spark, monkeypatch):
+    """Ids that repeat among a table's rows need no rounds over all nodes; a document with ids like others' children, or with two tables of one artifact, does."""
+    from corvane.operators import artifact_graph
+
+    r = random.Random(9)
+    asked, rounds = [], artifact_graph._by_rounds
+    monkeypatch.setattr(artifact_graph, "_by_rounds", lambda a, s: asked.append(sorted({x.doc_id for y in (a, s) for x in y.select("doc_id").collect()})) or rounds(a, s))
+    artifacts, structured = [], []
+    for doc in range(30):
+        for place in range(0, 12, 2):
+            artifacts.append((doc, place, r.choice([f"a{place}", f"a:{place}", None]), r.choice(["list", "procedure", "table", "paragraph"]), "x", r.choice([None, [], ["u", None, "v"]])))
+        for place in range(r.randrange(9)):
+            kind = r.choice(["table", "table", "key_value", "ocr_span"])
+            rows = [(r.choice(["1", "2", "A", None]), r.choice([None, [], [("x", "1"), (r.choice(["y", None]), " p  q ")]])) for _ in range(r.randrange(7))]
+            of = r.choice(["a4", f"gone{place}", None]) if kind == "key_value" else r.choice([a[2] for a in artifacts[-6:] if a[1] == place] or [None])
+            structured.append((doc, place, kind, f"t{place}", of, "y", r.choice([None, rows, rows, rows])))
+    structured.append((30, 0, "table", "t", None, "", [(str(i % 3), [("c", str(i))]) for i in range(3000)]))
+    plain = list(artifacts), list(structured)
+    artifacts += [(31, 0, "a#2", "list", "", ["u"]), (32, 0, "a", "table", "", None), (33, 0, "a:item:1", "list", "", ["u"]), (34, 0, "a", "list", "", []), (34, 1, "a", "list", "", ["u"])]
+    structured += [(32, i, "table", f"t{i}", "a", "", [("r", [("x", "1")])]) for i in range(2)] + [(35, 0, "table", "t", None, "", [("r", [("x", "1"), ("x", "2")])]), (36, 0, "table", "t", None, "", [("r:row:1", None)])]
+    for (a, s), odd in ((plain, []), ((artifacts, structured), [[31, 32, 33, 34, 35, 36]])):
+        asked.clear()
+        nodes = graph_nodes(spark.createDataFrame(a, ARTIFACTS), spark.createDataFrame(s, STRUCTURED)).collect()
+        assert asked == odd and any("#3" in n.id for n in nodes)
+        for doc in range(37):
+            mine = sorted((n for n in nodes if n.doc_id == doc), key=lambda n: n.order)
+            assert [n.order for n in mine] == list(range(len(mine)))
+            assert [(n.id, n.parent_id, n.relation, n.kind) for n in mine] == by_loop([x for x in a if x[0] == doc], [x for x in s if x[0] == doc])
