@@ -260,3 +260,28 @@ def test_copies_of_a_name_are_compared_once(spark):
     got = joins.trigram_candidates(df.where("id % 20 = 0"), df, 0.6)
     rows = [(r.left_id, r.right_id) for r in got.collect() if r.left_id != 103]
     assert sorted(rows) == sorted((a, b) for a in (0, 20) for b in [*range(40), 100]) + [(100, b) for b in [*range(40), 100]]
+
+
+@pytest.mark.parametrize("sent", [joins.MOST_SENT, -1])
+def test_blocks_of_copies_are_all_pairs(spark, monkeypatch, sent):
+    """Names with fewer and with far more rows than a block, ids that repeat and null ones, with and without blocks that go to every task."""
+    monkeypatch.setattr(joins, "BLOCK", 8)
+    monkeypatch.setattr(joins, "MOST_SENT", sent)
+    rows = [(i, "small ring") for i in range(300)] + [(500, "small rings"), (501, "anvil"), (502, None), (7, "anvil"), (None, "anvil"), (501, "anvil")]
+    df = spark.createDataFrame(rows, "id long, name string")
+    got = joins.trigram_candidates(df.where("id % 20 = 0"), df, 0.6, digits=2).collect()
+    ring = [i for i in range(300)] + [500]
+    want = [(a, b) for a in [*range(0, 300, 20), 500] for b in ring]
+    assert sorted((r.left_id, r.right_id) for r in got) == sorted(want) and all(r.jaccard == round(r.jaccard, 2) for r in got)
+    ids = joins.trigram_candidates(df.where("id = 501"), df, 0.6).collect()
+    assert sorted(map(str, ((r.left_id, r.right_id) for r in ids))) == sorted(map(str, 2 * [(501, 501), (501, 7), (501, None), (501, 501)]))
+
+
+def test_pairs_of_copies_take_little_room(spark, tmp_path):
+    """The result is the square of a name's copies; as blocks its columns are runs and repeated stretches."""
+    names = ["small ring", "brass bolt", "tin can", "blue anvil"]
+    df = spark.range(0, 20_000, 1, 4).select("id", F.element_at(F.array(*map(F.lit, names)), (F.xxhash64("id") % 4 + 4).cast("int") % 4 + 1).alias("name"))
+    joins.trigram_candidates(df.where("id % 50 = 0"), df, 0.6).write.parquet(str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("*.parquet"))
+    n = spark.read.parquet(str(tmp_path / "out")).count()
+    assert n > 1_900_000 and sum(f.stat().st_size for f in files) < n
